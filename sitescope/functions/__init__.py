@@ -9,3 +9,4 @@ from .text import title_case  # noqa: F401
 from .rules import condition_array, rule_label, rule_score  # noqa: F401
 from .labels import class_label, confidence_tier, confidence_color, gap_band  # noqa: F401
 from .aggregates import exact_mean, exact_sum  # noqa: F401
+from .hashing import unit_hash, unit_hash_int  # noqa: F401

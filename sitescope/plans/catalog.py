@@ -60,3 +60,357 @@ def q_zone_counts(spark, sf_dir):
             .select("Elevation_Zone", zone_name("Elevation_Zone").alias("zone_name"), "n_sites", "n_suitable",
                     np_round(F.col("n_suitable") / F.col("n_sites"), 6).alias("suitable_share"),
                     np_round("mean_elevation", 6).alias("mean_elevation")))
+
+
+# ------------------------------------------------------------ cleaning, features
+from ..functions import (  # noqa: E402
+    coerce_double, condition_array, decode_soil, encode_soil_strict, rule_label, rule_score, soil_error,
+    title_case,
+)
+from ..operators import clean as C  # noqa: E402
+
+
+@query("numeric_coercion", "with " + Q.SITES_RAW + "," + Q.SITES_NUM + """
+select site_id, Elevation, Slope, Rainfall,
+ (Elevation is null or Slope is null or Rainfall is null) as is_dropped from sites_num""")
+def q_numeric_coercion(spark, sf_dir):
+    d = C.coerce_numeric(fx.sites_raw(spark, sf_dir), K.NUMERIC_INPUTS)
+    return d.select("site_id", "Elevation", "Slope", "Rainfall",
+                    (F.col("Elevation").isNull() | F.col("Slope").isNull() | F.col("Rainfall").isNull())
+                    .alias("is_dropped"))
+
+
+@query("label_domain", "with " + ",".join([Q.SITES_RAW, Q.SITES_NUM, Q.SITES_LAB]) + """
+select count(*) as n_rows, count_if(Suitability is null) as n_missing,
+ count_if(Suitability = 0) as n_zero, count_if(Suitability = 1) as n_one from sites_lab""")
+def q_label_domain(spark, sf_dir):
+    d = C.label_to_int(C.coerce_numeric(fx.sites_labelled(spark, sf_dir), [K.LABEL_COL]))
+    y = F.col(K.LABEL_COL)
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(y.isNull()).alias("n_missing"),
+                 F.count_if(y == 0).alias("n_zero"), F.count_if(y == 1).alias("n_one"))
+
+
+@query("soil_encode", Q.SITES_CTE + """
+select Soil_Type_Label, Soil_Type, count(*) as n from sites group by Soil_Type_Label, Soil_Type""")
+def q_soil_encode(spark, sf_dir):
+    return sites(spark, sf_dir).groupBy("Soil_Type_Label", "Soil_Type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("soil_decode", """
+select cast(cast(l_quantity as bigint) % 6 as integer) as code,
+ coalesce(case cast(l_quantity as bigint) % 6 when 0 then 'Clay' when 1 then 'Loamy' when 2 then 'Sandy' when 3 then 'Silty' end, 'Unknown') as soil,
+ count(*) as n from lineitem group by 1, 2""")
+def q_soil_decode(spark, sf_dir):
+    code = (F.col("l_quantity").cast("bigint") % 6).cast("int")
+    return (fx.table(spark, sf_dir, "lineitem").select(code.alias("code"))
+            .groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+            .select("code", decode_soil("code").alias("soil"), "n"))
+
+
+@query("title_case", f"""
+select p_partkey as id, 'part' as source, p_name as raw, {Q.title('p_name')} as titled from part
+union all
+select n_nationkey, 'nation', n_name, {Q.title('n_name')} from nation
+union all
+select c_custkey, 'customer', c_mktsegment || ' ' || c_name, {Q.title("c_mktsegment || ' ' || c_name")} from customer""")
+def q_title_case(spark, sf_dir):
+    def part(t, key, src, raw):
+        return fx.table(spark, sf_dir, t).select(F.col(key).cast("bigint").alias("id"), F.lit(src).alias("source"),
+                                                 raw.alias("raw")).withColumn("titled", title_case("raw"))
+    return (part("part", "p_partkey", "part", F.col("p_name"))
+            .unionByName(part("nation", "n_nationkey", "nation", F.col("n_name")))
+            .unionByName(part("customer", "c_custkey", "customer",
+                              F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_name")))))
+
+
+WIDE_COLS = ["site_id", "Elevation", "Slope", "Rainfall", "Soil_Type", "Soil_Type_Label", "Temperature", "NDVI",
+             "Soil_Moisture", "Elevation_Zone"]
+
+
+@query("features_all", Q.WIDE_CTE + "\nselect " + ", ".join(WIDE_COLS) + " from wide")
+def q_features_all(spark, sf_dir):
+    return C.derive_features(C.encode_soil_column(fx.sites_wide(spark, sf_dir))).select(*WIDE_COLS)
+
+
+@query("features_partial_columns", "with " + Q.SITES_WIDE + f""",
+given as (select *, case when l_ln = 7 then null else 25e0 end as Temperature, 5e-1 as NDVI
+  from (select *, site_id - 8*((site_id - 1) // 8) as l_ln from sites_wide)),
+flags as (select max(case when Temperature is null then 1 else 0 end) as t_any, max(case when NDVI is null then 1 else 0 end) as n_any from given)
+select site_id,
+ case when t_any = 1 then {Q.temperature('Elevation')} else Temperature end as Temperature,
+ case when n_any = 1 then {Q.ndvi('Rainfall')} else NDVI end as NDVI,
+ {Q.moisture('Rainfall', 'Slope')} as Soil_Moisture, {Q.zone('Elevation')} as Elevation_Zone
+from given, flags""")
+def q_features_partial_columns(spark, sf_dir):
+    """A provided column with one missing cell is recomputed whole; a complete one is kept."""
+    w = fx.sites_wide(spark, sf_dir)
+    ln = F.col("site_id") - 8 * F.floor((F.col("site_id") - 1) / 8).cast("bigint")
+    given = w.withColumns({"Temperature": F.when(ln != 7, F.lit(25.0)), "NDVI": F.lit(0.5)})
+    return C.derive_features(given).select("site_id", "Temperature", "NDVI", "Soil_Moisture", "Elevation_Zone")
+
+
+@query("strict_soil_errors", "with " + Q.SITES_RAW + f"""
+select site_id, Soil_Type as soil, {Q.soil_strict('Soil_Type')} as code,
+ case when {Q.soil_strict('Soil_Type')} is null then 'Unknown soil type ''' || coalesce(Soil_Type, 'None') || '''. Valid options: [''Clay'', ''Loamy'', ''Sandy'', ''Silty'']' end as error
+from sites_raw""")
+def q_strict_soil_errors(spark, sf_dir):
+    r = fx.sites_raw(spark, sf_dir)
+    return r.select("site_id", F.col("Soil_Type").alias("soil"), encode_soil_strict("Soil_Type").alias("code"),
+                    soil_error("Soil_Type").alias("error"))
+
+
+# ------------------------------------------------------------------ rule scoring
+RULE_SQL = Q.rule_score("Elevation", "Slope", "Rainfall", "NDVI")
+
+
+@query("rule_score", Q.SITES_CTE + f"""
+select site_id, {RULE_SQL} as rule_score, cast({RULE_SQL} > 2.5e0 as integer) as rule_label, Suitability from sites""")
+def q_rule_score(spark, sf_dir):
+    s = sites(spark, sf_dir).withColumn("rule_score", rule_score("Elevation", "Slope", "Rainfall", "NDVI"))
+    return s.select("site_id", "rule_score", rule_label("rule_score").alias("rule_label"), "Suitability")
+
+
+@query("rule_label_by_zone", Q.SITES_CTE + f"""
+select Elevation_Zone, Soil_Type, count(*) as n, {Q.npround(Q.exact_mean(RULE_SQL), 6)} as mean_score,
+ count_if({RULE_SQL} > 2.5e0) as n_rule_suitable, count_if(Suitability = 1) as n_suitable
+from sites group by Elevation_Zone, Soil_Type""")
+def q_rule_label_by_zone(spark, sf_dir):
+    s = sites(spark, sf_dir).withColumn("_score", rule_score("Elevation", "Slope", "Rainfall", "NDVI"))
+    return s.groupBy("Elevation_Zone", "Soil_Type").agg(
+        F.count(F.lit(1)).alias("n"), np_round(exact_mean("_score"), 6).alias("mean_score"),
+        F.count_if(F.col("_score") > K.RULE_THRESHOLD).alias("n_rule_suitable"),
+        F.count_if(F.col("Suitability") == 1).alias("n_suitable"))
+
+
+def _cond_sql(source: str, key: str = "site_id") -> str:
+    parts = []
+    for name, col, ideal, op, unit in K.CONDITIONS:
+        parts.append(f"select {key}, '{name}' as name, {Q.npround(col, 3)} as val, cast({ideal!r} as double) as ideal, "
+                     f"'{op}' as op, '{unit}' as unit, ({col} {op} {ideal!r}) as passed from {source}")
+    return "\nunion all\n".join(parts)
+
+
+@query("condition_checks", Q.SITES_CTE + "\n" + _cond_sql("sites"))
+def q_condition_checks(spark, sf_dir):
+    s = sites(spark, sf_dir).withColumn("conditions", condition_array())
+    return s.select("site_id", F.inline("conditions"))
+
+
+@query("condition_pass_rate", Q.SITES_CTE + ", checks as (" + _cond_sql("sites") + """)
+select name, count(*) as n, count_if(passed) as n_passed, round_even(cast(count_if(passed) as double)/count(*)*1e6, 0)/1e6 as pass_rate
+from checks group by name
+union all
+select 'ALL', count(*), count_if(np = 6), round_even(cast(count_if(np = 6) as double)/count(*)*1e6, 0)/1e6
+from (select site_id, count_if(passed) as np from checks group by site_id)""")
+def q_condition_pass_rate(spark, sf_dir):
+    s = sites(spark, sf_dir).withColumn("conditions", condition_array())
+    per = s.select(F.inline("conditions")).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"))
+    all_ = s.agg(F.count(F.lit(1)).alias("n"),
+                 F.count_if(F.forall("conditions", lambda c: c["passed"])).alias("n_passed")) \
+        .select(F.lit("ALL").alias("name"), "n", "n_passed")
+    out = per.unionByName(all_)
+    return out.withColumn("pass_rate", np_round(F.col("n_passed") / F.col("n"), 6))
+
+
+# ------------------------------------------------------------- batch / single scoring
+from ..functions import class_label  # noqa: E402
+from ..operators import score as S  # noqa: E402
+from ..operators import profile as PR  # noqa: E402
+
+
+def wide_scored(spark, sf_dir):
+    return S.score_batch(fx.sites_wide(spark, sf_dir), S.RuleScorer())
+
+
+@query("batch_scores", Q.WIDE_CTE + "," + Q.WIDE_SCORED + f"""
+select site_id, pred as Prediction, {Q.npround('conf', 4)} as Confidence,
+ case pred when 1 then 'Suitable' else 'Not Suitable' end as Label, {Q.tier(Q.npround('conf', 4))} as Conf_Tier
+from wide_scored""")
+def q_batch_scores(spark, sf_dir):
+    return wide_scored(spark, sf_dir).select("site_id", "Prediction", "Confidence", "Label", "Conf_Tier")
+
+
+@query("confidence_tiers", Q.WIDE_CTE + "," + Q.WIDE_SCORED + f"""
+select case pred when 1 then 'Suitable' else 'Not Suitable' end as Label, {Q.tier(Q.npround('conf', 4))} as Conf_Tier,
+ count(*) as n from wide_scored group by 1, 2""")
+def q_confidence_tiers(spark, sf_dir):
+    return wide_scored(spark, sf_dir).groupBy("Label", "Conf_Tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("batch_summary", Q.WIDE_CTE + "," + Q.WIDE_SCORED + """
+select count(*) as total, count_if(pred = 1) as suitable, count(*) - count_if(pred = 1) as not_suitable,
+ round_even(count_if(pred = 1)*1e2/count(*)*1e6, 0)/1e6 as suitable_pct,
+ round_even((count(*) - count_if(pred = 1))*1e2/count(*)*1e6, 0)/1e6 as not_suitable_pct
+from wide_scored""")
+def q_batch_summary(spark, sf_dir):
+    return S.batch_summary(wide_scored(spark, sf_dir))
+
+
+@query("dataset_overview", Q.SITES_CTE + """
+select count(*) as n_rows, count_if(Suitability = 1) as n_suitable,
+ round_even(count_if(Suitability = 1)*1e2/count(*)*1e6, 0)/1e6 as suitable_pct,
+ count(*) - count_if(Suitability = 1) as n_not_suitable,
+ round_even((count(*) - count_if(Suitability = 1))*1e2/count(*)*1e6, 0)/1e6 as not_suitable_pct
+from sites""")
+def q_dataset_overview(spark, sf_dir):
+    return PR.overview(sites(spark, sf_dir), K.LABEL_COL)
+
+
+def _single_input(spark, sf_dir):
+    """Typed inputs with the raw soil text (unknown soils included)."""
+    return sites(spark, sf_dir).select("site_id", "Elevation", "Slope", "Rainfall",
+                                       F.col("Soil_Type_Label").alias("Soil_Type"))
+
+
+SINGLE_SQL = Q.SITES_CTE + f""",
+single as (
+ select site_id, Elevation, Slope, Rainfall, Soil_Type_Label as soil, {Q.soil_strict('Soil_Type_Label')} as code,
+  {Q.npround(Q.temperature('Elevation'), 2)} as Temperature, {Q.npround(Q.ndvi('Rainfall'), 4)} as NDVI,
+  {Q.npround(Q.moisture('Rainfall', 'Slope'), 4)} as Soil_Moisture, {Q.zone('Elevation')} as Elevation_Zone
+ from sites),
+single_p as (select *, {Q.rule_p()} as p from single),
+single_s as (select *, cast(p > 6.25e-1 as integer) as pred, case when p > 6.25e-1 then p else 1e0 - p end as conf from single_p)
+select site_id, Temperature, NDVI, Soil_Moisture, Elevation_Zone,
+ case when code is not null then pred end as prediction,
+ case when code is not null then conf end as confidence,
+ case when code is not null then (case pred when 1 then 'Suitable' else 'Not Suitable' end) end as label,
+ case when code is not null then {Q.tier('conf')} end as conf_tier,
+ case when code is not null then cast((Rainfall >= 600.0) as integer) + cast((Slope <= 20.0) as integer)
+  + cast((Elevation <= 2000.0) as integer) + cast((NDVI >= 0.4) as integer) + cast((Soil_Moisture >= 0.1) as integer)
+  + cast((Temperature >= 15.0) as integer) end as n_passed,
+ case when code is null then 'Unknown soil type ''' || coalesce(soil, 'None') || '''. Valid options: [''Clay'', ''Loamy'', ''Sandy'', ''Silty'']' end as error
+from single_s"""
+
+
+@query("single_scores", SINGLE_SQL)
+def q_single_scores(spark, sf_dir):
+    s = S.score_single(_single_input(spark, sf_dir), S.RuleScorer())
+    return s.select("site_id", "Temperature", "NDVI", "Soil_Moisture", "Elevation_Zone", "prediction", "confidence",
+                    "label", "conf_tier",
+                    F.size(F.filter("conditions", lambda c: c["passed"])).alias("n_passed"), "error") \
+        .withColumn("n_passed", F.when(F.col("error").isNull(), F.col("n_passed")))
+
+
+# ------------------------------------------------------------------- districts
+from ..operators import districts as D  # noqa: E402
+from ..operators import similar as SIM  # noqa: E402
+
+ROLLUP_SQL = "with " + Q.OBSERVATIONS + f""",
+g as (select state, district, {Q.exact_mean('elevation')} as elevation, {Q.exact_mean('rainfall')} as rainfall,
+  {Q.exact_mean('avg_temp')} as avg_temp, {Q.exact_mean('latitude')} as latitude, {Q.exact_mean('longitude')} as longitude
+ from observations where state is not null and district is not null group by state, district)
+select state, district, {Q.npround('elevation', 0)} as elevation, {Q.npround('avg_temp', 1)} as avg_temp,
+ {Q.npround('latitude', 4)} as latitude, {Q.npround('longitude', 4)} as longitude,
+ {Q.npround(Q.npround('rainfall*365e0', 0), 0)} as annual_rainfall
+from g"""
+
+
+@query("district_rollup", ROLLUP_SQL)
+def q_district_rollup(spark, sf_dir):
+    return D.rollup_observations(fx.observations(spark, sf_dir))
+
+
+@query("district_rollup_defaults", "with " + Q.OBSERVATIONS + f""",
+g as (select state, district, {Q.exact_mean('rainfall')} as rainfall
+ from observations where state is not null and district is not null group by state, district)
+select state, district, 2e2 as elevation, {Q.npround(Q.temperature('2e2'), 1)} as avg_temp,
+ cast(null as double) as latitude, cast(null as double) as longitude,
+ {Q.npround(Q.npround('rainfall*365e0', 0), 0)} as annual_rainfall
+from g""")
+def q_district_rollup_defaults(spark, sf_dir):
+    """Only the key and daily rainfall exist: defaults fill the rest."""
+    return D.rollup_observations(fx.observations(spark, sf_dir).select("state", "district", "rainfall"))
+
+
+@query("districts_clean", "with " + Q.DISTRICTS + f"""
+select district_id, {Q.title('state')} as state, {Q.title('district')} as district,
+ coalesce(elevation, 0e0) as elevation, coalesce(annual_rainfall, 0e0) as annual_rainfall,
+ {Q.temperature('coalesce(elevation, 0e0)')} as avg_temp, cast(null as double) as latitude,
+ cast(null as double) as longitude from districts""")
+def q_districts_clean(spark, sf_dir):
+    return D.clean_districts(fx.districts(spark, sf_dir)).select(
+        "district_id", "state", "district", "elevation", "annual_rainfall", "avg_temp", "latitude", "longitude")
+
+
+LOOKUP_STATE, LOOKUP_DISTRICT = "NATION_1", "BUILDING 3"
+
+
+@query("district_lookup", ROLLUP_SQL.replace("\nfrom g", f"\nfrom g where state = '{LOOKUP_STATE}' and district = '{LOOKUP_DISTRICT}'"))
+def q_district_lookup(spark, sf_dir):
+    return D.lookup_district(D.rollup_observations(fx.observations(spark, sf_dir), sort=False),
+                             LOOKUP_STATE, LOOKUP_DISTRICT)
+
+
+@query("district_list", "with " + Q.OBSERVATIONS + """
+select distinct state, district from observations where state is not null and district is not null""")
+def q_district_list(spark, sf_dir):
+    return D.list_districts(fx.observations(spark, sf_dir))
+
+
+@query("state_list", "with " + Q.OBSERVATIONS + """
+select distinct state from observations where state is not null""")
+def q_state_list(spark, sf_dir):
+    return D.list_states(fx.observations(spark, sf_dir))
+
+
+@query("district_coords", ROLLUP_SQL.replace(
+    "select state, district, " + Q.npround('elevation', 0) + " as elevation, " + Q.npround('avg_temp', 1) + " as avg_temp,",
+    "select state, district,").replace(
+    f",\n {Q.npround(Q.npround('rainfall*365e0', 0), 0)} as annual_rainfall\nfrom g",
+    "\nfrom g where latitude is not null and longitude is not null"))
+def q_district_coords(spark, sf_dir):
+    return D.district_coords(D.rollup_observations(fx.observations(spark, sf_dir), sort=False))
+
+
+@query("autofill_clipped", Q.SITES_CTE + "," + Q.DISTRICTS + """,
+b as (select min(Elevation) as elo, max(Elevation) as ehi, min(Rainfall) as rlo, max(Rainfall) as rhi from sites)
+select state, district, case when elevation is not null then least(greatest(elevation, coalesce(elo, 0e0)), coalesce(ehi, 3e3)) end as Elevation,
+ case when annual_rainfall is not null then least(greatest(annual_rainfall, coalesce(rlo, 2e2)), coalesce(rhi, 2e3)) end as Rainfall
+from districts, b""")
+def q_autofill_clipped(spark, sf_dir):
+    return D.autofill_inputs(fx.districts(spark, sf_dir), sites(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ similarity
+def _sim_sql_params(src: str = "districts") -> str:
+    return f"""p as (select min(coalesce(elevation,0e0)) as emin, max(coalesce(elevation,0e0)) as emax,
+ min(coalesce(annual_rainfall,0e0)) as rmin, max(coalesce(annual_rainfall,0e0)) as rmax, count(*) as n_rows from {src}),
+q as (select emin, rmin, coalesce(case when emax - emin <> 0 then emax - emin end, 1e0) as erng,
+ coalesce(case when rmax - rmin <> 0 then rmax - rmin end, 1e0) as rrng, n_rows from p)"""
+
+
+def _dist_sql(qe: str, qr: str) -> str:
+    de = f"((coalesce(elevation,0e0) - emin)/erng - ({qe} - emin)/erng)"
+    dr = f"((coalesce(annual_rainfall,0e0) - rmin)/rrng - ({qr} - rmin)/rrng)"
+    return f"sqrt({de}*{de} + {dr}*{dr})"
+
+
+@query("similar_districts", "with " + Q.DISTRICTS + "," + _sim_sql_params() + f""",
+d as (select districts.*, case when n_rows >= 2 then {_dist_sql('6e2', '8e2')} end as dist from districts, q)
+select cast(row_number() over (order by dist nulls last, state, district) as integer) as rank, district_id, state, district,
+ elevation, annual_rainfall, {Q.npround('dist', 4)} as Match_Distance
+from d order by dist nulls last, state, district limit 10""")
+def q_similar_districts(spark, sf_dir):
+    return SIM.similar_districts(fx.districts(spark, sf_dir), 600.0, 800.0, n=10)
+
+
+@query("similar_many_targets", "with " + Q.DISTRICTS + "," + _sim_sql_params() + """,
+t as (select c_custkey as target_id, cast((c_custkey*53)%3001 as double) as te, cast(200+(c_custkey*101)%1801 as double) as tr from customer),
+pairs as (select target_id, district_id, state, district, elevation, annual_rainfall,
+  sqrt(((coalesce(elevation,0e0) - emin)/erng - (te - emin)/erng)*((coalesce(elevation,0e0) - emin)/erng - (te - emin)/erng)
+     + ((coalesce(annual_rainfall,0e0) - rmin)/rrng - (tr - rmin)/rrng)*((coalesce(annual_rainfall,0e0) - rmin)/rrng - (tr - rmin)/rrng)) as dist
+  from t, districts, q),
+r as (select *, cast(row_number() over (partition by target_id order by dist, state, district, district_id) as integer) as rank from pairs)
+select target_id, rank, district_id, state, district, elevation, annual_rainfall, round_even(dist*1e4, 0)/1e4 as Match_Distance
+from r where rank <= 10""")
+def q_similar_many_targets(spark, sf_dir):
+    return SIM.similar_many(fx.districts(spark, sf_dir), fx.targets(spark, sf_dir), n=10)
+
+
+@query("minmax_scaled", "with " + Q.DISTRICTS + "," + _sim_sql_params() + """
+select district_id, (coalesce(elevation,0e0) - emin)/erng as elevation_scaled,
+ (coalesce(annual_rainfall,0e0) - rmin)/rrng as annual_rainfall_scaled from districts, q""")
+def q_minmax_scaled(spark, sf_dir):
+    return SIM.minmax_scale(fx.districts(spark, sf_dir)).select("district_id", "elevation_scaled",
+                                                                 "annual_rainfall_scaled")

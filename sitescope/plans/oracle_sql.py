@@ -64,7 +64,7 @@ def soil_lenient(x: str) -> str:
 def title(x: str) -> str:
     runs = rf"regexp_extract_all(lower(trim({x})), '(\P{{L}}+|\p{{L}}+)', 1)"
     return (f"(case when {x} is not null then array_to_string(list_transform({runs}, "
-            f"r -> upper(substr(r, 1, 1)) || substr(r, 2)), '') end)")
+            f"lambda r: upper(substr(r, 1, 1)) || substr(r, 2)), '') end)")
 
 
 SITES_RAW = """
@@ -132,3 +132,23 @@ districts as (
   cast((s_suppkey*53)%2700 as double) as elevation,
   cast(278+(s_suppkey*977)%5400 as double) as annual_rainfall
  from supplier join nation on s_nationkey=n_nationkey)"""
+
+
+def rule_p(e="Elevation", s="Slope", r="Rainfall", n="NDVI") -> str:
+    return f"({rule_score(e, s, r, n)} / 4e0)"
+
+
+WIDE_SCORED = f"""
+wide_scored as (
+ select *, case when pred = 1 then p else 1e0 - p end as conf from (
+  select *, cast(p > 6.25e-1 as integer) as pred from (select *, {rule_p()} as p from wide)))"""
+
+
+def tier(c: str) -> str:
+    return (f"(case when {c} >= 8.5e-1 then 'High Confidence' when {c} >= 6.5e-1 then 'Moderate Confidence' "
+            f"else 'Low Confidence — Borderline Case' end)")
+
+
+SCORED = f"""
+scored as (
+ select site_id, Suitability as y, {rule_p()} as p, cast({rule_p()} > 6.25e-1 as integer) as pred from sites)"""
