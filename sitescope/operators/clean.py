@@ -80,19 +80,20 @@ def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
             given = coerce_typed(c, df.schema[c].dataType)
             out[c] = F.coalesce(given, expr.cast("double")) if c in present else expr
     else:
-        flags = None
         if present:
             flags = df.select(F.struct(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in present])).scalar()
+            df = df.withColumn("_any_null", flags)  # one subquery, referenced by column
         for c, expr in derived.items():
             if c in present:
                 given = F.col(c).cast("double")
-                out[c] = F.when(F.coalesce(flags.getField(c), F.lit(0)) == 1, expr.cast("double")).otherwise(given)
+                out[c] = F.when(F.coalesce(F.col(f"_any_null.{c}"), F.lit(0)) == 1, expr.cast("double")).otherwise(given)
             else:
                 out[c] = expr
     out["Elevation_Zone"] = out["Elevation_Zone"].cast("int")
     for c in ("Temperature", "NDVI", "Soil_Moisture"):
         out[c] = out[c].cast("double")
-    return df.withColumns(out)
+    out_df = df.withColumns(out)
+    return out_df.drop("_any_null") if present and mode != "row" else out_df
 
 
 def clean_sites(df: DataFrame, observation: Observation | None = None, mode: str = "table") -> DataFrame:

@@ -93,35 +93,36 @@ def district_coords(districts: DataFrame) -> DataFrame:
     return districts.na.drop(subset=["latitude", "longitude"]).select("state", "district", "latitude", "longitude")
 
 
-def site_bounds(sites: DataFrame | None) -> dict:
-    """Min/max of Elevation, Slope, Rainfall as lazy scalar subquery Columns.
+def site_bounds(sites: DataFrame | None):
+    """Struct scalar {Elevation, Slope, Rainfall: {lo, hi}} (one subquery), or fixed literals.
 
     Falls back to the fixed bounds when no site table is given (or it is empty).
     """
-    out = {}
+    fields = []
     for c in K.NUMERIC_INPUTS:
         lo, hi = K.FALLBACK_BOUNDS[c]
         if sites is None:
-            out[c] = (F.lit(lo), F.lit(hi))
+            fields.append(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).alias(c))
         else:
-            b = sites.select(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
-            out[c] = (F.coalesce(b.getField("lo"), F.lit(lo)), F.coalesce(b.getField("hi"), F.lit(hi)))
-    return out
+            fields.append(F.struct(F.coalesce(F.min(F.col(c).cast("double")), F.lit(lo)).alias("lo"),
+                                   F.coalesce(F.max(F.col(c).cast("double")), F.lit(hi)).alias("hi")).alias(c))
+    if sites is None:
+        return F.struct(*fields)
+    return sites.select(F.struct(*fields)).scalar()
 
 
 def autofill_inputs(districts: DataFrame, sites: DataFrame | None) -> DataFrame:
     """Scoring inputs for every district, clipped to the site bounds.
 
-    The bounds are one-row scalar subqueries: no join, no broadcast of data.
+    The bounds are a one-row scalar subquery attached once as a column: no
+    join, no broadcast of data.
     """
-    b = site_bounds(sites)
-    elo, ehi = b["Elevation"]
-    rlo, rhi = b["Rainfall"]
+    d = districts.withColumn("_b", site_bounds(sites))
     e, r = F.col("elevation"), F.col("annual_rainfall")
-    return districts.select(
+    return d.select(
         "state", "district",
-        F.when(e.isNotNull(), F.least(F.greatest(e, elo), ehi)).alias("Elevation"),
-        F.when(r.isNotNull(), F.least(F.greatest(r, rlo), rhi)).alias("Rainfall"),
+        F.when(e.isNotNull(), F.least(F.greatest(e, F.col("_b.Elevation.lo")), F.col("_b.Elevation.hi"))).alias("Elevation"),
+        F.when(r.isNotNull(), F.least(F.greatest(r, F.col("_b.Rainfall.lo")), F.col("_b.Rainfall.hi"))).alias("Rainfall"),
     )
 
 

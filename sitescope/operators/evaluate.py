@@ -51,27 +51,39 @@ def _score_counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def roc_table(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64) -> DataFrame:
-    """Per distinct score (descending): pos, neg and cumulative tp, fp."""
-    d = _score_counts(df, y, p)
+    return _roc(df, y, p, buckets)[0]
+
+
+def _roc(df: DataFrame, y: str, p: str, buckets: int):
+    """Per distinct score (descending): pos, neg and cumulative tp, fp; plus totals P, N.
+
+    The distinct-score table is checkpointed once (it feeds three branches).
+    Range buckets come from its approximate quantiles (a list of at most
+    ``buckets - 1`` numbers); bucket 0 holds the highest scores.
+    """
+    from ..session import materialize
+    d = materialize(_score_counts(df, y, p))
     probs = [i / buckets for i in range(1, buckets)]
-    edges = d.select(F.percentile_approx("score", probs, 10000)).scalar()
-    # bucket 0 holds the highest scores
-    d = d.withColumn("b", F.size(F.filter(edges, lambda e: e > F.col("score"))).cast("int"))
+    stats = d.select(F.percentile_approx("score", probs, 10000).alias("e"), F.sum("pos").alias("P"),
+                     F.sum("neg").alias("N")).first()  # <= buckets + 1 numbers
+    edges = stats["e"] or []
+    edge_arr = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    d = d.withColumn("b", F.size(F.filter(edge_arr, lambda e: e > F.col("score"))).cast("int"))
     tot = d.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     w_off = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
     off = tot.select("b", F.coalesce(F.sum("bp").over(w_off), F.lit(0)).alias("pos_off"),
                      F.coalesce(F.sum("bn").over(w_off), F.lit(0)).alias("neg_off"))
     d = d.join(F.broadcast(off), "b")  # at most `buckets` rows
     w = Window.partitionBy("b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return d.select("score", "pos", "neg", (F.col("pos_off") + F.sum("pos").over(w)).alias("tp"),
-                    (F.col("neg_off") + F.sum("neg").over(w)).alias("fp"))
+    t = d.select("score", "pos", "neg", (F.col("pos_off") + F.sum("pos").over(w)).alias("tp"),
+                 (F.col("neg_off") + F.sum("neg").over(w)).alias("fp"))
+    return t, int(stats["P"] or 0), int(stats["N"] or 0)
 
 
 def roc_points(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score plus the (inf, 0, 0) start."""
-    t = roc_table(df, y, p, buckets)
-    totals = df.select(F.struct(F.count_if(F.col(y) == 1).alias("P"), F.count_if(F.col(y) != 1).alias("N"))).scalar()
-    P, N = totals.getField("P").cast("double"), totals.getField("N").cast("double")
+    t, p_tot, n_tot = _roc(df, y, p, buckets)
+    P, N = F.lit(float(p_tot)), F.lit(float(n_tot))
     pts = t.select(F.col("score").alias("threshold"), F.try_divide(F.col("fp").cast("double"), N).alias("fpr"),
                    F.try_divide(F.col("tp").cast("double"), P).alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
@@ -111,8 +123,8 @@ def overfit_gap(train_scored: DataFrame, test_scored: DataFrame, y: str = "y", p
     """Train accuracy - test accuracy, with its colour band and warning flag."""
     tr = binary_metrics(train_scored, y, pred).select(F.col("accuracy").alias("train_accuracy"))
     te = binary_metrics(test_scored, y, pred).select(F.col("accuracy").alias("test_accuracy"))
-    trs, tes = tr.select("train_accuracy").scalar(), te.select("test_accuracy").scalar()
-    gap = trs - tes
-    return train_scored.sparkSession.range(1).select(
-        trs.alias("train_accuracy"), tes.alias("test_accuracy"), np_round(gap, 9).alias("overfit_gap"),
-        gap_band(gap).alias("band"), (gap > F.lit(K.WARN_GAP)).alias("warning"))
+    one = train_scored.sparkSession.range(1).select(tr.select("train_accuracy").scalar().alias("train_accuracy"),
+                                                    te.select("test_accuracy").scalar().alias("test_accuracy"))
+    gap = F.col("train_accuracy") - F.col("test_accuracy")
+    return one.select("train_accuracy", "test_accuracy", np_round(gap, 9).alias("overfit_gap"),
+                      gap_band(gap).alias("band"), (gap > F.lit(K.WARN_GAP)).alias("warning"))

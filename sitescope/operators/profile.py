@@ -78,16 +78,24 @@ def iqr_outliers(df: DataFrame, cols=None, accuracy: int | None = None, keep_zer
     outliers of every column in one aggregate.
     """
     cols = list(cols or numeric_columns(df))
-    q = quantiles(df, cols, [0.25, 0.75], accuracy)
-    aggs = []
+    df = df.withColumn("_q", quantiles(df, cols, [0.25, 0.75], accuracy))  # one subquery
+
+    def fences(c):
+        q1, q3 = F.col(f"_q.{c}")[0], F.col(f"_q.{c}")[1]
+        return q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+    counts = []
     for c in cols:
-        q1, q3 = q.getField(c)[0], q.getField(c)[1]
-        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        _, _, lo, hi = fences(c)
         x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), q1.alias("q1"), q3.alias("q3"), lo.alias("lower"),
-                             hi.alias("upper"), F.count_if((x < lo) | (x > hi)).alias("n_outliers")).alias(c))
-    row = df.agg(*aggs)
-    long = row.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("o")).select("o.*")
+        counts.append(F.count_if((x < lo) | (x > hi)).alias(f"n__{c}"))
+    row = df.agg(*counts, F.first("_q").alias("_q"))
+    cells = []
+    for c in cols:
+        q1, q3, lo, hi = fences(c)
+        cells.append(F.struct(F.lit(c).alias("column"), q1.alias("q1"), q3.alias("q3"), lo.alias("lower"),
+                              hi.alias("upper"), F.col(f"n__{c}").alias("n_outliers")))
+    long = row.select(F.explode(F.array(*cells)).alias("o")).select("o.*")
     return long if keep_zero else long.where(F.col("n_outliers") > 0)
 
 
@@ -138,9 +146,10 @@ def histograms(df: DataFrame, features, label: str = K.LABEL_COL, bins: int = K.
     b = df.select(F.struct(*[F.struct(F.min(F.col(c).cast("double")).alias("lo"),
                                       F.max(F.col(c).cast("double")).alias("hi")).alias(c)
                              for c in features])).scalar()
+    df = df.withColumn("_b", b)  # one subquery
     long = df.select(F.col(label).alias(label), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
-                 b.getField(c).getField("lo").alias("lo"), b.getField(c).getField("hi").alias("hi"))
+                 F.col(f"_b.{c}.lo").alias("lo"), F.col(f"_b.{c}.hi").alias("hi"))
         for c in features])).alias("v")).select(label, "v.*").where(F.col("value").isNotNull())
     width = F.col("hi") - F.col("lo")
     bin_ = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width * bins), F.lit(bins - 1))) \

@@ -14,25 +14,35 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import np_round
+from ..session import materialize
 
 FEATURES = ("elevation", "annual_rainfall")
 
 
-def minmax_params(districts: DataFrame, cols=FEATURES) -> dict:
-    """{col: (min, range)} as lazy scalar-subquery Columns; zero range -> 1; missing -> 0."""
+def minmax_scalar(districts: DataFrame, cols=FEATURES):
+    """One scalar subquery: struct of min/max per column (missing -> 0) and the row count."""
     aggs = []
     for c in cols:
         v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
         aggs += [F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max")]
     aggs.append(F.count(F.lit(1)).alias("n_rows"))
-    s = districts.select(F.struct(*aggs)).scalar()
+    return districts.select(F.struct(*aggs)).scalar()
+
+
+def minmax_params(districts: DataFrame, cols=FEATURES, attached: str = "_mm"):
+    """Attach the scaler parameters once as a struct column ``attached``.
+
+    Returns (frame, {col: (min, range)} Columns reading that struct); zero
+    range -> 1. Referencing the attached column (not the subquery) keeps one
+    subquery execution per plan.
+    """
+    d = districts.withColumn(attached, minmax_scalar(districts, cols))
     out = {}
     for c in cols:
-        lo, hi = s.getField(f"{c}_min"), s.getField(f"{c}_max")
-        rng = F.coalesce(F.when(hi - lo != 0, hi - lo), F.lit(1.0))
-        out[c] = (lo, rng)
-    out["n_rows"] = s.getField("n_rows")
-    return out
+        lo, hi = F.col(f"{attached}.{c}_min"), F.col(f"{attached}.{c}_max")
+        out[c] = (lo, F.coalesce(F.when(hi - lo != 0, hi - lo), F.lit(1.0)))
+    out["n_rows"] = F.col(f"{attached}.n_rows")
+    return d, out
 
 
 def scaled(x, lo, rng):
@@ -41,9 +51,9 @@ def scaled(x, lo, rng):
 
 def minmax_scale(districts: DataFrame, cols=FEATURES) -> DataFrame:
     """Add ``<col>_scaled`` columns (missing -> 0 before scaling)."""
-    p = minmax_params(districts, cols)
-    return districts.withColumns({
-        f"{c}_scaled": scaled(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), *p[c]) for c in cols})
+    d, p = minmax_params(districts, cols)
+    return d.withColumns({
+        f"{c}_scaled": scaled(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), *p[c]) for c in cols}).drop("_mm")
 
 
 def _distance(p, qe, qr):
@@ -65,9 +75,9 @@ def similar_districts(districts: DataFrame, elevation: float, rainfall: float, n
     missing = [c for c in FEATURES if c not in districts.columns]
     if missing:
         raise ValueError(f"district table lacks {missing}")
-    p = minmax_params(districts)
+    d, p = minmax_params(districts)
     dist = _distance(p, F.lit(float(elevation)), F.lit(float(rainfall)))
-    d = districts.withColumn("_dist", F.when(p["n_rows"] >= 2, dist))
+    d = d.withColumn("_dist", F.when(p["n_rows"] >= 2, dist)).drop("_mm")
     top = d.orderBy(F.col("_dist").asc_nulls_last(), *tie_keys).limit(n)
     w = Window.orderBy(F.col("_dist").asc_nulls_last(), *tie_keys)  # over <= n rows
     return top.select(F.row_number().over(w).alias("rank"), *districts.columns,
@@ -88,11 +98,15 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
     ``row_number`` over a window with a limit, which Spark evaluates partially
     before the shuffle (``WindowGroupLimit``).
     """
-    p = minmax_params(districts)
-    n_rows = districts.count()  # one bounded scalar to size the grid
+    mm = minmax_scalar(districts).alias("_mm")
+    params = districts.sparkSession.range(1).select(mm).first()["_mm"]  # one row of 5 numbers
+    n_rows = params["n_rows"]
     g = cells_per_axis or max(1, int((max(n_rows, 1) / max(n, 1)) ** 0.5))
-    e_lo, e_rng = p["elevation"]
-    r_lo, r_rng = p["annual_rainfall"]
+
+    def rng(lo, hi):
+        return (hi - lo) if hi is not None and lo is not None and hi - lo != 0 else 1.0
+    e_lo, e_rng = F.lit(float(params["elevation_min"] or 0.0)), F.lit(float(rng(params["elevation_min"], params["elevation_max"])))
+    r_lo, r_rng = F.lit(float(params["annual_rainfall_min"] or 0.0)), F.lit(float(rng(params["annual_rainfall_min"], params["annual_rainfall_max"])))
 
     def cell(x):
         return F.least(F.greatest(F.floor(x * g), F.lit(0)), F.lit(g - 1)).cast("int")
@@ -133,13 +147,13 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
         cand = cand.withColumn("_d", F.sqrt((F.col("_dx") - F.col("_tx")) ** 2 + (F.col("_dy") - F.col("_ty")) ** 2))
         w = Window.partitionBy(target_key).orderBy("_d", "state", "district", district_key)
         top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-        top = top.checkpoint()  # reused twice below; also cuts lineage between rounds
+        top = materialize(top)  # reused twice below; also cuts lineage between rounds
         stats = top.groupBy(target_key).agg(F.count(F.lit(1)).alias("_k"), F.max("_d").alias("_kth"),
                                             F.first("_edge").alias("_edge"), F.first("_all").alias("_all"))
         # strict: a district exactly on the edge could win a tie on the names
         done = stats.where(F.col("_all") | ((F.col("_k") >= n) & (F.col("_kth") < F.col("_edge"))))
         results.append(top.join(done.select(target_key), target_key, "left_semi"))
-        pending = pending.join(done.select(target_key), target_key, "left_anti").checkpoint()
+        pending = materialize(pending.join(done.select(target_key), target_key, "left_anti"))
         if radius >= g or pending.isEmpty():
             break
         radius *= 2

@@ -414,3 +414,238 @@ select district_id, (coalesce(elevation,0e0) - emin)/erng as elevation_scaled,
 def q_minmax_scaled(spark, sf_dir):
     return SIM.minmax_scale(fx.districts(spark, sf_dir)).select("district_id", "elevation_scaled",
                                                                  "annual_rainfall_scaled")
+
+
+# --------------------------------------------------------------------- profiling
+NUM_PROFILE = ["Elevation", "Slope", "Rainfall", "Soil_Type", "Suitability", "Temperature", "NDVI",
+               "Soil_Moisture", "Elevation_Zone"]
+CORR_COLS = ["Elevation", "Slope", "Rainfall", "Temperature", "NDVI", "Soil_Moisture", "Suitability"]
+HIST_COLS = ["Elevation", "Slope", "Rainfall", "Temperature", "NDVI", "Soil_Moisture"]
+
+
+@query("class_balance", Q.SITES_CTE + """
+select Suitability, count(*) as n from sites group by Suitability""")
+def q_class_balance(spark, sf_dir):
+    return PR.class_counts(sites(spark, sf_dir))
+
+
+@query("class_ratio", Q.SITES_CTE + """
+select count_if(Suitability = 0) as n0, count_if(Suitability = 1) as n1,
+ round_even(cast(count_if(Suitability = 1) as double) / greatest(case when count_if(Suitability = 0) = 0 then 1 else count_if(Suitability = 0) end, 1) * 1e3, 0) / 1e3 as class_ratio
+from sites""")
+def q_class_ratio(spark, sf_dir):
+    return PR.class_ratio(sites(spark, sf_dir))
+
+
+@query("duplicates", Q.WIDE_CTE + """
+select cast(coalesce(sum(n - 1), 0) as bigint) as n_dupes from (
+ select count(*) as n from wide group by Elevation, Slope, Rainfall, Soil_Type)""")
+def q_duplicates(spark, sf_dir):
+    w = C.encode_soil_column(fx.sites_wide(spark, sf_dir))
+    return PR.duplicate_rows(w, ["Elevation", "Slope", "Rainfall", "Soil_Type"])
+
+
+MISSING_COLS = ["site_id", "Elevation", "Slope", "Rainfall", "Soil_Type", "noise", "Suitability"]
+
+
+@query("missing_cells", "with " + ",".join([Q.SITES_RAW, Q.SITES_NUM, Q.SITES_LAB]) + "\n" + "\nunion all\n".join(
+    f"select '{c}' as \"column\", count_if({c} is null) as n_missing from sites_lab having count_if({c} is null) > 0"
+    for c in MISSING_COLS))
+def q_missing_cells(spark, sf_dir):
+    d = C.coerce_numeric(fx.sites_labelled(spark, sf_dir), K.NUMERIC_INPUTS).select(*MISSING_COLS)
+    return PR.missing_cells(d)
+
+
+def _iqr_sql(cols) -> str:
+    qs = ", ".join(f"quantile_cont({c}, 0.25) as q1_{c}, quantile_cont({c}, 0.75) as q3_{c}" for c in cols)
+    parts = []
+    for c in cols:
+        lo, hi = f"(q1_{c} - 1.5*(q3_{c} - q1_{c}))", f"(q3_{c} + 1.5*(q3_{c} - q1_{c}))"
+        parts.append(f"select '{c}' as \"column\", {Q.npround(f'q1_{c}', 9)} as q1, {Q.npround(f'q3_{c}', 9)} as q3, "
+                     f"{Q.npround(lo, 9)} as lower, {Q.npround(hi, 9)} as upper, "
+                     f"(select count_if({c} < {lo} or {c} > {hi}) from sites) as n_outliers from qq")
+    return f", qq as (select {qs} from sites)\nselect * from (" + "\nunion all\n".join(parts) + ") where n_outliers > 0"
+
+
+@query("iqr_outliers", Q.SITES_CTE + _iqr_sql(NUM_PROFILE))
+def q_iqr_outliers(spark, sf_dir):
+    o = PR.iqr_outliers(sites(spark, sf_dir).select(*NUM_PROFILE))
+    return o.select("column", *[np_round(c, 9).alias(c) for c in ("q1", "q3", "lower", "upper")], "n_outliers")
+
+
+@query("bounds", Q.SITES_CTE + "\n" + "\nunion all\n".join(
+    f"select '{c}' as \"column\", coalesce(min({c}), {lo!r}) as min, coalesce(max({c}), {hi!r}) as max from sites"
+    for c, (lo, hi) in K.FALLBACK_BOUNDS.items()))
+def q_bounds(spark, sf_dir):
+    return PR.numeric_bounds(sites(spark, sf_dir))
+
+
+def _corr_sql(cols) -> str:
+    cells = []
+    for a in cols:
+        for b in cols:
+            r = f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
+            cells.append(f"select '{a}' as x, '{b}' as y, {Q.npround(f'case when stddev_pop({a}) * stddev_pop({b}) > 0 then {r} end', 2)} as r from sites")
+    return "\nunion all\n".join(cells)
+
+
+@query("correlation", Q.SITES_CTE + "\n" + _corr_sql(CORR_COLS))
+def q_correlation(spark, sf_dir):
+    return PR.correlation(sites(spark, sf_dir), CORR_COLS)
+
+
+def _hist_sql(cols, bins=K.HIST_BINS) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"select '{c}' as feature, Suitability, {c} as value, (select min({c}) from sites) as lo, "
+                     f"(select max({c}) from sites) as hi from sites where {c} is not null")
+    long = "\nunion all\n".join(parts)
+    return f""", long as ({long}),
+binned as (select feature, Suitability, lo, hi, cast(case when hi - lo > 0 then least(floor((value - lo)/(hi - lo)*{bins}), {bins - 1}) else 0 end as integer) as bin from long)
+select feature, Suitability, bin, lo + bin*((hi - lo)/{bins}) as bin_lo, lo + (bin + 1)*((hi - lo)/{bins}) as bin_hi, count(*) as n
+from binned group by feature, Suitability, bin, lo, hi"""
+
+
+@query("histograms", Q.SITES_CTE + _hist_sql(HIST_COLS))
+def q_histograms(spark, sf_dir):
+    return PR.histograms(sites(spark, sf_dir), HIST_COLS)
+
+
+QUALITY_COLS = ["Elevation", "Slope", "Rainfall", "Soil_Type", "Suitability", "Temperature", "NDVI",
+                "Soil_Moisture", "Elevation_Zone"]
+
+
+@query("quality_report", Q.SITES_CTE + ", s as (select " + ", ".join(QUALITY_COLS) + " from sites)" + f"""
+select 'n_rows' as metric, cast(null as varchar) as "column", cast(count(*) as double) as value from s
+union all select 'n_cols', null, {float(len(QUALITY_COLS))!r}
+union all select 'n_dupes', null, cast(coalesce(sum(n - 1), 0) as double) from (select count(*) as n from s group by {", ".join(QUALITY_COLS)})
+union all select 'total_missing', null, 0e0
+union all select 'class_balance', cast(Suitability as varchar), cast(count(*) as double) from s group by Suitability
+union all select 'class_ratio', null, round_even(cast(count_if(Suitability = 1) as double) / greatest(case when count_if(Suitability = 0) = 0 then 1 else count_if(Suitability = 0) end, 1) * 1e3, 0) / 1e3 from s
+union all select 'outliers', "column", cast(n_outliers as double) from (
+""" + _iqr_sql(QUALITY_COLS).replace(", qq as (", "with qq as (").replace("from sites", "from s") + ")")
+def q_quality_report(spark, sf_dir):
+    return PR.quality_report(sites(spark, sf_dir).select(*QUALITY_COLS))
+
+
+# ------------------------------------------------------------- sampling, splits
+from ..functions.hashing import unit_hash_sql  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import sampling as SA  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+
+
+@query("sample_scatter", Q.SITES_CTE + f"""
+select site_id, Elevation as x, Slope as y, case Suitability when 1 then 'Suitable' else 'Not Suitable' end as class
+from sites order by {unit_hash_sql('site_id', 42)}, site_id limit {K.SCATTER_SAMPLE}""")
+def q_sample_scatter(spark, sf_dir):
+    return SA.scatter(sites(spark, sf_dir), "Elevation", "Slope", key="site_id", n=K.SCATTER_SAMPLE, seed=42)
+
+
+@query("stratified_split_sizes", Q.SITES_CTE + f"""
+select Suitability, count(*) as n, count_if({unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2) as n_test,
+ count_if(not ({unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2)) as n_train from sites group by Suitability""")
+def q_stratified_split_sizes(spark, sf_dir):
+    return SP.split_sizes(sites(spark, sf_dir), key="site_id")
+
+
+@query("fold_sizes", Q.SITES_CTE + f"""
+select cast(least(floor({unit_hash_sql('site_id', K.SPLIT_SEED + 1)} * 5), 4) as integer) as fold, Suitability,
+ count(*) as n from sites group by 1, 2""")
+def q_fold_sizes(spark, sf_dir):
+    return SP.fold_sizes(sites(spark, sf_dir), key="site_id")
+
+
+@query("class_weights", Q.SITES_CTE + f""",
+tr as (select * from sites where not ({unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2))
+select Suitability, count(*) as n_class,
+ cast((select count(*) from tr) as double) / ((select count(distinct Suitability) from tr) * count(*)) as weight
+from tr group by Suitability""")
+def q_class_weights(spark, sf_dir):
+    train, _ = SP.train_test(sites(spark, sf_dir), key="site_id")
+    return SP.class_weights(train)
+
+
+# ------------------------------------------------------- evaluation (rule scorer)
+def scored(spark, sf_dir):
+    """Sites scored by the rule: y = label (with noise), p = rule score / 4, pred = p > 0.625."""
+    s = S.with_prediction(sites(spark, sf_dir), S.RuleScorer())
+    return s.select("site_id", F.col("Suitability").alias("y"), F.col(S.P1).alias("p"),
+                    F.col("Prediction").alias("pred"))
+
+
+SCORED_CTE = Q.SITES_CTE + "," + Q.SCORED
+
+
+@query("binary_metrics", SCORED_CTE + """,
+c as (select count_if(y = 1 and pred = 1) as tp, count_if(y = 0 and pred = 1) as fp,
+  count_if(y = 1 and pred = 0) as fn, count_if(y = 0 and pred = 0) as tn from scored)
+select tp, fp, fn, tn,
+ coalesce(cast(tp + tn as double) / nullif(tp + tn + fp + fn, 0), 0e0) as accuracy,
+ coalesce(cast(tp as double) / nullif(tp + fp, 0), 0e0) as precision,
+ coalesce(cast(tp as double) / nullif(tp + fn, 0), 0e0) as recall,
+ coalesce(cast(2*tp as double) / nullif(2*tp + fp + fn, 0), 0e0) as f1
+from c""")
+def q_binary_metrics(spark, sf_dir):
+    return EV.binary_metrics(scored(spark, sf_dir))
+
+
+@query("confusion", SCORED_CTE + """,
+cells as (select * from (values (0, 0), (0, 1), (1, 0), (1, 1)) v(actual, predicted))
+select cells.actual, cells.predicted, count(scored.y) as n
+from cells left join scored on scored.y = cells.actual and scored.pred = cells.predicted
+group by cells.actual, cells.predicted""")
+def q_confusion(spark, sf_dir):
+    return EV.confusion_matrix(scored(spark, sf_dir))
+
+
+ROC_SQL = SCORED_CTE + """,
+d as (select p as score, count_if(y = 1) as pos, count_if(y <> 1) as neg from scored group by p),
+c as (select score, pos, neg, sum(pos) over (order by score desc rows between unbounded preceding and current row) as tp,
+  sum(neg) over (order by score desc rows between unbounded preceding and current row) as fp from d),
+t as (select count_if(y = 1) as P, count_if(y <> 1) as N from scored)"""
+
+
+@query("roc_points", ROC_SQL + """
+select 'inf'::double as threshold, 0e0 as fpr, 0e0 as tpr
+union all
+select score, cast(fp as double) / N, cast(tp as double) / P from c, t""")
+def q_roc_points(spark, sf_dir):
+    return EV.roc_points(scored(spark, sf_dir))
+
+
+@query("roc_auc", ROC_SQL + """
+select cast(sum(cast(neg * (2*tp - pos) as decimal(38,0))) as double) / (2e0 * cast(P as double) * cast(N as double)) as roc_auc
+from c, t group by P, N""")
+def q_roc_auc(spark, sf_dir):
+    return EV.roc_auc(scored(spark, sf_dir))
+
+
+_EDGES = " + ".join(f"cast(p > {i * (1.0 / K.CALIBRATION_BINS)!r} as integer)" for i in range(1, K.CALIBRATION_BINS))
+
+
+@query("calibration", SCORED_CTE + f"""
+select bin, count(*) as n, cast(count_if(y = 1) as double) / count(*) as frac_pos, {Q.exact_mean('p')} as mean_pred
+from (select *, ({_EDGES}) as bin from scored) group by bin""")
+def q_calibration(spark, sf_dir):
+    return EV.calibration_curve(scored(spark, sf_dir))
+
+
+@query("brier", SCORED_CTE + f"""
+select {Q.npround(Q.exact_mean('(p - y)*(p - y)'), 9)} as brier from scored""")
+def q_brier(spark, sf_dir):
+    b = EV.brier_score(scored(spark, sf_dir))
+    return b.select(np_round("brier", 9).alias("brier"))
+
+
+@query("overfit_gap", SCORED_CTE + f""",
+sp as (select *, {unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2 as is_test from scored),
+a as (select cast(count_if(not is_test and y = pred) as double) / count_if(not is_test) as train_accuracy,
+  cast(count_if(is_test and y = pred) as double) / count_if(is_test) as test_accuracy from sp)
+select train_accuracy, test_accuracy, {Q.npround('train_accuracy - test_accuracy', 9)} as overfit_gap,
+ case when train_accuracy - test_accuracy <= 0.03 then 'green' when train_accuracy - test_accuracy <= 0.06 then 'amber' else 'red' end as band,
+ (train_accuracy - test_accuracy) > 0.05 as warning
+from a""")
+def q_overfit_gap(spark, sf_dir):
+    train, test = SP.train_test(scored(spark, sf_dir), key="site_id")
+    return EV.overfit_gap(train, test)

@@ -68,3 +68,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
+
+
+def materialize(df):
+    """Reliable, eager checkpoint into the shared checkpoint folder.
+
+    Used where one intermediate feeds several branches of a plan (so upstream
+    work runs once) and to cut lineage between iterations. Survives executor
+    loss; never a machine-local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

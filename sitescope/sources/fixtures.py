@@ -23,37 +23,47 @@ def _soil_name(code) -> F.Column:
             .when(code == 3, "Silty").otherwise("Gravel"))
 
 
-def sites_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites as an uploaded CSV would arrive: strings, 'n/a', NULLs, unknown soil.
-
-    Columns: site_id, Elevation, Slope, Rainfall, Soil_Type (strings), noise (double).
-    One row per order (unique key).
-    """
+def _sites_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    elev = ((c * 37 + k * 11) % 30001).cast("double") / 10.0
-    slope = ((k * 7 + c * 13) % 451).cast("double") / 10.0
-    rain = 200.0 + (F.round(F.col("o_totalprice") * 100.0).cast("bigint") % 18001).cast("double") / 10.0
-    noise = ((c * 7919 + k * 10473) % 2001 - 1000).cast("double") / 1000.0 * 0.7
     return o.select(
         k.alias("site_id"),
-        F.when(k % 97 == 0, F.lit("n/a")).otherwise(elev.cast("string")).alias("Elevation"),
-        F.when(k % 89 != 0, slope.cast("string")).alias("Slope"),
-        rain.cast("string").alias("Rainfall"),
+        F.when(k % 97 != 0, ((c * 37 + k * 11) % 30001).cast("double") / 10.0).alias("_e"),
+        F.when(k % 89 != 0, ((k * 7 + c * 13) % 451).cast("double") / 10.0).alias("_s"),
+        (200.0 + (F.round(F.col("o_totalprice") * 100.0).cast("bigint") % 18001).cast("double") / 10.0).alias("_r"),
         _soil_name(k % 5).alias("Soil_Type"),
-        noise.alias("noise"),
+        (((c * 7919 + k * 10473) % 2001 - 1000).cast("double") / 1000.0 * 0.7).alias("noise"),
     )
 
 
+def _as_text(n: DataFrame) -> list:
+    return [
+        F.when(F.col("site_id") % 97 == 0, F.lit("n/a")).otherwise(F.col("_e").cast("string")).alias("Elevation"),
+        F.col("_s").cast("string").alias("Slope"),
+        F.col("_r").cast("string").alias("Rainfall"),
+    ]
+
+
+def sites_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites as an uploaded CSV would arrive: strings, 'n/a', NULLs, unknown soil.
+
+    Columns: site_id, Elevation, Slope, Rainfall, Soil_Type (strings), noise (double).
+    One row per order (unique key).
+    """
+    n = _sites_numbers(spark, sf_dir)
+    return n.select("site_id", *_as_text(n), "Soil_Type", "noise")
+
+
 def sites_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw sites plus the Suitability label drawn from the rule (score + noise > 2.5)."""
-    from ..functions import coerce_double, ndvi, rule_label, rule_score
-    raw = sites_raw(spark, sf_dir)
-    staged = raw.withColumns({f"_{c}": coerce_double(c) for c in ("Elevation", "Slope", "Rainfall")})
-    e, s, r = F.col("_Elevation"), F.col("_Slope"), F.col("_Rainfall")
-    staged = staged.withColumn("_ndvi", ndvi(r))
-    label = rule_label(rule_score(e, s, r, F.col("_ndvi")), F.col("noise"))
-    return staged.withColumn("Suitability", label).drop("_Elevation", "_Slope", "_Rainfall", "_ndvi")
+    """Raw sites plus the Suitability label drawn from the rule (score + noise > 2.5).
+
+    The label is computed from the numbers the text was printed from (the text
+    parses back to exactly these doubles), so no text is parsed twice.
+    """
+    from ..functions import ndvi, rule_label, rule_score
+    n = _sites_numbers(spark, sf_dir).withColumn("_n", ndvi("_r"))
+    label = rule_label(rule_score("_e", "_s", "_r", "_n"), F.col("noise"))
+    return n.select("site_id", *_as_text(n), "Soil_Type", "noise", label.alias("Suitability"))
 
 
 def sites_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
