@@ -82,7 +82,12 @@ def score_single(df: DataFrame, scorer) -> DataFrame:
         "Elevation": F.col("Elevation").cast("double"),
         "Slope": F.col("Slope").cast("double"),
         "Rainfall": F.col("Rainfall").cast("double"),
-    }).withColumns({"error": soil_error(soil), "Soil_Type_Label": soil, "Soil_Type": encode_soil_strict(soil)})
+    })
+    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in K.NUMERIC_INPUTS]
+    num_error = F.when(F.concat_ws(", ", *missing) != "",
+                       F.concat(F.lit("Feature derivation error: missing "), F.concat_ws(", ", *missing)))
+    base = base.withColumns({"error": F.coalesce(soil_error(soil), num_error), "Soil_Type_Label": soil,
+                             "Soil_Type": encode_soil_strict(soil)})
     base = base.withColumns(rounded_single("Elevation", "Slope", "Rainfall"))
     s = with_prediction(base, scorer)
     ok = F.col("error").isNull()

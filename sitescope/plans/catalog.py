@@ -649,3 +649,145 @@ from a""")
 def q_overfit_gap(spark, sf_dir):
     train, test = SP.train_test(scored(spark, sf_dir), key="site_id")
     return EV.overfit_gap(train, test)
+
+
+# ----------------------------------------------------- forest (rows-only checks)
+from . import model as M  # noqa: E402
+from . import registry as R  # noqa: E402
+from ..session import shared_path  # noqa: E402
+
+# few, shallow trees keep the catalogue cheap; the bench fits the reference configuration
+SMALL_FOREST = M.ForestConfig(numTrees=10, maxDepth=5, minInstancesPerNode=30)
+_TRAINED: dict = {}
+
+
+def trained(spark, sf_dir, cv_folds: int = 0) -> M.TrainResult:
+    key = (id(spark), sf_dir, cv_folds)
+    if key not in _TRAINED:
+        _TRAINED[key] = M.train_model(sites(spark, sf_dir), "site_id", SMALL_FOREST, cv_folds=cv_folds)
+    return _TRAINED[key]
+
+
+@query("rf_metrics")
+def q_rf_metrics(spark, sf_dir):
+    r = trained(spark, sf_dir, cv_folds=K.CV_FOLDS)
+    keys = ["accuracy", "precision", "recall", "f1", "roc_auc", "brier_score", "train_accuracy", "overfit_gap",
+            "cv_mean", "cv_std", "train_time_s"]
+    row = [float(r.metrics[k]) if r.metrics.get(k) is not None else None for k in keys]
+    out = spark.createDataFrame([row + [r.metrics["n_train"], r.metrics["n_test"]]],
+                                ", ".join(f"{k} double" for k in keys) + ", n_train long, n_test long")
+    return out.withColumns({"gap_band": gap_band_col("overfit_gap"),
+                            "gap_warning": F.col("overfit_gap") > K.WARN_GAP,
+                            "cv_warning": F.col("cv_std") > K.WARN_CV_STD})
+
+
+def gap_band_col(c):
+    from ..functions import gap_band
+    return gap_band(c)
+
+
+@query("rf_confusion")
+def q_rf_confusion(spark, sf_dir):
+    return trained(spark, sf_dir).tables["confusion"]
+
+
+@query("rf_roc")
+def q_rf_roc(spark, sf_dir):
+    return trained(spark, sf_dir).tables["roc"]
+
+
+@query("rf_calibration")
+def q_rf_calibration(spark, sf_dir):
+    return trained(spark, sf_dir).tables["calibration"]
+
+
+@query("rf_importances")
+def q_rf_importances(spark, sf_dir):
+    return trained(spark, sf_dir).tables["importances"]
+
+
+@query("rf_cv")
+def q_rf_cv(spark, sf_dir):
+    return trained(spark, sf_dir, cv_folds=K.CV_FOLDS).tables["cv"]
+
+
+@query("rf_learning_curve")
+def q_rf_learning_curve(spark, sf_dir):
+    s = sites(spark, sf_dir)
+    data = M.assembler().transform(s.select(F.col("site_id").alias("_key"), K.LABEL_COL, *K.FEATURE_COLS))
+    cfg = M.ForestConfig(numTrees=3, maxDepth=4, minInstancesPerNode=30)
+    sizes = [0.1 + i * (0.9 / 7) for i in range(8)]
+    return M.learning_curve(data, cfg, sizes, folds=3)
+
+
+@query("rf_batch_score")
+def q_rf_batch_score(spark, sf_dir):
+    scorer = S.ForestScorer(trained(spark, sf_dir).model)
+    return S.score_batch(fx.sites_wide(spark, sf_dir), scorer).select(
+        "site_id", "Prediction", "Confidence", "Label", "Conf_Tier")
+
+
+@query("rf_batch_summary")
+def q_rf_batch_summary(spark, sf_dir):
+    scorer = S.ForestScorer(trained(spark, sf_dir).model)
+    return S.batch_summary(S.score_batch(fx.sites_wide(spark, sf_dir), scorer))
+
+
+@query("rf_single_score")
+def q_rf_single_score(spark, sf_dir):
+    scorer = S.ForestScorer(trained(spark, sf_dir).model)
+    s = S.score_single(_single_input(spark, sf_dir), scorer)
+    return s.select("site_id", "prediction", "confidence", "label", "conf_tier", "conf_color",
+                    F.size(F.filter("conditions", lambda c: c["passed"])).alias("n_passed"), "error")
+
+
+def similar_scored(districts, elevation, rainfall, scorer, n=K.SIMILAR_TOP_N):
+    """Top-N similar districts, each scored as a moderate-slope loamy site."""
+    top = SIM.similar_districts(districts, elevation, rainfall, n)
+    inp = top.select("rank", F.col("elevation").cast("double").alias("Elevation"),
+                     F.lit(K.SIMILAR_SLOPE).alias("Slope"), F.col("annual_rainfall").cast("double").alias("Rainfall"),
+                     F.lit(K.SIMILAR_SOIL).alias("Soil_Type"))
+    s = S.score_single(inp, scorer).select(
+        "rank", F.coalesce("label", F.lit("N/A")).alias("Predicted_Suitability"),
+        np_round(F.coalesce("confidence", F.lit(0.0)), 3).alias("Prediction_Confidence"))
+    return top.join(F.broadcast(s), "rank")  # both sides hold at most n rows
+
+
+@query("rf_similar_scored")
+def q_rf_similar_scored(spark, sf_dir):
+    return similar_scored(fx.districts(spark, sf_dir), 600.0, 800.0, S.ForestScorer(trained(spark, sf_dir).model))
+
+
+@query("rf_onehot_importances")
+def q_rf_onehot_importances(spark, sf_dir):
+    cfg = M.ForestConfig(numTrees=10, maxDepth=5, minInstancesPerNode=1, balanced=False)
+    return M.onehot_importances(sites(spark, sf_dir), cfg)
+
+
+@query("rf_reload_eval")
+def q_rf_reload_eval(spark, sf_dir):
+    """Save, reload and re-evaluate on a seeded sample of up to 20 000 rows (in-sample rows included)."""
+    base = shared_path(spark, "registry")
+    R.save_run(spark, trained(spark, sf_dir), base)
+    model = R.load_model(spark, base)
+    sample = SA.sample_rows(sites(spark, sf_dir), K.REEVAL_SAMPLE, "site_id", seed=42)
+    s = S.with_prediction(sample, S.ForestScorer(model)).select(
+        F.col("Suitability").alias("y"), F.col(S.P1).alias("p"), F.col("Prediction").alias("pred"))
+    bm = EV.binary_metrics(s).select("accuracy", "f1", "tp", "fp", "fn", "tn")
+    auc = EV.roc_auc(s)
+    return bm.withColumn("roc_auc", auc.select("roc_auc").scalar())
+
+
+@query("rf_load_or_train")
+def q_rf_load_or_train(spark, sf_dir):
+    """Policy run twice over the orders table: first trains ('retrained'), then loads ('loaded')."""
+    base = shared_path(spark, "registry")
+    data = fx.table(spark, sf_dir, "orders")
+    path = f"{sf_dir.rstrip('/')}/orders.parquet"
+    out = []
+    for _ in range(2):
+        _, meta, status = R.load_or_train(spark, sites(spark, sf_dir), "site_id", path, base, config=SMALL_FOREST,
+                                          cv_folds=0)
+        out.append(meta.select(F.lit(status).alias("status"), "n_train", "n_test", "accuracy", "f1", "roc_auc"))
+    del data
+    return out[0].unionByName(out[1])
