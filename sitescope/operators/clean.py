@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -18,16 +18,23 @@ def coerce_numeric(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: coerce_typed(c, df.schema[c].dataType) for c in cols if c in df.columns})
 
 
-def drop_missing(df: DataFrame, cols, observation: Observation | None = None) -> DataFrame:
-    """Drop rows missing any of ``cols``; the dropped count is observed, not counted."""
-    if observation is not None:
-        missing = F.lit(False)
-        for c in cols:
-            missing = missing | F.col(c).isNull()
-        df = df.observe(observation, F.count_if(missing).alias("dropped"), F.count(F.lit(1)).alias("rows_in"))
+def drop_missing(df: DataFrame, cols) -> DataFrame:
+    """Drop rows missing any of ``cols``."""
     return df.na.drop(subset=list(cols))
 
 
+def dropped_counts(df: DataFrame, cols=None) -> DataFrame:
+    """One-row report of rows in and rows a cleaning step would drop (missing core values).
+
+    ``df`` is the coerced table (see ``coerce_numeric``).
+    """
+    cols = list(cols or [c for c in K.NUMERIC_INPUTS + [K.LABEL_COL] if c in df.columns])
+    missing = F.lit(False)
+    for c in cols:
+        missing = missing | F.col(c).isNull()
+    return df.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(missing).alias("dropped"))
+
+
 def label_to_int(df: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
     """Coerce the label leniently, truncate toward zero, reject non-binary tables.
 
@@ -77,8 +84,10 @@ def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
     out = {}
     if mode == "row":
         for c, expr in derived.items():
-            given = coerce_typed(c, df.schema[c].dataType)
-            out[c] = F.coalesce(given, expr.cast("double")) if c in present else expr
+            if c in present:
+                out[c] = F.coalesce(coerce_typed(c, df.schema[c].dataType), expr.cast("double"))
+            else:
+                out[c] = expr
     else:
         if present:
             flags = df.select(F.struct(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in present])).scalar()
@@ -96,22 +105,22 @@ def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
     return out_df.drop("_any_null") if present and mode != "row" else out_df
 
 
-def clean_sites(df: DataFrame, observation: Observation | None = None, mode: str = "table") -> DataFrame:
+def clean_sites(df: DataFrame, mode: str = "table") -> DataFrame:
     """Training table: coerce -> drop missing core values -> binary label -> soil -> features."""
     require_columns(df, K.REQUIRED_SITE_COLS, "training table")
     df = coerce_numeric(df, K.NUMERIC_INPUTS)
     df = coerce_numeric(df, [K.LABEL_COL])
-    df = drop_missing(df, K.NUMERIC_INPUTS + [K.LABEL_COL], observation)
+    df = drop_missing(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
     df = label_to_int(df)
     df = encode_soil_column(df)
     return derive_features(df, mode=mode)
 
 
-def clean_batch(df: DataFrame, observation: Observation | None = None, mode: str = "table") -> DataFrame:
+def clean_batch(df: DataFrame, mode: str = "table") -> DataFrame:
     """Batch input: coerce -> drop missing numerics -> lenient soil -> features."""
     require_columns(df, K.REQUIRED_BATCH_COLS, "batch input")
     df = coerce_numeric(df, K.NUMERIC_INPUTS)
-    df = drop_missing(df, K.NUMERIC_INPUTS, observation)
+    df = drop_missing(df, K.NUMERIC_INPUTS)
     df = encode_soil_column(df)
     return derive_features(df, mode=mode)
 

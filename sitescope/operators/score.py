@@ -57,12 +57,12 @@ def with_prediction(df: DataFrame, scorer) -> DataFrame:
         "_conf", F.when(F.col("Prediction") == 1, p).otherwise(F.lit(1.0) - p))
 
 
-def score_batch(df: DataFrame, scorer, observation=None, mode: str = "table") -> DataFrame:
+def score_batch(df: DataFrame, scorer, mode: str = "table") -> DataFrame:
     """Batch scoring: lenient soil, derived features; confidence 4 dp, tier from the rounded value.
 
     Input columns are kept.
     """
-    clean = clean_batch(df, observation=observation, mode=mode)
+    clean = clean_batch(df, mode=mode)
     s = with_prediction(clean, scorer)
     conf = np_round("_conf", 4)
     return (s.withColumn("Confidence", conf)

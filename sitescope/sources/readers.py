@@ -25,11 +25,11 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
     return reader.load(path)
 
 
-def load_sites(spark: SparkSession, path: str, fmt: str | None = None, observation=None) -> DataFrame:
+def load_sites(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Training scan: validated, cleaned, soil-encoded, feature-derived sites."""
     from ..operators.clean import clean_sites
     df = require_columns(read_table(spark, path, fmt), K.REQUIRED_SITE_COLS, "training table")
-    return clean_sites(df, observation=observation)
+    return clean_sites(df)
 
 
 def load_districts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
