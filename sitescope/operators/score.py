@@ -32,7 +32,7 @@ class RuleScorer:
 
 
 class ForestScorer:
-    """Wraps a fitted ``PipelineModel`` (assembler + forest); argmax, tie -> class 0."""
+    """Wraps a fitted forest (``ForestEnsemble`` or a ``PipelineModel``); argmax, tie -> class 0."""
 
     threshold = 0.5
 
@@ -41,6 +41,8 @@ class ForestScorer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
+        if hasattr(self.model, "forests"):  # sub-forest ensemble: averages probabilities itself
+            return self.model.transform(df, out=P1)
         out = self.model.transform(df)
         out = out.withColumn(P1, vector_to_array(F.col("probability"))[1])
         drop = [c for c in ("features", "rawPrediction", "probability", "prediction") if c in out.columns

@@ -48,9 +48,76 @@ class ForestConfig:
         return rf
 
 
+class ForestEnsemble:
+    """A random forest fitted as independently seeded sub-forests.
+
+    Trees of a random forest are independent given their bootstrap draws, so k
+    sub-forests of n/k trees with distinct seeds form one forest of n trees;
+    its class-1 probability is the mean over all trees, i.e. the mean of the
+    sub-forest probabilities (equal sizes). Fitting the sub-forests from
+    concurrent driver threads lets Spark overlap MLlib's per-level jobs, which
+    alone leave most cores idle on small inputs.
+    """
+
+    def __init__(self, assembler: VectorAssembler, forests: list):
+        self.assembler, self.forests = assembler, forests
+
+    @property
+    def num_trees(self) -> int:
+        return sum(f.getNumTrees for f in self.forests)
+
+    def transform(self, df: DataFrame, out: str = "probability_1") -> DataFrame:
+        x = self.assembler.transform(df)
+        cols = []
+        for i, f in enumerate(self.forests):
+            f = f.copy().setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
+            x = f.transform(x).drop(f"_raw{i}", f"_pred{i}")
+            cols.append((vector_to_array(F.col(f"_prob{i}"))[1], f.getNumTrees))
+        total = float(sum(n for _, n in cols))
+        p1 = sum(c * (n / total) for c, n in cols)
+        return x.withColumn(out, p1).drop("features", *[f"_prob{i}" for i in range(len(self.forests))])
+
+    def feature_importances(self) -> list[float]:
+        total = float(self.num_trees)
+        acc = [0.0] * len(self.assembler.getInputCols())
+        for f in self.forests:
+            w = f.getNumTrees / total
+            for j, v in enumerate(f.featureImportances.toArray().tolist()):
+                acc[j] += w * v
+        return acc
+
+    def save(self, path: str) -> None:
+        PipelineModel(stages=[self.assembler]).write().overwrite().save(f"{path}/assembler")
+        for i, f in enumerate(self.forests):
+            f.write().overwrite().save(f"{path}/forest-{i:03d}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "ForestEnsemble":
+        from pyspark.ml.classification import RandomForestClassificationModel
+        asm = PipelineModel.load(f"{path}/assembler").stages[0]
+        jvm = spark.sparkContext._jvm
+        fs_path = jvm.org.apache.hadoop.fs.Path(path)
+        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(st.getPath().getName() for st in fs.listStatus(fs_path)
+                       if st.getPath().getName().startswith("forest-"))
+        return cls(asm, [RandomForestClassificationModel.load(f"{path}/{n}") for n in names])
+
+
+def fit_forest(train: DataFrame, config: "ForestConfig", sub_forests: int | None = None) -> list:
+    """Fit ``config.numTrees`` trees as parallel sub-forests (seeds seed, seed+1, ...)."""
+    k = sub_forests or min(8, config.numTrees)
+    k = max(1, min(k, config.numTrees))
+    sizes = [config.numTrees // k + (1 if i < config.numTrees % k else 0) for i in range(k)]
+
+    def one(i):
+        cfg = ForestConfig(**{**config.__dict__, "numTrees": sizes[i], "seed": config.seed + i})
+        return cfg.estimator().fit(train)
+    return _parallel(one, list(range(k)), k)
+
+
 @dataclass
 class TrainResult:
-    model: PipelineModel
+    model: ForestEnsemble
     metrics: dict = field(default_factory=dict)       # scalars
     tables: dict = field(default_factory=dict)        # name -> small DataFrame
 
@@ -61,8 +128,11 @@ def assembler() -> VectorAssembler:
 
 
 def _probability_frame(pred: DataFrame) -> DataFrame:
-    return pred.select(F.col(K.LABEL_COL).alias("y"), vector_to_array("probability")[1].alias("p"),
-                       F.col("prediction").cast("int").alias("pred"), *[c for c in ("_key",) if c in pred.columns])
+    """(y, p, pred) from either an MLlib model output or an ensemble output."""
+    p = F.col("probability_1") if "probability_1" in pred.columns else vector_to_array("probability")[1]
+    pr = (p > 0.5).cast("int") if "probability_1" in pred.columns else F.col("prediction").cast("int")
+    return pred.select(F.col(K.LABEL_COL).alias("y"), p.alias("p"), pr.alias("pred"),
+                       *[c for c in ("_key",) if c in pred.columns])
 
 
 def _f1_and_rows(pred: DataFrame) -> tuple[float, int]:
@@ -103,7 +173,7 @@ class _Persisted:
 
 def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_folds: int = K.CV_FOLDS,
                 learning_curve_sizes: list[float] | None = None, learning_curve_trees: int = K.LEARNING_CURVE_TREES,
-                learning_curve_folds: int = 3) -> TrainResult:
+                learning_curve_folds: int = 3, sub_forests: int | None = None) -> TrainResult:
     """Stratified (hash) 80/20 split, balanced weights, forest fit, full evaluation."""
     config = config or ForestConfig()
     require_columns(df, K.FEATURE_COLS, "training features")
@@ -112,18 +182,22 @@ def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_
 
     asm = assembler()
     data = asm.transform(df.select(F.col(key).alias("_key"), K.LABEL_COL, *K.FEATURE_COLS)) \
-        .select("_key", K.LABEL_COL, "features")
+        .select("_key", K.LABEL_COL, "features", *K.FEATURE_COLS)
     data = SP.with_split(data, "_key").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train = SP.with_class_weight(data.where(~F.col("is_test")))
         test = data.where(F.col("is_test"))
+        fit_input = train.select(K.LABEL_COL, "features", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        fit_input.count()
         t0 = time.perf_counter()
-        rf_model = config.estimator().fit(train)
+        forests = fit_forest(fit_input, config, sub_forests)
         train_time = time.perf_counter() - t0
-        model = PipelineModel(stages=[asm, rf_model])
+        fit_input.unpersist()
+        model = ForestEnsemble(asm, forests)
 
-        scored_test = _probability_frame(rf_model.transform(test))
-        scored_train = _probability_frame(rf_model.transform(train))
+        # each scored part is (y, p, pred) only; persisted once, read by every metric
+        scored_test = _probability_frame(model.transform(test.drop("features"))).persist(StorageLevel.MEMORY_AND_DISK)
+        scored_train = _probability_frame(model.transform(train.drop("features"))).persist(StorageLevel.MEMORY_AND_DISK)
         bm = EV.binary_metrics(scored_test).first().asDict()
         train_acc = float(EV.binary_metrics(scored_train).select("accuracy").first()[0])
         auc = EV.roc_auc(scored_test).first()[0]
@@ -157,6 +231,8 @@ def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_
             tables["learning_curve"] = learning_curve(data, lc_cfg, learning_curve_sizes, learning_curve_folds)
         # materialise the small tables before the shared frame is released
         tables = {k: _freeze(v) for k, v in tables.items()}
+        scored_test.unpersist()
+        scored_train.unpersist()
         return TrainResult(model=model, metrics=metrics, tables=tables)
     finally:
         data.unpersist()
@@ -201,11 +277,13 @@ def learning_curve(data: DataFrame, config: ForestConfig, sizes: list[float], fo
     return data.sparkSession.createDataFrame(rows, "fraction double, train_size long, train_f1 double, val_f1 double")
 
 
-def importances(model: PipelineModel, names=None) -> DataFrame:
+def importances(model, names=None) -> DataFrame:
     """(feature, importance) from the fitted forest, sorted by importance descending."""
-    rf = model.stages[-1]
     names = names or K.FEATURE_COLS
-    vals = rf.featureImportances.toArray().tolist()
+    if isinstance(model, ForestEnsemble):
+        vals = model.feature_importances()
+    else:
+        vals = model.stages[-1].featureImportances.toArray().tolist()
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
     return ss.createDataFrame(list(zip(names, [float(v) for v in vals])), "feature string, importance double") \

@@ -1,6 +1,6 @@
 """Model persistence, run metadata, staleness and the load-or-train policy.
 
-Models are MLlib ``PipelineModel`` directories; each training run appends one
+Models are directories of MLlib forest models (see ``ForestEnsemble``); each run appends one
 row to a ``model_runs`` Parquet table and its metric tables under
 ``metrics/<name>`` keyed by ``run_id``. Staleness compares the newest input
 file modification time (Spark's ``_metadata`` column, an aggregate over the
@@ -12,12 +12,11 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .model import ForestConfig, TrainResult, train_model
+from .model import ForestConfig, ForestEnsemble, TrainResult, train_model
 
 RUN_SCHEMA = ("run_id string, trained_at string, saved_at timestamp, n_train long, n_test long, accuracy double, "
               "f1 double, roc_auc double, cv_mean double, cv_std double, overfit_gap double, train_time_s double, "
@@ -34,7 +33,7 @@ def save_run(spark: SparkSession, result: TrainResult, base: str) -> str:
     """Persist model, metadata row and metric tables; returns the run id."""
     run_id = uuid.uuid4().hex[:16]
     model_path = f"{base}/models/{run_id}"
-    result.model.write().overwrite().save(model_path)
+    result.model.save(model_path)
     m = result.metrics
     row = (run_id, m.get("trained_at", ""), datetime.now(), int(m.get("n_train", 0)), int(m.get("n_test", 0)),
            float(m.get("accuracy") or 0.0), float(m.get("f1") or 0.0), float(m.get("roc_auc") or 0.0),
@@ -58,7 +57,7 @@ def latest_run(spark: SparkSession, base: str) -> DataFrame | None:
     return None if r is None else r.orderBy(F.desc("saved_at"), F.desc("run_id")).limit(1)
 
 
-def load_model(spark: SparkSession, base: str, run_id: str | None = None) -> PipelineModel | None:
+def load_model(spark: SparkSession, base: str, run_id: str | None = None) -> ForestEnsemble | None:
     r = runs(spark, base)
     if r is None:
         return None
@@ -67,7 +66,7 @@ def load_model(spark: SparkSession, base: str, run_id: str | None = None) -> Pip
     if row is None:
         return None
     try:
-        return PipelineModel.load(row["model_path"])
+        return ForestEnsemble.load(spark, row["model_path"])
     except (AnalysisException, Exception):  # noqa: BLE001 - unreadable model = no model
         return None
 
