@@ -791,3 +791,26 @@ def q_rf_load_or_train(spark, sf_dir):
         out.append(meta.select(F.lit(status).alias("status"), "n_train", "n_test", "accuracy", "f1", "roc_auc"))
     del data
     return out[0].unionByName(out[1])
+
+
+# ------------------------------------------------------------------- streaming
+@query("stream_window_rate", "with " + ",".join([Q.SITES_RAW, Q.SITES_NUM]) + f""",
+ev as (select o_orderkey as site_id, o_orderdate as ts from orders),
+s as (select sites_num.*, ts from sites_num join ev using (site_id)
+      where Elevation is not null and Slope is not null and Rainfall is not null),
+p as (select ts, cast({Q.rule_p('Elevation', 'Slope', 'Rainfall', Q.ndvi('Rainfall'))} > 6.25e-1 as integer) as pred from s)
+select cast(floor(epoch(ts) / 2592000) * 2592000 as bigint) as window_start_s,
+ cast(floor(epoch(ts) / 2592000) * 2592000 + 2592000 as bigint) as window_end_s,
+ count(*) as n_sites, count_if(pred = 1) as n_suitable
+from p group by 1, 2""")
+def q_stream_window_rate(spark, sf_dir):
+    """Sites arrive as files (event time = order date); scored on arrival; 30-day suitable counts."""
+    from ..streaming import run_to_table, score_stream, windowed_rate
+    from ..streaming.scoring import ntz_as_utc
+    base = shared_path(spark, "stream")
+    ev = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site_id"),
+                                                   ntz_as_utc("o_orderdate").alias("ts"))
+    src = fx.sites_raw(spark, sf_dir).join(ev, "site_id")
+    src.repartition(4, "site_id").write.parquet(f"{base}/in")
+    scored_stream = score_stream(spark, f"{base}/in", src.schema, S.RuleScorer(), max_files_per_trigger=2)
+    return run_to_table(windowed_rate(scored_stream, "ts"), f"{base}/out", f"{base}/ckpt")
