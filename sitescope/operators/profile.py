@@ -164,34 +164,63 @@ def histograms(df: DataFrame, features, label: str = K.LABEL_COL, bins: int = K.
 def quality_report(df: DataFrame, label: str = K.LABEL_COL, accuracy: int | None = None) -> DataFrame:
     """Long-form report (metric, column, value): rows, columns, duplicates,
     missing per column and total, IQR outliers per numeric column, class counts
-    and class ratio."""
+    and class ratio.
+
+    Three passes over the input whatever its width: (1) one profile aggregate
+    (row count, missing cells per column, class counts, all quartiles) run as a
+    scalar subquery, (2) outlier counts against those quartiles, (3) the
+    duplicate count. Everything else is arithmetic on one row.
+    """
     spark = df.sparkSession
-    parts = [
-        df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-            F.lit("n_rows").alias("metric"), F.lit(None).cast("string").alias("column"), "value"),
-        spark.range(1).select(F.lit("n_cols").alias("metric"), F.lit(None).cast("string").alias("column"),
-                              F.lit(float(len(df.columns))).alias("value")),
-        duplicate_rows(df).select(F.lit("n_dupes").alias("metric"), F.lit(None).cast("string").alias("column"),
-                                  F.col("n_dupes").cast("double").alias("value")),
-    ]
-    miss = missing_cells(df, keep_zero=True)
-    parts.append(miss.where(F.col("n_missing") > 0).select(F.lit("missing").alias("metric"), "column",
-                                                            F.col("n_missing").cast("double").alias("value")))
-    parts.append(miss.agg(F.sum("n_missing").cast("double").alias("value")).select(
-        F.lit("total_missing").alias("metric"), F.lit(None).cast("string").alias("column"), "value"))
-    parts.append(iqr_outliers(df, accuracy=accuracy).select(F.lit("outliers").alias("metric"), "column",
-                                                           F.col("n_outliers").cast("double").alias("value")))
-    if label in df.columns:
-        parts.append(class_counts(df, label).select(F.lit("class_balance").alias("metric"),
-                                                    F.col(label).cast("string").alias("column"),
-                                                    F.col("n").cast("double").alias("value")))
-        parts.append(class_ratio(df, label).select(F.lit("class_ratio").alias("metric"),
-                                                   F.lit(None).cast("string").alias("column"),
-                                                   F.col("class_ratio").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    nums = numeric_columns(df)
+    has_label = label in df.columns
+
+    def is_missing(c):
+        nan = F.isnan(c) if isinstance(df.schema[c].dataType, NumericType) else F.lit(False)
+        return F.col(c).isNull() | nan
+
+    prof = [F.count(F.lit(1)).alias("n_rows")]
+    prof += [F.count_if(is_missing(c)).alias(f"m__{c}") for c in df.columns]
+    if has_label:
+        prof += [F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")]
+    if nums:
+        probs = [0.25, 0.75]
+        prof += [(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])) if accuracy is None
+                  else F.percentile_approx(F.col(c).cast("double"), probs, accuracy)).alias(f"q__{c}") for c in nums]
+    staged = df.withColumn("_p", df.select(F.struct(*prof)).scalar())  # pass 1, attached once
+
+    def fences(c):
+        q1, q3 = F.col(f"_p.q__{c}")[0], F.col(f"_p.q__{c}")[1]
+        return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+    outl = []
+    for c in nums:
+        lo, hi = fences(c)
+        x = F.col(c).cast("double")
+        outl.append(F.count_if((x < lo) | (x > hi)).alias(f"o__{c}"))
+    row = staged.agg(*outl, F.first("_p").alias("_p"))                  # pass 2
+    dupes = duplicate_rows(df).select(F.col("n_dupes").alias("_d"))     # pass 3 (one row)
+    row = row.withColumn("_d", dupes.scalar())
+
+    def item(metric, column, value):
+        return F.struct(F.lit(metric).alias("metric"), (F.lit(column) if column is not None else
+                        F.lit(None).cast("string")).alias("column"), value.cast("double").alias("value"))
+
+    items = [item("n_rows", None, F.col("_p.n_rows")), item("n_cols", None, F.lit(float(len(df.columns)))),
+             item("n_dupes", None, F.col("_d"))]
+    items += [item("missing", c, F.col(f"_p.m__{c}")) for c in df.columns]
+    total_missing = sum((F.col(f"_p.m__{c}") for c in df.columns), F.lit(0))
+    items.append(item("total_missing", None, total_missing))
+    items += [item("outliers", c, F.col(f"o__{c}")) for c in nums]
+    if has_label:
+        n0, n1 = F.col("_p.n0"), F.col("_p.n1")
+        items += [item("class_balance", "0", n0), item("class_balance", "1", n1)]
+        denom = F.greatest(F.when(n0 == 0, F.lit(1)).otherwise(n0), F.lit(1)).cast("double")
+        items.append(item("class_ratio", None, np_round(n1.cast("double") / denom, 3)))
+    out = row.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    # per-column entries only when positive; class counts only for present classes
+    keep = (~F.col("metric").isin("missing", "outliers", "class_balance")) | (F.col("value") > 0)
+    return out.where(keep)
 
 
 def overview(df: DataFrame, flag: str) -> DataFrame:
