@@ -89,57 +89,80 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
                  cells_per_axis: int | None = None) -> DataFrame:
     """Exact top-N nearest districts for every target, without all pairs.
 
-    Districts are binned into a G x G grid over the scaled unit square. Each
-    target first looks at the 3 x 3 block of cells around it; its answer is
-    final when it found N districts all closer than the nearest block edge (or
-    the block covers the whole grid). Unresolved targets widen the block (radius
-    doubles) in the next round, so the result is exact while the pair count per
-    target stays near N * 9 for spread-out data. Candidate top-N per target uses
-    ``row_number`` over a window with a limit, which Spark evaluates partially
-    before the shuffle (``WindowGroupLimit``).
+    Districts are binned into an equal-frequency G x G grid over the scaled
+    plane: per axis, G-1 approximate quantile edges (a bounded list), so a
+    dense cluster is cut into many small cells instead of landing in one.
+    Each target first looks at the 3 x 3 block of cells around it; its answer
+    is final when it found N districts all strictly closer than the nearest
+    block edge that is not the grid border (or the block covers the whole
+    grid). Unresolved targets widen the block (radius doubles) in the next
+    round, so the result is exact while the pair count per target stays near
+    9 cells' worth. Districts at one exact position are pruned to the first N
+    by name first: no target can tell them apart. Candidate top-N per target
+    uses ``row_number`` with a limit, which Spark evaluates partially before
+    the shuffle (``WindowGroupLimit``). Each round's result is checkpointed.
     """
+    from pyspark.ml.feature import Bucketizer
+
     mm = minmax_scalar(districts).alias("_mm")
     params = districts.sparkSession.range(1).select(mm).first()["_mm"]  # one row of 5 numbers
-    n_rows = params["n_rows"]
-    g = cells_per_axis or max(1, int((max(n_rows, 1) / max(n, 1)) ** 0.5))
 
     def rng(lo, hi):
         return (hi - lo) if hi is not None and lo is not None and hi - lo != 0 else 1.0
     e_lo, e_rng = F.lit(float(params["elevation_min"] or 0.0)), F.lit(float(rng(params["elevation_min"], params["elevation_max"])))
     r_lo, r_rng = F.lit(float(params["annual_rainfall_min"] or 0.0)), F.lit(float(rng(params["annual_rainfall_min"], params["annual_rainfall_max"])))
 
-    def cell(x):
-        return F.least(F.greatest(F.floor(x * g), F.lit(0)), F.lit(g - 1)).cast("int")
-
     dx = F.coalesce(F.col("elevation").cast("double"), F.lit(0.0))
     dy = F.coalesce(F.col("annual_rainfall").cast("double"), F.lit(0.0))
-    dist_cols = districts.withColumns({"_dx": scaled(dx, e_lo, e_rng), "_dy": scaled(dy, r_lo, r_rng)}) \
-        .withColumns({"_cx": cell(F.col("_dx")), "_cy": cell(F.col("_dy"))})
+    pts = districts.withColumns({"_dx": scaled(dx, e_lo, e_rng), "_dy": scaled(dy, r_lo, r_rng)})
     # Districts at one exact position are equally far from every target, so
     # only the first N of them (by the tie keys) can ever be chosen.
     wpos = Window.partitionBy("_dx", "_dy").orderBy("state", "district", district_key)
-    dist_cols = dist_cols.withColumn("_pos_rank", F.row_number().over(wpos)).where(F.col("_pos_rank") <= n)
+    pts = pts.withColumn("_pos_rank", F.row_number().over(wpos)).where(F.col("_pos_rank") <= n).drop("_pos_rank")
+
+    n_rows = params["n_rows"]
+    g = cells_per_axis or max(1, int((max(n_rows, 1) / max(n, 1)) ** 0.5))
+    probs = [i / g for i in range(1, g)]
+    if probs:
+        q = pts.select(F.percentile_approx("_dx", probs, 10000).alias("x"),
+                       F.percentile_approx("_dy", probs, 10000).alias("y")).first()  # <= 2 (g-1) numbers
+        ex, ey = sorted(set(q["x"] or [])), sorted(set(q["y"] or []))
+    else:
+        ex, ey = [], []
+    gx, gy = len(ex) + 1, len(ey) + 1
+    inf = float("inf")
+    def cells(df, x, y, cx, cy):
+        for src, edges, out in ((x, ex, cx), (y, ey, cy)):
+            if not edges:  # a single cell on this axis
+                df = df.withColumn(out, F.lit(0))
+                continue
+            b = Bucketizer(splits=[-inf] + edges + [inf], inputCol="_b", outputCol="_bd")
+            df = b.transform(df.withColumn("_b", F.col(src))).withColumn(out, F.col("_bd").cast("int")).drop("_b", "_bd")
+        return df
+
+    dist_cols = cells(pts, "_dx", "_dy", "_cx", "_cy")
     tg = targets.withColumns({
         "_tx": scaled(F.col("elevation").cast("double"), e_lo, e_rng),
         "_ty": scaled(F.col("rainfall").cast("double"), r_lo, r_rng),
-    }).withColumns({"_tcx": cell(F.col("_tx")), "_tcy": cell(F.col("_ty"))}).select(
-        target_key, "_tx", "_ty", "_tcx", "_tcy")
+    })
+    tg = cells(tg, "_tx", "_ty", "_tcx", "_tcy").select(target_key, "_tx", "_ty", "_tcx", "_tcy")
+    # cell k on an axis spans [E_k, E_k+1) with E_0 = -inf; E_k = edges[k-1] (1-based element_at)
+    ex_arr = F.array(*[F.lit(float(v)) for v in ex]) if ex else None
+    ey_arr = F.array(*[F.lit(float(v)) for v in ey]) if ey else None
 
     results = []
     pending = tg
     radius = 1
     while True:
-        # block of cells within `radius`, clamped to the grid
-        x0, x1 = F.greatest(F.col("_tcx") - radius, F.lit(0)), F.least(F.col("_tcx") + radius, F.lit(g - 1))
-        y0, y1 = F.greatest(F.col("_tcy") - radius, F.lit(0)), F.least(F.col("_tcy") + radius, F.lit(g - 1))
-        covers_all = (x0 == 0) & (y0 == 0) & (x1 == g - 1) & (y1 == g - 1)
-        # distance from the target to the nearest inner edge of the block that is not the grid border
-        inf = F.lit(float("inf"))
+        x0, x1 = F.greatest(F.col("_tcx") - radius, F.lit(0)), F.least(F.col("_tcx") + radius, F.lit(gx - 1))
+        y0, y1 = F.greatest(F.col("_tcy") - radius, F.lit(0)), F.least(F.col("_tcy") + radius, F.lit(gy - 1))
+        covers_all = (x0 == 0) & (y0 == 0) & (x1 == gx - 1) & (y1 == gy - 1)
+        big = F.lit(inf)
         edge = F.least(
-            F.when(x0 > 0, F.col("_tx") - x0 / g).otherwise(inf),
-            F.when(x1 < g - 1, (x1 + 1) / g - F.col("_tx")).otherwise(inf),
-            F.when(y0 > 0, F.col("_ty") - y0 / g).otherwise(inf),
-            F.when(y1 < g - 1, (y1 + 1) / g - F.col("_ty")).otherwise(inf))
+            F.when(x0 > 0, F.col("_tx") - F.element_at(ex_arr, x0)).otherwise(big) if ex else big,
+            F.when(x1 < gx - 1, F.element_at(ex_arr, x1 + 1) - F.col("_tx")).otherwise(big) if ex else big,
+            F.when(y0 > 0, F.col("_ty") - F.element_at(ey_arr, y0)).otherwise(big) if ey else big,
+            F.when(y1 < gy - 1, F.element_at(ey_arr, y1 + 1) - F.col("_ty")).otherwise(big) if ey else big)
         probe = pending.withColumns({"_edge": edge, "_all": covers_all}).select(
             "*", F.explode(F.sequence(x0, x1)).alias("_cx")).select(
             "*", F.explode(F.sequence(y0, y1)).alias("_cy"))
@@ -154,7 +177,7 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
         done = stats.where(F.col("_all") | ((F.col("_k") >= n) & (F.col("_kth") < F.col("_edge"))))
         results.append(top.join(done.select(target_key), target_key, "left_semi"))
         pending = materialize(pending.join(done.select(target_key), target_key, "left_anti"))
-        if radius >= g or pending.isEmpty():
+        if radius >= max(gx, gy) or pending.isEmpty():
             break
         radius *= 2
     out = results[0]

@@ -55,3 +55,12 @@ def test_fewer_districts_than_n(spark):
     districts = [(1, "A", "x", 10.0, 20.0), (2, "A", "y", 30.0, 40.0)]
     targets = [(1, 0.0, 0.0)]
     assert run(spark, districts, targets, 10) == {1: [1, 2]}
+
+
+def test_dense_distinct_cluster(spark):
+    rnd = random.Random(11)
+    districts = [(i, "S", f"D{i:03d}", 1500.0 + rnd.random(), 800.0 + rnd.random()) for i in range(120)]
+    districts += [(1000 + i, "T", f"E{i:03d}", rnd.uniform(0, 3000), rnd.uniform(200, 5000)) for i in range(240)]
+    targets = [(t, rnd.uniform(1400, 1600), rnd.uniform(700, 900)) for t in range(30)]
+    targets += [(100 + t, rnd.uniform(0, 3000), rnd.uniform(200, 5000)) for t in range(30)]
+    assert run(spark, districts, targets, 10) == brute(districts, targets, 10)
