@@ -82,19 +82,31 @@ def _roc(df: DataFrame, y: str, p: str, buckets: int):
 
 def roc_points(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score plus the (inf, 0, 0) start."""
+    return _points(df.sparkSession, *_roc(df, y, p, buckets))
+
+
+def roc_curve_and_auc(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64):
+    """(points DataFrame, area) from one ROC table (one checkpoint, one quantile job)."""
     t, p_tot, n_tot = _roc(df, y, p, buckets)
+    return _points(df.sparkSession, t, p_tot, n_tot), _auc(t).first()[0]
+
+
+def _points(spark, t: DataFrame, p_tot: int, n_tot: int) -> DataFrame:
     P, N = F.lit(float(p_tot)), F.lit(float(n_tot))
     pts = t.select(F.col("score").alias("threshold"), F.try_divide(F.col("fp").cast("double"), N).alias("fpr"),
                    F.try_divide(F.col("tp").cast("double"), P).alias("tpr"))
-    start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
-                                            F.lit(0.0).alias("tpr"))
+    start = spark.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+                                  F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64) -> DataFrame:
     """Trapezoid area under the ROC curve, exact in integers:
     sum(neg_i * (2 tp_i - pos_i)) / (2 P N)."""
-    t = roc_table(df, y, p, buckets)
+    return _auc(roc_table(df, y, p, buckets))
+
+
+def _auc(t: DataFrame) -> DataFrame:
     num = F.sum((F.col("neg") * (2 * F.col("tp") - F.col("pos"))).cast("decimal(38,0)"))
     g = t.agg(num.alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return g.select(F.try_divide(F.col("num").cast("double"),

@@ -212,7 +212,7 @@ def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_
         scored_train = _probability_frame(model.transform(train.drop("features"))).persist(StorageLevel.MEMORY_AND_DISK)
         bm = EV.binary_metrics(scored_test).first().asDict()
         train_acc = float(EV.binary_metrics(scored_train).select("accuracy").first()[0])
-        auc = EV.roc_auc(scored_test).first()[0]
+        roc_points, auc = EV.roc_curve_and_auc(scored_test)
         brier = EV.brier_score(scored_test).first()[0]
         counts = data.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test")).first()
 
@@ -226,7 +226,7 @@ def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_
         }
         tables = {
             "confusion": EV.confusion_matrix(scored_test),
-            "roc": EV.roc_points(scored_test),
+            "roc": roc_points,
             "calibration": EV.calibration_curve(scored_test),
             "importances": importances(model),
         }
