@@ -1,5 +1,5 @@
 """Scans, validation and sinks."""
 
 from .validate import ensure_min_rows, ensure_not_empty, require_columns  # noqa: F401
-from .readers import read_table, load_batch, load_districts, load_observations, load_sites  # noqa: F401
+from .readers import batch_template, read_table, load_batch, load_districts, load_observations, load_sites  # noqa: F401
 from .sinks import write_table  # noqa: F401

@@ -47,3 +47,9 @@ def load_observations(spark: SparkSession, path: str, fmt: str | None = None) ->
 def load_batch(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Uploaded batch of sites to score."""
     return require_columns(read_table(spark, path, fmt), K.REQUIRED_BATCH_COLS, "batch input")
+
+
+def batch_template(spark: SparkSession) -> DataFrame:
+    """The four-row example of the batch upload format."""
+    rows = [(450, 5, 900, "Loamy"), (1200, 12, 650, "Clay"), (2800, 35, 350, "Sandy"), (300, 3, 1400, "Silty")]
+    return spark.createDataFrame(rows, "Elevation int, Slope int, Rainfall int, Soil_Type string")
