@@ -115,6 +115,16 @@ def default_sub_forests(train: DataFrame, num_trees: int, cap: int = 8) -> int:
     return max(1, min(cap, num_trees, slots // parts))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame with fewer partitions than task slots across all slots.
+
+    Small inputs (one file, one partition) would otherwise be scored by a
+    single task; inputs that already span the cluster are returned as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def fit_forest(train: DataFrame, config: "ForestConfig", sub_forests: int | None = None) -> list:
     """Fit ``config.numTrees`` trees as sub-forests (seeds seed, seed+1, ...) in parallel."""
     k = sub_forests or default_sub_forests(train, config.numTrees)
@@ -208,8 +218,10 @@ def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_
         model = ForestEnsemble(asm, forests)
 
         # each scored part is (y, p, pred) only; persisted once, read by every metric
-        scored_test = _probability_frame(model.transform(test.drop("features"))).persist(StorageLevel.MEMORY_AND_DISK)
-        scored_train = _probability_frame(model.transform(train.drop("features"))).persist(StorageLevel.MEMORY_AND_DISK)
+        scored_test = _probability_frame(model.transform(spread(test.drop("features")))) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        scored_train = _probability_frame(model.transform(spread(train.drop("features")))) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         bm = EV.binary_metrics(scored_test).first().asDict()
         train_acc = float(EV.binary_metrics(scored_train).select("accuracy").first()[0])
         roc_points, auc = EV.roc_curve_and_auc(scored_test)
