@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import evaluate as EV
 from ..operators import split as SP
+from ..session import spread
 from ..sources.validate import ensure_min_rows, require_columns
 
 
@@ -115,16 +116,6 @@ def default_sub_forests(train: DataFrame, num_trees: int, cap: int = 8) -> int:
     return max(1, min(cap, num_trees, slots // parts))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame with fewer partitions than task slots across all slots.
-
-    Small inputs (one file, one partition) would otherwise be scored by a
-    single task; inputs that already span the cluster are returned as they are.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def fit_forest(train: DataFrame, config: "ForestConfig", sub_forests: int | None = None) -> list:
     """Fit ``config.numTrees`` trees as sub-forests (seeds seed, seed+1, ...) in parallel."""
     k = sub_forests or default_sub_forests(train, config.numTrees)

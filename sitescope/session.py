@@ -79,3 +79,16 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Round-robin a frame with fewer partitions than task slots across all slots.
+
+    A small input stored as one file is one partition, so everything above it
+    would run as a single task. Frames that already span the cluster are
+    returned unchanged (no shuffle at scale). Column pruning and filter
+    pushdown pass through the repartition, and Spark sorts rows before a
+    round-robin exchange, so a retried task sees the same assignment.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
