@@ -214,7 +214,7 @@ def q_condition_pass_rate(spark, sf_dir):
 
 
 # ------------------------------------------------------------- batch / single scoring
-from ..functions import class_label  # noqa: E402
+from ..functions import class_label, gap_band  # noqa: E402,F401
 from ..operators import score as S  # noqa: E402
 from ..operators import profile as PR  # noqa: E402
 
@@ -676,16 +676,11 @@ def q_rf_metrics(spark, sf_dir):
     row = [float(r.metrics[k]) if r.metrics.get(k) is not None else None for k in keys]
     out = spark.createDataFrame([row + [r.metrics["n_train"], r.metrics["n_test"]]],
                                 ", ".join(f"{k} double" for k in keys) + ", n_train long, n_test long")
-    return out.withColumns({"gap_band": gap_band_col("overfit_gap"),
+    return out.withColumns({"gap_band": gap_band("overfit_gap"),
                             "gap_warning": F.col("overfit_gap") > K.WARN_GAP,
                             "cv_warning": F.col("cv_std") > K.WARN_CV_STD})
 
 
-def gap_band_col(c):
-    from ..functions import gap_band
-    return gap_band(c)
-
-
 @query("rf_confusion")
 def q_rf_confusion(spark, sf_dir):
     return trained(spark, sf_dir).tables["confusion"]
@@ -782,14 +777,12 @@ def q_rf_reload_eval(spark, sf_dir):
 def q_rf_load_or_train(spark, sf_dir):
     """Policy run twice over the orders table: first trains ('retrained'), then loads ('loaded')."""
     base = shared_path(spark, "registry")
-    data = fx.table(spark, sf_dir, "orders")
-    path = f"{sf_dir.rstrip('/')}/orders.parquet"
+    path = f"{sf_dir.rstrip('/')}/orders.parquet"  # the input the site table derives from
     out = []
     for _ in range(2):
         _, meta, status = R.load_or_train(spark, sites(spark, sf_dir), "site_id", path, base, config=SMALL_FOREST,
                                           cv_folds=0)
         out.append(meta.select(F.lit(status).alias("status"), "n_train", "n_test", "accuracy", "f1", "roc_auc"))
-    del data
     return out[0].unionByName(out[1])
 
 
