@@ -107,3 +107,20 @@ def test_autofill_fallback_bounds(spark):
     d = spark.createDataFrame([("S", "A", 5000.0, 100.0)], "state string, district string, elevation double, annual_rainfall double")
     r = D.autofill_inputs(d, None).first()
     assert (r.Elevation, r.Rainfall) == (3000.0, 200.0)
+
+
+def test_roc_all_scores_tied(spark):
+    df = spark.createDataFrame([(i % 2, 0.5) for i in range(1000)], "y int, p double")
+    assert EV.roc_auc(df).first().roc_auc == pytest.approx(0.5)
+    pts = sorted((r.fpr, r.tpr) for r in EV.roc_points(df).collect())
+    assert pts == [(0.0, 0.0), (1.0, 1.0)]
+
+
+def test_roc_skewed_scores(spark):
+    # a third of the rows share one score; the rest are distinct
+    rows = [(1 if i % 3 else 0, 0.9) for i in range(300)] + [((i * 7) % 2, i / 1000.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    pos = [p for y, p in rows if y == 1]
+    neg = [p for y, p in rows if y == 0]
+    pairs = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
+    assert EV.roc_auc(df, buckets=16).first().roc_auc == pytest.approx(pairs / (len(pos) * len(neg)))
