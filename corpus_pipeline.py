@@ -12,12 +12,18 @@ are tested against brute force on small tables instead.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitescope.llm import decontamination, linededup, packing, quality, simhash
 from sitescope.llm.common import table, written
 from sitescope.llm.queries import TOKENIZER
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -25,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one."""
-    return linededup.dedup_lines(docs)
+    return _recounted(linededup.dedup_lines(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans that the benchmark holds."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _recounted(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
