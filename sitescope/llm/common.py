@@ -57,6 +57,11 @@ def doc_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
 
 
+def id_of(key: Column) -> Column:
+    """The id behind a key; the smallest 64-bit number counts as null."""
+    return F.when(key != NO_ID, key)
+
+
 def text_key(text: Column) -> Column:
     """32-bit text hash: tells rows apart that repeat a doc_id."""
     return F.hash(F.coalesce(text, F.lit("")))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import doc_key, keyed, plain_text, width, written
+from .common import doc_key, id_of, keyed, plain_text, width, written
 
 WINDOW, ANCHOR = 20, 6
 FLUSH = 1 << 19
@@ -311,15 +311,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """(did, th, id, n_words, n_removed, kept, spans) per row: ``kept`` is the words that
+    """(did, n_words, n_removed, kept, spans) per row: ``kept`` is the words that
     stay, joined by one space, ``spans`` the removed [start, stop) word ranges."""
-    spans = repeated_spans(docs, window, id_col, text_col).groupBy(F.col("did").alias("span_did")).agg(
+    base = keyed(docs, id_col, text_col)  # one exchange of the texts serves the search and the removal
+    spans = repeated_spans(docs, window, id_col, text_col, base).groupBy(F.col("did").alias("span_did")).agg(
         F.collect_list(F.struct("th", "start", "stop")).alias("spans"))
-    rows = docs.select(doc_key(docs[id_col]).alias("did"), F.hash(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("th"),
-                       docs[id_col].cast("long").alias("id"), plain_text(docs, text_col).alias("text"))
-    rows = rows.repartition(width(docs.sparkSession), "did")
-    joined = rows.join(spans, rows["did"] == spans["span_did"], "left").select(
-        "did", "th", "id", "text", F.filter("spans", lambda x: x["th"] == F.col("th")).alias("spans"))
+    joined = base.join(spans, base["did"] == spans["span_did"], "left").select(
+        "did", "text", F.filter("spans", lambda x: x["th"] == F.col("th")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches, "text"):
@@ -338,19 +336,19 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                 kept.append(b" ".join(w for w, g in zip(words, gone, strict=False) if not g).decode() if marks
                             else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                [chunk.column("did"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.string()),
                  pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
-                names=["id", "n_words", "n_removed", "kept", "spans"])
+                names=["did", "n_words", "n_removed", "kept", "spans"])
 
-    return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept string, "
+    return joined.mapInArrow(cut, "did long, n_words long, n_removed long, kept string, "
                                   "spans array<struct<start: int, stop: int>>")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document."""
     cut = dedup_substrings(docs)
-    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+    return cut.select(id_of(F.col("did")).alias("doc_id"), "n_words", "n_removed",
                       F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
