@@ -137,6 +137,18 @@ def unpack_all(batches: Iterator[pa.RecordBatch], *dtypes: object) -> list[np.nd
     return [np.concatenate(column) for column in zip(*parts, strict=True)]
 
 
+def unpack_kinds(batches: Iterator[pa.RecordBatch], *kinds: tuple) -> list[list[np.ndarray]]:
+    """All blobs of a partition that holds blobs of several kinds, told apart by their number of arrays."""
+    parts: dict[int, list] = {len(k): [] for k in kinds}
+    for batch in batches:
+        for blob in batch.column("blob"):
+            blob = blob.as_py()
+            n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
+            parts[n].append(unpack(blob, *next(k for k in kinds if len(k) == n)))
+    return [[np.concatenate(c) for c in zip(*parts[len(k)], strict=True)] if parts[len(k)]
+            else [np.zeros(0, dtype=d) for d in k] for k in kinds]
+
+
 def bucket_rows(bucket: np.ndarray, n_buckets: int, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(bucket, blob) rows: entries of ``arrays`` grouped by bucket number."""
     order = np.argsort(bucket, kind="stable")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import doc_key, fresh, keyed, text_key, width, written
+from .common import doc_key, fresh, id_of, keyed, text_key, width, written
 
 LEAST_WORDS, FUZZY_WORDS, END_WORDS = 3, 8, 4
 FLUSH = 1 << 19  # entries gathered before a flush
@@ -102,11 +102,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["copy", "did", "th", "line", "n", "near", "far"])
 
 
-VARIANT = (np.uint64, np.int32, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.uint8)
+VARIANT = (np.uint64, np.int32, np.int64, np.int32, np.int32)
+PAIR = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
 
 
 def _variants(n_buckets: int):
-    """Flushes of (hash, left-out word or -1, did, th, line, earlier did, th, line, has earlier)."""
+    """Flushes of (hash, left-out word or -1, did, th, line), and of pairs that the flush itself shows."""
     def parts(batches):
         for chunk in A.chunks(batches, "text"):
             words, sums, rows, number, first, end = _lines(chunk.column("text"))
@@ -133,21 +134,22 @@ def _variants(n_buckets: int):
             order = np.lexsort((flush[4], flush[3], flush[2], flush[1], flush[0]))
             h, out, did, th, line = (a[order] for a in flush)
             new = A.run_starts(h, out)
-            head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-            paired = ~new
-            bucket = np.where(paired, A.mix(did.view(np.uint64) + h), h) % np.uint64(n_buckets)
+            yield from A.bucket_rows((h[new] % np.uint64(n_buckets)).astype(np.int64), n_buckets,
+                                     [x[new] for x in (h, out, did, th, line)])
+            late = np.flatnonzero(~new)
+            early = np.flatnonzero(new)[np.cumsum(new)[late] - 1]
+            bucket = A.mix(did[late].view(np.uint64) + h[late]) % np.uint64(n_buckets)
             yield from A.bucket_rows(bucket.astype(np.int64), n_buckets,
-                                     [h, out, did, th, line, did[head], th[head], line[head], paired.astype(np.uint8)])
+                                     [x[i] for i in (late, early) for x in (did, th, line)])
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: pairs of a line and an earlier one that share a variant."""
-    h, out, did, th, line, did2, th2, line2, paired = A.unpack_all(batches, *VARIANT)
-    paired = paired.astype(bool)
-    left, right = [(did[paired], th[paired], line[paired])], [(did2[paired], th2[paired], line2[paired])]
-    at = np.flatnonzero(~paired)
-    at = at[np.lexsort((line[at], th[at], did[at], out[at], h[at]))]
+    members, pairs = A.unpack_kinds(batches, VARIANT, PAIR)
+    h, out, did, th, line = members
+    left, right = [tuple(pairs[:3])], [tuple(pairs[3:])]
+    at = np.lexsort((line, th, did, out, h))
     h, out, did, th, line = h[at], out[at], did[at], th[at], line[at]
     # the same word left out: each to the earliest
     new = A.run_starts(h, out)
@@ -242,31 +244,35 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return exact.union(near)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                counts: tuple[str, str] | None = None) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, same columns; with
-    ``counts``, two more columns of these names: lines, and lines removed."""
-    key, th, gone, lines = (fresh(docs, c) for c in ("key_did", "key_th", "key_gone", "key_lines"))
-    rows = docs.withColumns({key: doc_key(docs[id_col]), th: text_key(docs[text_col].cast("string"))})
-    removed = (repeated_lines(docs, id_col, text_col).groupBy(F.col("did").alias("removed_did"))
-               .agg(F.collect_set(F.struct("th", "line")).alias("removed_lines")))
-    joined = rows.join(removed, rows[key] == removed["removed_did"], "left")
+def _without(rows: DataFrame, removed: DataFrame, did: str, th: str, text_col: str, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``rows`` joined to their removed lines, and columns: the text that is left, lines, lines removed."""
+    gone, lines = (fresh(rows, c) for c in ("key_gone", "key_lines"))
+    removed = removed.groupBy(F.col("did").alias("removed_did")).agg(
+        F.collect_set(F.struct("th", "line")).alias("removed_lines"))
+    joined = rows.join(removed, rows[did] == removed["removed_did"], "left")
     joined = joined.withColumn(gone, F.transform(
         F.filter("removed_lines", lambda x: x["th"] == F.col(th)), lambda x: x["line"]))
     joined = joined.withColumn(lines, _numbered_lines(joined[text_col].cast("string")))
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     left = F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n")
-    text = F.when(F.size(F.coalesce(F.col(gone), F.array().cast("array<int>"))) > 0, left).otherwise(joined[text_col])
-    extra = []
-    if counts:
-        n_lines = F.when(F.coalesce(joined[text_col].cast("string"), F.lit("")) == "", 0).otherwise(F.size(lines))
-        extra = [n_lines.cast("long").alias(counts[0]),
-                 F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long").alias(counts[1])]
-    return joined.select(*[text.alias(c) if c == text_col else joined[c] for c in docs.columns], *extra)
+    n_removed = F.coalesce(F.size(F.col(gone)), F.lit(0))
+    text = F.when(n_removed > 0, left).otherwise(joined[text_col])
+    n_lines = F.when(F.coalesce(joined[text_col].cast("string"), F.lit("")) == "", 0).otherwise(F.size(lines))
+    return joined, [c.alias(n) for c, n in zip((text, n_lines.cast("long"), n_removed.cast("long")), names, strict=True)]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, same columns."""
+    did, th = fresh(docs, "key_did"), fresh(docs, "key_th")
+    rows = docs.withColumns({did: doc_key(docs[id_col]), th: text_key(docs[text_col].cast("string"))})
+    joined, (text, _, _) = _without(rows, repeated_lines(docs, id_col, text_col), did, th, text_col,
+                                    [text_col, "n_lines", "n_removed"])
+    return joined.select(*[text if c == text_col else joined[c] for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) per document."""
-    cleaned = dedup_lines(docs.select("doc_id", "text"), counts=("n_lines", "n_removed"))
-    return cleaned.select("doc_id", "n_lines", "n_removed",
-                          F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+    base = keyed(docs)
+    joined, columns = _without(base, repeated_lines(docs, base=base), "did", "th", "text", ["text", "n_lines", "n_removed"])
+    return joined.select("did", *columns).select(
+        id_of(F.col("did")).alias("doc_id"), "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
