@@ -151,7 +151,9 @@ def score(docs: DataFrame, model: Model, column: str, text_col: str = "text") ->
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
     with_stats, names = statistics(docs, plain_text(docs, text_col), prefix)
-    return with_stats.withColumn(column, model.score(names)).select(*[f"`{c}`" for c in docs.columns], column)
+    # the one-row generator keeps a filter on the score from being pushed below the statistics, where each
+    # of its rules would compute them anew
+    return with_stats.select(*[f"`{c}`" for c in docs.columns], F.explode(F.array(model.score(names))).alias(column))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
