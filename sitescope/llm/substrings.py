@@ -246,7 +246,7 @@ def _shard(window: int):
         order = np.lexsort((start[new], th[new], did[new], group[new]))
         heads = np.flatnonzero(A.run_starts(group[new][order]))
         found = []
-        for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True):
+        for a, b in zip(heads, np.append(heads[1:], len(order))[:len(heads)], strict=True):
             if b - a < 2:
                 continue
             automaton, seen = Automaton(), set()
