@@ -43,7 +43,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t0, 3)
 
     t0 = time.perf_counter()
-    result = M.train_model(catalog.sites(spark, sf_dir), "site_id", M.ForestConfig(maxBins=32, maxMemoryInMB=1024),
+    result = M.train_model(catalog.sites(spark, sf_dir), "site_id", M.ForestConfig(),
                            cv_folds=0)
     times["forest_train_and_evaluate"] = round(time.perf_counter() - t0, 3)
     times["forest_fit"] = float(result.metrics["train_time_s"])

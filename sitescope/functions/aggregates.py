@@ -12,8 +12,18 @@ from .numeric import _col
 EXACT_DECIMAL = "decimal(38,12)"
 
 
+# Values of this size and more, and infinities, are summed as doubles.
+DECIMAL_LIMIT = 1e25
+
+
 def exact_sum(c) -> Column:
-    return F.sum(_col(c).cast(EXACT_DECIMAL)).cast("double")
+    """Order-independent sum: 12 decimals, up to 25 digits before the point. Larger and
+    infinite values add as doubles (inf and -inf together give NaN)."""
+    x = _col(c)
+    small = F.abs(x) < F.lit(DECIMAL_LIMIT)
+    exact = F.sum(F.when(small, x.cast(EXACT_DECIMAL))).cast("double")
+    large = F.sum(F.when(~small, x.cast("double")))
+    return F.when(large.isNotNull(), F.coalesce(exact, F.lit(0.0)) + large).otherwise(exact)
 
 
 def exact_mean(c) -> Column:

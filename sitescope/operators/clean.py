@@ -63,12 +63,26 @@ def label_to_int(df: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
     return df.withColumn(label, checked)
 
 
-def encode_soil_column(df: DataFrame) -> DataFrame:
-    """Lenient soil encoding; text keeps the original in Soil_Type_Label."""
+_CODE_TEXT = r"^\s*[+-]?\d{1,9}(\.0*)?\s*$"
+
+
+def encode_soil_column(df: DataFrame, mode: str = "table") -> DataFrame:
+    """Lenient soil encoding; text keeps the original in Soil_Type_Label.
+
+    A CSV scan reads codes as text too: when every non-missing value of the
+    column is a whole number, the values are codes. The test is one scalar
+    subquery over the table; ``mode="row"`` (streams) decides cell by cell.
+    """
     dtype = df.schema["Soil_Type"].dataType
     if isinstance(dtype, StringType):
-        return df.withColumns({"Soil_Type_Label": F.col("Soil_Type"),
-                               "Soil_Type": encode_soil_lenient("Soil_Type")})
+        is_code = F.coalesce(F.col("Soil_Type").rlike(_CODE_TEXT), F.lit(False))
+        code = F.trim("Soil_Type").try_cast("double").cast("int")
+        if mode != "row":
+            all_codes = df.select(F.min(F.when(F.col("Soil_Type").isNotNull(), is_code)).alias("all_codes")).scalar()
+            is_code = F.coalesce(all_codes, F.lit(False))
+        label = F.when(is_code, decode_soil(code)).otherwise(F.col("Soil_Type"))
+        return df.withColumns({"Soil_Type_Label": label,
+                               "Soil_Type": F.when(is_code, code).otherwise(encode_soil_lenient("Soil_Type"))})
     if isinstance(dtype, NumericType):
         code = F.col("Soil_Type").cast("int")
         return df.withColumns({"Soil_Type": code, "Soil_Type_Label": decode_soil(code)})
@@ -104,11 +118,12 @@ def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
                 out[c] = expr
     else:
         if present:
-            flags = df.select(F.struct(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in present])).scalar()
+            flags = df.select(F.struct(*[F.max(coerce_typed(c, df.schema[c].dataType).isNull().cast("int")).alias(c)
+                                        for c in present])).scalar()
             df = df.withColumn("_any_null", flags)  # one subquery, referenced by column
         for c, expr in derived.items():
             if c in present:
-                given = F.col(c).cast("double")
+                given = coerce_typed(c, df.schema[c].dataType)
                 out[c] = F.when(F.coalesce(F.col(f"_any_null.{c}"), F.lit(0)) == 1, expr.cast("double")).otherwise(given)
             else:
                 out[c] = expr
@@ -126,7 +141,7 @@ def clean_sites(df: DataFrame, mode: str = "table") -> DataFrame:
     df = coerce_numeric(df, [K.LABEL_COL])
     df = drop_missing(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
     df = label_to_int(df)
-    df = encode_soil_column(df)
+    df = encode_soil_column(df, mode)
     return derive_features(df, mode=mode)
 
 
@@ -135,7 +150,7 @@ def clean_batch(df: DataFrame, mode: str = "table") -> DataFrame:
     require_columns(df, K.REQUIRED_BATCH_COLS, "batch input")
     df = coerce_numeric(df, K.NUMERIC_INPUTS)
     df = drop_missing(df, K.NUMERIC_INPUTS)
-    df = encode_soil_column(df)
+    df = encode_soil_column(df, mode)
     return derive_features(df, mode=mode)
 
 

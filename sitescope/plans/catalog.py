@@ -761,12 +761,11 @@ def q_rf_onehot_importances(spark, sf_dir):
 
 @query("rf_reload_eval")
 def q_rf_reload_eval(spark, sf_dir):
-    """Save, reload and re-evaluate on a seeded sample of up to 20 000 rows (in-sample rows included)."""
+    """Save, reload and re-evaluate on all rows (in-sample rows included)."""
     base = shared_path(spark, "registry")
     R.save_run(spark, trained(spark, sf_dir), base)
     model = R.load_model(spark, base)
-    sample = SA.sample_rows(sites(spark, sf_dir), K.REEVAL_SAMPLE, "site_id", seed=42)
-    s = S.with_prediction(sample, S.ForestScorer(model)).select(
+    s = S.with_prediction(sites(spark, sf_dir), S.ForestScorer(model)).select(
         F.col("Suitability").alias("y"), F.col(S.P1).alias("p"), F.col("Prediction").alias("pred"))
     bm = EV.binary_metrics(s).select("accuracy", "f1", "tp", "fp", "fn", "tn")
     auc = EV.roc_auc(s)

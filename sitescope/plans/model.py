@@ -38,6 +38,9 @@ class ForestConfig:
     maxBins: int = 64
     balanced: bool = True
     maxMemoryInMB: int = 512
+    # independently seeded sub-forests; part of the model's definition, so the
+    # same at every input size and on every cluster
+    subForests: int = 8
 
     def estimator(self, weighted: bool = True) -> RandomForestClassifier:
         rf = RandomForestClassifier(
@@ -104,22 +107,9 @@ class ForestEnsemble:
         return cls(asm, [RandomForestClassificationModel.load(f"{path}/{n}") for n in names])
 
 
-def default_sub_forests(train: DataFrame, num_trees: int, cap: int = 8) -> int:
-    """Sub-forests only fill idle task slots.
-
-    Every sub-forest scans its input once per tree level, so on an input that
-    already spans the cluster (partitions >= slots) one forest is fitted (k=1);
-    a small input with few partitions gets up to ``cap`` concurrent fits.
-    """
-    slots = train.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, train.rdd.getNumPartitions())
-    return max(1, min(cap, num_trees, slots // parts))
-
-
 def fit_forest(train: DataFrame, config: "ForestConfig", sub_forests: int | None = None) -> list:
     """Fit ``config.numTrees`` trees as sub-forests (seeds seed, seed+1, ...) in parallel."""
-    k = sub_forests or default_sub_forests(train, config.numTrees)
-    k = max(1, min(k, config.numTrees))
+    k = max(1, min(sub_forests or config.subForests, config.numTrees))
     sizes = [config.numTrees // k + (1 if i < config.numTrees % k else 0) for i in range(k)]
 
     def one(i):

@@ -75,21 +75,22 @@ def metrics_table(spark: SparkSession, base: str, name: str, run_id: str) -> Dat
     return spark.read.parquet(f"{base}/metrics/{name}").where(F.col("run_id") == run_id).drop("run_id")
 
 
-def input_modified_at(spark: SparkSession, dataset_path: str, fmt: str = "parquet"):
-    """Newest modification time over the dataset's files, or None when it does not exist."""
+def input_modified_at(spark: SparkSession, dataset_path: str):
+    """Newest modification time over the dataset's files, whatever their format, or None
+    when it does not exist. Only file listings are read, no contents."""
     if not _exists(spark, dataset_path):
         return None
-    df = spark.read.format(fmt).load(dataset_path)
-    return df.select(F.max("_metadata.file_modification_time")).first()[0]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dataset_path)
+    return files.select(F.max("modificationTime")).first()[0]
 
 
-def is_model_stale(spark: SparkSession, dataset_path: str, base: str, fmt: str = "parquet") -> bool:
+def is_model_stale(spark: SparkSession, dataset_path: str, base: str) -> bool:
     """No model -> stale; no dataset -> not stale; else dataset newer than the model (strict)."""
     last = latest_run(spark, base)
     saved = None if last is None else last.select("saved_at").first()
     if saved is None:
         return True
-    mtime = input_modified_at(spark, dataset_path, fmt)
+    mtime = input_modified_at(spark, dataset_path)
     if mtime is None:
         return False
     return mtime > saved["saved_at"]
