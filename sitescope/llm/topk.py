@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import written
 
 BLOCK_ROWS = 256
-GROUP_ROWS = 16_384  # rows of a group of blocks, about
+GROUP_ROWS = 4_096  # rows of a group of blocks, about
 BATCH_QUERIES = 1_024  # queries of a batch, about
 EXACT = 1 << 53  # float64 holds every integer below
 
@@ -88,17 +88,21 @@ def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str =
                                    F.count_if(F.col("id") % query_step == 0).alias("n_queries"))
     # groups are id ranges, so that blocks are ranges of the table; a crowded range is split by hash
     span = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) * GROUP_ROWS / F.col("n"))).cast("long")
-    dims = dims.select("dim", "low", span.alias("span"), F.ceil(F.col("n") / GROUP_ROWS).alias("n_groups"),
+    dims = dims.select("dim", "low", span.alias("span"), F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("lanes"),
                        F.greatest(F.lit(1), F.ceil(F.col("n_queries") / BATCH_QUERIES)).alias("n_batches"))
+    # a row for each vector length there is: a small broadcast
+    dims = F.broadcast(dims)
     placed = rows.join(dims, "dim").withColumn("slice", F.floor((F.col("id") - F.col("low")) / F.col("span")))
     crowd = placed.groupBy("dim", "slice").agg(F.ceil(F.count(F.lit(1)) / (2 * GROUP_ROWS)).alias("parts"))
     grouped = (placed.join(crowd, ["dim", "slice"])
                .withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
-               .groupBy("dim", "slice", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-               .select("dim", "rows"))
-    asked = (rows.where(F.col("id") % query_step == 0).distinct().join(dims.select("dim", "n_batches"), "dim")
+               .groupBy("dim", "lanes", "slice", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+               .select("dim", F.pmod(F.xxhash64("slice", "part"), F.col("lanes").cast("long")).alias("lane"), "rows"))
+    asked = (rows.where(F.col("id") % query_step == 0).distinct().join(dims.select("dim", "n_batches", "lanes"), "dim")
              .withColumn("batch", F.pmod(F.xxhash64("id"), F.col("n_batches")))
-             .groupBy("dim", "batch").agg(F.collect_list(F.struct("id", "v")).alias("queries")))
+             .groupBy("dim", "lanes", "batch").agg(F.collect_list(F.struct("id", "v")).alias("queries")))
+    # every batch goes to every lane, each group to one: the pairs spread over as many keys as there are groups
+    asked = asked.select("dim", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes").cast("long") - 1)).alias("lane"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +120,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str =
                     pa.array(np.concatenate([s for _, _, s in found]), pa.int64()),
                 ], names=["query_id", "nth", "vec_id", "score"])
 
-    pairs = asked.join(grouped, "dim")
+    pairs = asked.join(grouped, ["dim", "lane"])
     met = pairs.select("queries", "rows").mapInArrow(scored, "query_id long, nth long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
