@@ -44,7 +44,7 @@ def main() -> None:
 
     t0 = time.perf_counter()
     result = M.train_model(catalog.sites(spark, sf_dir), "site_id", M.ForestConfig(),
-                           cv_folds=0)
+                           cv_folds=0, partitions=int(cpus))
     times["forest_train_and_evaluate"] = round(time.perf_counter() - t0, 3)
     times["forest_fit"] = float(result.metrics["train_time_s"])
     total = round(sum(v for k, v in times.items() if k != "forest_fit"), 3)

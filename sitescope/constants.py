@@ -92,7 +92,6 @@ WARN_CV_STD = 0.05
 
 # sample sizes of the exploration views
 SCATTER_SAMPLE = 6000
-IMPORTANCE_SAMPLE = 15000
 HIST_BINS = 50
 CALIBRATION_BINS = 10
 # ---- end fixed values -------------------------------------------------------

@@ -1,6 +1,6 @@
 """Column -> Column functions (all JVM-side built-in expressions, no UDFs)."""
 
-from .numeric import clip, coerce_double, coerce_typed, nan_to_null, np_round, safe_ratio  # noqa: F401
+from .numeric import clip, coerce_double, coerce_typed, nan_to_null, np_round  # noqa: F401
 from .features import (  # noqa: F401
     annualise_rainfall, elevation_zone, ndvi, soil_moisture, temperature, zone_name,
 )

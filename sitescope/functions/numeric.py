@@ -52,9 +52,3 @@ def np_round(c, digits: int = 0) -> Column:
         return F.rint(c)
     scale = float(10 ** digits)
     return F.rint(c * F.lit(scale)) / F.lit(scale)
-
-
-def safe_ratio(num, den, default: float | None = 0.0) -> Column:
-    """num/den with zero or NULL denominator -> default (ANSI-safe)."""
-    r = F.try_divide(_col(num), _col(den))
-    return r if default is None else F.coalesce(r, F.lit(float(default)))

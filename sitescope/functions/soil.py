@@ -27,9 +27,8 @@ def encode_soil_strict(soil) -> Column:
 def soil_error(soil) -> Column:
     """Error text for names the strict encoder rejects, else NULL."""
     s = _col(soil)
-    valid = "[" + ", ".join(f"'{k}'" for k in K.SOIL_CODES) + "]"
-    msg = F.concat(F.lit("Unknown soil type '"), F.coalesce(s, F.lit("None")),
-                   F.lit(f"'. Valid options: {valid}"))
+    msg = F.concat(F.lit("no soil code for "), F.coalesce(s, F.lit("a missing name")),
+                   F.lit(f" (known: {', '.join(K.SOIL_CODES)})"))
     return F.when(encode_soil_strict(s).isNull(), msg)
 
 

@@ -49,18 +49,23 @@ def dropped_counts(df: DataFrame, cols=None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(missing).alias("dropped"))
 
 
-def label_to_int(df: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
+def label_to_int(df: DataFrame, label: str = K.LABEL_COL, mode: str = "table") -> DataFrame:
     """Coerce the label leniently, truncate toward zero, reject non-binary tables.
 
-    The domain check is lazy: a value outside {0, 1} fails the job that reads
-    the table (no separate pass).
+    One scalar subquery finds a label outside {0, 1}, and a filter on it fails
+    every job that reads the table, whichever columns that job needs.
+    ``mode="row"`` (streams) checks each row that is read.
     """
     col = F.col(label)
     y = (col if isinstance(df.schema[label].dataType, NumericType) else coerce_double(col)).cast("int")
-    checked = F.when(y.isNull() | y.isin(0, 1), y).otherwise(
-        F.raise_error(F.concat(F.lit(f"{label} column contains unexpected value "), y.cast("string"),
-                               F.lit(" (expected 0 or 1)"))).cast("int"))
-    return df.withColumn(label, checked)
+
+    def reject(value):
+        return F.raise_error(F.concat(F.lit(f"{label} holds "), value.cast("string"), F.lit("; only 0 and 1 are allowed")))
+
+    if mode == "row":
+        return df.withColumn(label, F.when(y.isNull() | y.isin(0, 1), y).otherwise(reject(y).cast("int")))
+    other = df.select(F.max(F.when(~y.isin(0, 1), y)).alias("other")).scalar()
+    return df.where(F.when(other.isNotNull(), reject(other).cast("boolean")).otherwise(F.lit(True))).withColumn(label, y)
 
 
 _CODE_TEXT = r"^\s*[+-]?\d{1,9}(\.0*)?\s*$"
@@ -140,7 +145,7 @@ def clean_sites(df: DataFrame, mode: str = "table") -> DataFrame:
     df = coerce_numeric(df, K.NUMERIC_INPUTS)
     df = coerce_numeric(df, [K.LABEL_COL])
     df = drop_missing(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
-    df = label_to_int(df)
+    df = label_to_int(df, mode=mode)
     df = encode_soil_column(df, mode)
     return derive_features(df, mode=mode)
 
@@ -152,12 +157,3 @@ def clean_batch(df: DataFrame, mode: str = "table") -> DataFrame:
     df = drop_missing(df, K.NUMERIC_INPUTS)
     df = encode_soil_column(df, mode)
     return derive_features(df, mode=mode)
-
-
-def fill_constant(df: DataFrame, cols, value: float = 0.0) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(float(value))) for c in cols})
-
-
-def add_absent(df: DataFrame, defaults: dict) -> DataFrame:
-    """Add columns that do not exist yet (decided at plan-build time)."""
-    return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import gap_band, np_round
+from ..functions import exact_mean, gap_band, np_round
+from ..session import materialize
+from .ranges import with_buckets
 
 
 def confusion_counts(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -50,44 +52,38 @@ def _score_counts(df: DataFrame, y: str, p: str) -> DataFrame:
                                                    F.count_if(F.col(y) != 1).alias("neg"))
 
 
-def roc_table(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64) -> DataFrame:
-    return _roc(df, y, p, buckets)[0]
+def roc_table(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    return _roc(df, y, p)[0]
 
 
-def _roc(df: DataFrame, y: str, p: str, buckets: int):
+def _roc(df: DataFrame, y: str, p: str):
     """Per distinct score (descending): pos, neg and cumulative tp, fp; plus totals P, N.
 
-    The distinct-score table is checkpointed once (it feeds three branches).
-    Range buckets come from its approximate quantiles (a list of at most
-    ``buckets - 1`` numbers); bucket 0 holds the highest scores.
+    The distinct-score table is checkpointed once (it feeds three branches) and
+    cut into as many range buckets as the session has shuffle partitions.
     """
-    from ..session import materialize
-    d = materialize(_score_counts(df, y, p))
-    probs = [i / buckets for i in range(1, buckets)]
-    stats = d.select(F.percentile_approx("score", probs, 10000).alias("e"), F.sum("pos").alias("P"),
-                     F.sum("neg").alias("N")).first()  # <= buckets + 1 numbers
-    edges = stats["e"] or []
-    edge_arr = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
-    d = d.withColumn("b", F.size(F.filter(edge_arr, lambda e: e > F.col("score"))).cast("int"))
+    d = materialize(_score_counts(df, y, p).withColumn("score", F.col("score").cast("double")))
+    totals = d.select(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    d = with_buckets(d, {"score": "b"})
     tot = d.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    w_off = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    w_off = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     off = tot.select("b", F.coalesce(F.sum("bp").over(w_off), F.lit(0)).alias("pos_off"),
                      F.coalesce(F.sum("bn").over(w_off), F.lit(0)).alias("neg_off"))
-    d = d.join(F.broadcast(off), "b")  # at most `buckets` rows
+    d = d.join(F.broadcast(off), d["b"].eqNullSafe(off["b"])).drop(off["b"])  # a row per bucket
     w = Window.partitionBy("b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = d.select("score", "pos", "neg", (F.col("pos_off") + F.sum("pos").over(w)).alias("tp"),
                  (F.col("neg_off") + F.sum("neg").over(w)).alias("fp"))
-    return t, int(stats["P"] or 0), int(stats["N"] or 0)
+    return t, int(totals["P"] or 0), int(totals["N"] or 0)
 
 
-def roc_points(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score plus the (inf, 0, 0) start."""
-    return _points(df.sparkSession, *_roc(df, y, p, buckets))
+    return _points(df.sparkSession, *_roc(df, y, p))
 
 
-def roc_curve_and_auc(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64):
+def roc_curve_and_auc(df: DataFrame, y: str = "y", p: str = "p"):
     """(points DataFrame, area) from one ROC table (one checkpoint, one quantile job)."""
-    t, p_tot, n_tot = _roc(df, y, p, buckets)
+    t, p_tot, n_tot = _roc(df, y, p)
     return _points(df.sparkSession, t, p_tot, n_tot), _auc(t).first()[0]
 
 
@@ -100,10 +96,10 @@ def _points(spark, t: DataFrame, p_tot: int, n_tot: int) -> DataFrame:
     return start.unionByName(pts)
 
 
-def roc_auc(df: DataFrame, y: str = "y", p: str = "p", buckets: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Trapezoid area under the ROC curve, exact in integers:
     sum(neg_i * (2 tp_i - pos_i)) / (2 P N)."""
-    return _auc(roc_table(df, y, p, buckets))
+    return _auc(roc_table(df, y, p))
 
 
 def _auc(t: DataFrame) -> DataFrame:
@@ -118,7 +114,6 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = K.C
     step = 1.0 / bins
     inner = [i * step for i in range(1, bins)]
     b = sum((F.col(p) > F.lit(e)).cast("int") for e in inner)
-    from ..functions import exact_mean
     return df.withColumn("bin", b).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("n_pos"),
         exact_mean(F.col(p)).alias("mean_pred")).select(
@@ -126,17 +121,19 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = K.C
 
 
 def brier_score(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    from ..functions import exact_mean
     d = F.col(p) - F.col(y).cast("double")
     return df.agg(exact_mean(d * d).alias("brier"))
 
 
-def overfit_gap(train_scored: DataFrame, test_scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """Train accuracy - test accuracy, with its colour band and warning flag."""
-    tr = binary_metrics(train_scored, y, pred).select(F.col("accuracy").alias("train_accuracy"))
-    te = binary_metrics(test_scored, y, pred).select(F.col("accuracy").alias("test_accuracy"))
-    one = train_scored.sparkSession.range(1).select(tr.select("train_accuracy").scalar().alias("train_accuracy"),
-                                                    te.select("test_accuracy").scalar().alias("test_accuracy"))
+def overfit_gap(scored: DataFrame, y: str = "y", pred: str = "pred", is_test: str = "is_test") -> DataFrame:
+    """Train accuracy - test accuracy of a scored table with its parts marked, in one
+    pass, with the gap's colour band and warning flag. An empty part counts as 0."""
+    test, right = F.col(is_test), F.col(y) == F.col(pred)
+
+    def accuracy(part):
+        return F.coalesce(F.try_divide(F.count_if(part & right).cast("double"), F.count_if(part)), F.lit(0.0))
+
+    one = scored.agg(accuracy(~test).alias("train_accuracy"), accuracy(test).alias("test_accuracy"))
     gap = F.col("train_accuracy") - F.col("test_accuracy")
     return one.select("train_accuracy", "test_accuracy", np_round(gap, 9).alias("overfit_gap"),
                       gap_band(gap).alias("band"), (gap > F.lit(K.WARN_GAP)).alias("warning"))

@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType
 
 from .. import constants as K
 from ..functions import np_round
+from .ranges import exact_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -33,10 +34,6 @@ def class_ratio(df: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
                     .alias("class_ratio"))
 
 
-def rare_classes(df: DataFrame, label: str = K.LABEL_COL, below: int = K.RARE_CLASS_ROWS) -> DataFrame:
-    return class_counts(df, label).where(F.col("n") < below)
-
-
 def duplicate_rows(df: DataFrame, cols=None) -> DataFrame:
     """Extra copies over all (or the given) columns; NULLs compare equal.
 
@@ -58,41 +55,48 @@ def missing_cells(df: DataFrame, keep_zero: bool = False) -> DataFrame:
     return long if keep_zero else long.where(F.col("n_missing") > 0)
 
 
-def quantiles(df: DataFrame, cols, probs, accuracy: int | None = None):
-    """Scalar-subquery struct {col: array of quantiles}.
+def quantiles(df: DataFrame, cols, probs, accuracy: int | None = None) -> dict[str, list[float | None]]:
+    """{column: quantiles}.
 
-    ``accuracy=None``: exact, linear interpolation (pandas' default); else
-    ``percentile_approx`` with bounded memory for very large tables.
+    ``accuracy=None``: exact, linear interpolation (pandas' default), see
+    ``ranges.exact_quantiles``; else ``percentile_approx`` at that accuracy.
     """
+    cols = list(cols)
     if accuracy is None:
-        aggs = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in cols]
-    else:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), [float(p) for p in probs], accuracy).alias(c) for c in cols]
-    return df.select(F.struct(*aggs)).scalar()
+        return exact_quantiles(df, cols, list(probs))
+    if not cols:
+        return {}
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [float(p) for p in probs], accuracy).alias(f"q{i}")
+                   for i, c in enumerate(cols)]).first()
+    return {c: row[f"q{i}"] or [None] * len(probs) for i, c in enumerate(cols)}
+
+
+def _fences(df: DataFrame, cols, accuracy: int | None) -> dict[str, tuple]:
+    """{column: (q1, q3, lower fence, upper fence)} as literals; NULL for a column without values."""
+    out = {}
+    for c, (q1, q3) in quantiles(df, cols, [0.25, 0.75], accuracy).items():
+        q1, q3 = F.lit(q1).cast("double"), F.lit(q3).cast("double")
+        out[c] = (q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    return out
+
+
+def _outside(c: str, lo, hi):
+    x = F.col(c).cast("double")
+    return F.count_if(~F.isnan(x) & ((x < lo) | (x > hi)))
 
 
 def iqr_outliers(df: DataFrame, cols=None, accuracy: int | None = None, keep_zero: bool = False) -> DataFrame:
     """Per numeric column: q1, q3, fences and the count strictly outside them.
 
-    Pass 1 (scalar subquery) computes all quartiles at once; pass 2 counts
-    outliers of every column in one aggregate.
+    The quartiles of all columns come first; one more pass counts the outliers
+    of every column in one aggregate.
     """
     cols = list(cols or numeric_columns(df))
-    df = df.withColumn("_q", quantiles(df, cols, [0.25, 0.75], accuracy))  # one subquery
-
-    def fences(c):
-        q1, q3 = F.col(f"_q.{c}")[0], F.col(f"_q.{c}")[1]
-        return q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-
-    counts = []
-    for c in cols:
-        _, _, lo, hi = fences(c)
-        x = F.col(c).cast("double")
-        counts.append(F.count_if((x < lo) | (x > hi)).alias(f"n__{c}"))
-    row = df.agg(*counts, F.first("_q").alias("_q"))
+    fences = _fences(df, cols, accuracy)
+    row = df.agg(*[_outside(c, *fences[c][2:]).alias(f"n__{c}") for c in cols])
     cells = []
     for c in cols:
-        q1, q3, lo, hi = fences(c)
+        q1, q3, lo, hi = fences[c]
         cells.append(F.struct(F.lit(c).alias("column"), q1.alias("q1"), q3.alias("q3"), lo.alias("lower"),
                               hi.alias("upper"), F.col(f"n__{c}").alias("n_outliers")))
     long = row.select(F.explode(F.array(*cells)).alias("o")).select("o.*")
@@ -166,12 +170,10 @@ def quality_report(df: DataFrame, label: str = K.LABEL_COL, accuracy: int | None
     missing per column and total, IQR outliers per numeric column, class counts
     and class ratio.
 
-    Three passes over the input whatever its width: (1) one profile aggregate
-    (row count, missing cells per column, class counts, all quartiles) run as a
-    scalar subquery, (2) outlier counts against those quartiles, (3) the
-    duplicate count. Everything else is arithmetic on one row.
+    The quartiles come first; then one profile aggregate (row count, missing
+    cells and outliers per column, class counts) and the duplicate count,
+    whatever the table's width. Everything else is arithmetic on one row.
     """
-    spark = df.sparkSession
     nums = numeric_columns(df)
     has_label = label in df.columns
 
@@ -183,37 +185,23 @@ def quality_report(df: DataFrame, label: str = K.LABEL_COL, accuracy: int | None
     prof += [F.count_if(is_missing(c)).alias(f"m__{c}") for c in df.columns]
     if has_label:
         prof += [F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")]
-    if nums:
-        probs = [0.25, 0.75]
-        prof += [(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])) if accuracy is None
-                  else F.percentile_approx(F.col(c).cast("double"), probs, accuracy)).alias(f"q__{c}") for c in nums]
-    staged = df.withColumn("_p", df.select(F.struct(*prof)).scalar())  # pass 1, attached once
-
-    def fences(c):
-        q1, q3 = F.col(f"_p.q__{c}")[0], F.col(f"_p.q__{c}")[1]
-        return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-
-    outl = []
-    for c in nums:
-        lo, hi = fences(c)
-        x = F.col(c).cast("double")
-        outl.append(F.count_if((x < lo) | (x > hi)).alias(f"o__{c}"))
-    row = staged.agg(*outl, F.first("_p").alias("_p"))                  # pass 2
-    dupes = duplicate_rows(df).select(F.col("n_dupes").alias("_d"))     # pass 3 (one row)
-    row = row.withColumn("_d", dupes.scalar())
+    fences = _fences(df, nums, accuracy)
+    prof += [_outside(c, *fences[c][2:]).alias(f"o__{c}") for c in nums]
+    dupes = duplicate_rows(df).select(F.col("n_dupes").alias("_d"))     # one row
+    row = df.agg(*prof).withColumn("_d", dupes.scalar())
 
     def item(metric, column, value):
         return F.struct(F.lit(metric).alias("metric"), (F.lit(column) if column is not None else
                         F.lit(None).cast("string")).alias("column"), value.cast("double").alias("value"))
 
-    items = [item("n_rows", None, F.col("_p.n_rows")), item("n_cols", None, F.lit(float(len(df.columns)))),
+    items = [item("n_rows", None, F.col("n_rows")), item("n_cols", None, F.lit(float(len(df.columns)))),
              item("n_dupes", None, F.col("_d"))]
-    items += [item("missing", c, F.col(f"_p.m__{c}")) for c in df.columns]
-    total_missing = sum((F.col(f"_p.m__{c}") for c in df.columns), F.lit(0))
+    items += [item("missing", c, F.col(f"m__{c}")) for c in df.columns]
+    total_missing = sum((F.col(f"m__{c}") for c in df.columns), F.lit(0))
     items.append(item("total_missing", None, total_missing))
     items += [item("outliers", c, F.col(f"o__{c}")) for c in nums]
     if has_label:
-        n0, n1 = F.col("_p.n0"), F.col("_p.n1")
+        n0, n1 = F.col("n0"), F.col("n1")
         items += [item("class_balance", "0", n0), item("class_balance", "1", n1)]
         denom = F.greatest(F.when(n0 == 0, F.lit(1)).otherwise(n0), F.lit(1)).cast("double")
         items.append(item("class_ratio", None, np_round(n1.cast("double") / denom, 3)))

@@ -87,7 +87,7 @@ def score_single(df: DataFrame, scorer) -> DataFrame:
     })
     missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in K.NUMERIC_INPUTS]
     num_error = F.when(F.concat_ws(", ", *missing) != "",
-                       F.concat(F.lit("Feature derivation error: missing "), F.concat_ws(", ", *missing)))
+                       F.concat(F.lit("no value for "), F.concat_ws(", ", *missing)))
     base = base.withColumns({"error": F.coalesce(soil_error(soil), num_error), "Soil_Type_Label": soil,
                              "Soil_Type": encode_soil_strict(soil)})
     base = base.withColumns(rounded_single("Elevation", "Slope", "Rainfall"))
@@ -110,11 +110,6 @@ def score_single(df: DataFrame, scorer) -> DataFrame:
     )
 
 
-def explode_conditions(scored: DataFrame, key: str) -> DataFrame:
-    """One row per (site, condition)."""
-    return scored.select(key, F.inline("conditions"))
-
-
 def batch_summary(scored: DataFrame) -> DataFrame:
     """Total, suitable and not-suitable counts with shares (%)."""
     g = scored.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("Prediction") == 1).alias("suitable"))

@@ -4,7 +4,7 @@ The scaler is fitted on the districts with one aggregate that Spark runs once
 as a scalar subquery; the query point is scaled with the same parameters (not
 clipped). One target: a distance column and a top-N
 (``TakeOrderedAndProject``: each partition keeps N rows, no global sort). Many
-targets: an exact grid search (see ``similar_many``).
+targets: an exact tree search (see ``similar_many``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from ..functions import np_round
 from ..session import materialize
 
 FEATURES = ("elevation", "annual_rainfall")
+FANOUT_BITS = 4
+FANOUT = 1 << FANOUT_BITS
+LEAF = 64  # districts of a leaf, at most
 
 
 def minmax_scalar(districts: DataFrame, cols=FEATURES):
@@ -84,104 +87,96 @@ def similar_districts(districts: DataFrame, elevation: float, rainfall: float, n
                       np_round("_dist", 4).alias("Match_Distance"))
 
 
+def _leaves(points: DataFrame, leaf: int) -> tuple[DataFrame, int]:
+    """(points with a long ``_path``, levels): a tree whose nodes are cut into FANOUT parts of
+    about equal count, by x and y in turn, until none holds more than ``leaf`` points.
+
+    A level's cuts are approximate quantiles within each node, kept as a table beside
+    the points, so a dense or diagonal cluster is cut as finely as it needs. Each
+    level adds four bits to the path.
+    """
+    now, levels, idle = materialize(points.withColumn("_path", F.lit(0).cast("long"))), 0, 0
+    nodes = materialize(now.groupBy("_path").agg(F.count(F.lit(1)).alias("_m")))
+    probs = [i / FANOUT for i in range(1, FANOUT)]
+    while idle < 2 and levels < 15:
+        full = nodes.where(F.col("_m") > leaf).select("_path")
+        if full.isEmpty():
+            break
+        axis = "_dx" if levels % 2 == 0 else "_dy"
+        cuts = now.join(full, "_path", "left_semi").groupBy("_path").agg(F.percentile_approx(axis, probs, 1000).alias("_cuts"))
+        part = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda e: e < F.col(axis))), F.lit(0))
+        now = materialize(now.join(cuts, "_path", "left").withColumn(
+            "_path", F.col("_path") * FANOUT + F.greatest(part, F.lit(0))).drop("_cuts"))
+        before, nodes, levels = nodes, materialize(now.groupBy("_path").agg(F.count(F.lit(1)).alias("_m"))), levels + 1
+        idle = idle + 1 if nodes.count() == before.count() else 0
+    return now, levels
+
+
 def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TOP_N,
                  target_key: str = "target_id", district_key: str = "district_id",
-                 cells_per_axis: int | None = None) -> DataFrame:
+                 leaf: int | None = None) -> DataFrame:
     """Exact top-N nearest districts for every target, without all pairs.
 
-    Districts are binned into an equal-frequency G x G grid over the scaled
-    plane: per axis, G-1 approximate quantile edges (a bounded list), so a
-    dense cluster is cut into many small cells instead of landing in one.
-    Each target first looks at the 3 x 3 block of cells around it; its answer
-    is final when it found N districts all strictly closer than the nearest
-    block edge that is not the grid border (or the block covers the whole
-    grid). Unresolved targets widen the block (radius doubles) in the next
-    round, so the result is exact while the pair count per target stays near
-    9 cells' worth. Districts at one exact position are pruned to the first N
-    by name first: no target can tell them apart. Candidate top-N per target
-    uses ``row_number`` with a limit, which Spark evaluates partially before
-    the shuffle (``WindowGroupLimit``). Each round's result is checkpointed.
+    Districts lie in the leaves of a tree (``_leaves``) whose nodes know their
+    number of districts and the box around them. All targets go down the tree
+    together, a level per step. At each step a target's N-th distance is at most
+    the farthest corner of the nearest boxes that hold N districts together, and
+    boxes wholly beyond that go. What remains after the last level is a few
+    leaves per target, whose districts are scored. Boxes bound distances exactly,
+    ties included, so the result is exact whatever the cuts.
+
+    Districts at one exact position are pruned to the first N by name first: no
+    target can tell them apart. The top-N per target is a ``row_number`` with a
+    limit, which Spark evaluates partially before the shuffle
+    (``WindowGroupLimit``). A target without a coordinate gets no rows.
     """
-    from pyspark.ml.feature import Bucketizer
-
     mm = minmax_scalar(districts).alias("_mm")
     params = districts.sparkSession.range(1).select(mm).first()["_mm"]  # one row of 5 numbers
 
-    def rng(lo, hi):
-        return (hi - lo) if hi is not None and lo is not None and hi - lo != 0 else 1.0
-    e_lo, e_rng = F.lit(float(params["elevation_min"] or 0.0)), F.lit(float(rng(params["elevation_min"], params["elevation_max"])))
-    r_lo, r_rng = F.lit(float(params["annual_rainfall_min"] or 0.0)), F.lit(float(rng(params["annual_rainfall_min"], params["annual_rainfall_max"])))
+    def scale(value, c):
+        lo, hi = float(params[f"{c}_min"] or 0.0), float(params[f"{c}_max"] or 0.0)
+        return scaled(value, F.lit(lo), F.lit((hi - lo) or 1.0))
 
-    dx = F.coalesce(F.col("elevation").cast("double"), F.lit(0.0))
-    dy = F.coalesce(F.col("annual_rainfall").cast("double"), F.lit(0.0))
-    pts = districts.withColumns({"_dx": scaled(dx, e_lo, e_rng), "_dy": scaled(dy, r_lo, r_rng)})
-    # Districts at one exact position are equally far from every target, so
-    # only the first N of them (by the tie keys) can ever be chosen.
+    pts = districts.withColumns({
+        "_dx": scale(F.coalesce(F.col("elevation").cast("double"), F.lit(0.0)), "elevation"),
+        "_dy": scale(F.coalesce(F.col("annual_rainfall").cast("double"), F.lit(0.0)), "annual_rainfall")})
     wpos = Window.partitionBy("_dx", "_dy").orderBy("state", "district", district_key)
-    pts = pts.withColumn("_pos_rank", F.row_number().over(wpos)).where(F.col("_pos_rank") <= n).drop("_pos_rank")
-
-    n_rows = params["n_rows"]
-    g = cells_per_axis or max(1, int((max(n_rows, 1) / max(n, 1)) ** 0.5))
-    probs = [i / g for i in range(1, g)]
-    if probs:
-        q = pts.select(F.percentile_approx("_dx", probs, 10000).alias("x"),
-                       F.percentile_approx("_dy", probs, 10000).alias("y")).first()  # <= 2 (g-1) numbers
-        ex, ey = sorted(set(q["x"] or [])), sorted(set(q["y"] or []))
-    else:
-        ex, ey = [], []
-    gx, gy = len(ex) + 1, len(ey) + 1
-    inf = float("inf")
-    def cells(df, x, y, cx, cy):
-        for src, edges, out in ((x, ex, cx), (y, ey, cy)):
-            if not edges:  # a single cell on this axis
-                df = df.withColumn(out, F.lit(0))
-                continue
-            b = Bucketizer(splits=[-inf] + edges + [inf], inputCol="_b", outputCol="_bd")
-            df = b.transform(df.withColumn("_b", F.col(src))).withColumn(out, F.col("_bd").cast("int")).drop("_b", "_bd")
-        return df
-
-    dist_cols = cells(pts, "_dx", "_dy", "_cx", "_cy")
-    tg = targets.withColumns({
-        "_tx": scaled(F.col("elevation").cast("double"), e_lo, e_rng),
-        "_ty": scaled(F.col("rainfall").cast("double"), r_lo, r_rng),
-    })
-    tg = cells(tg, "_tx", "_ty", "_tcx", "_tcy").select(target_key, "_tx", "_ty", "_tcx", "_tcy")
-    # cell k on an axis spans [E_k, E_k+1) with E_0 = -inf; E_k = edges[k-1] (1-based element_at)
-    ex_arr = F.array(*[F.lit(float(v)) for v in ex]) if ex else None
-    ey_arr = F.array(*[F.lit(float(v)) for v in ey]) if ey else None
-
-    results = []
-    pending = tg
-    radius = 1
-    while True:
-        x0, x1 = F.greatest(F.col("_tcx") - radius, F.lit(0)), F.least(F.col("_tcx") + radius, F.lit(gx - 1))
-        y0, y1 = F.greatest(F.col("_tcy") - radius, F.lit(0)), F.least(F.col("_tcy") + radius, F.lit(gy - 1))
-        covers_all = (x0 == 0) & (y0 == 0) & (x1 == gx - 1) & (y1 == gy - 1)
-        big = F.lit(inf)
-        edge = F.least(
-            F.when(x0 > 0, F.col("_tx") - F.element_at(ex_arr, x0)).otherwise(big) if ex else big,
-            F.when(x1 < gx - 1, F.element_at(ex_arr, x1 + 1) - F.col("_tx")).otherwise(big) if ex else big,
-            F.when(y0 > 0, F.col("_ty") - F.element_at(ey_arr, y0)).otherwise(big) if ey else big,
-            F.when(y1 < gy - 1, F.element_at(ey_arr, y1 + 1) - F.col("_ty")).otherwise(big) if ey else big)
-        probe = pending.withColumns({"_edge": edge, "_all": covers_all}).select(
-            "*", F.explode(F.sequence(x0, x1)).alias("_cx")).select(
-            "*", F.explode(F.sequence(y0, y1)).alias("_cy"))
-        cand = probe.join(dist_cols, ["_cx", "_cy"])
-        cand = cand.withColumn("_d", F.sqrt((F.col("_dx") - F.col("_tx")) ** 2 + (F.col("_dy") - F.col("_ty")) ** 2))
-        w = Window.partitionBy(target_key).orderBy("_d", "state", "district", district_key)
-        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-        top = materialize(top)  # reused twice below; also cuts lineage between rounds
-        stats = top.groupBy(target_key).agg(F.count(F.lit(1)).alias("_k"), F.max("_d").alias("_kth"),
-                                            F.first("_edge").alias("_edge"), F.first("_all").alias("_all"))
-        # strict: a district exactly on the edge could win a tie on the names
-        done = stats.where(F.col("_all") | ((F.col("_k") >= n) & (F.col("_kth") < F.col("_edge"))))
-        results.append(top.join(done.select(target_key), target_key, "left_semi"))
-        pending = materialize(pending.join(done.select(target_key), target_key, "left_anti"))
-        if radius >= max(gx, gy) or pending.isEmpty():
-            break
-        radius *= 2
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select(target_key, "rank", district_key, "state", "district", "elevation", "annual_rainfall",
-                      np_round("_d", 4).alias("Match_Distance"))
+    pts = pts.withColumn("_nth", F.row_number().over(wpos)).where(F.col("_nth") <= n).drop("_nth")
+    pts, levels = _leaves(pts, leaf or max(LEAF, 2 * n))
+
+    # from the leaves up: per level a row per node, with its boxes one level down
+    boxes = pts.groupBy(F.col("_path").alias("_node")).agg(
+        F.count(F.lit(1)).alias("m"), *[f(c).alias(name) for c in ("_dx", "_dy") for f, name in (
+            (F.min, f"{c}0"), (F.max, f"{c}1"))])
+    kids = []
+    for _ in range(levels):
+        up = F.shiftright("_node", FANOUT_BITS)
+        kids.append(boxes.groupBy(up.alias("_up")).agg(F.collect_list(F.struct(*boxes.columns)).alias("_kids")))
+        boxes = boxes.groupBy(up.alias("_node")).agg(
+            F.sum("m").alias("m"), *[F.min(c).alias(c) for c in ("_dx0", "_dy0")],
+            *[F.max(c).alias(c) for c in ("_dx1", "_dy1")])
+
+    front = targets.select(target_key, scale(F.col("elevation").cast("double"), "elevation").alias("_tx"),
+                           scale(F.col("rainfall").cast("double"), "annual_rainfall").alias("_ty"),
+                           F.lit(0).cast("long").alias("_node"))
+    own = Window.partitionBy(target_key)
+    nearest = own.orderBy("_far", "_node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def away(dx, dy):
+        return F.sqrt(dx * dx + dy * dy)
+
+    for level in reversed(kids):
+        seen = front.join(level, front["_node"] == level["_up"]).select(target_key, "_tx", "_ty", F.inline("_kids"))
+        short = [F.greatest(F.col(f"{d}0") - F.col(t), F.col(t) - F.col(f"{d}1"), F.lit(0.0)) for d, t in (("_dx", "_tx"), ("_dy", "_ty"))]
+        long = [F.greatest(F.abs(F.col(f"{d}0") - F.col(t)), F.abs(F.col(f"{d}1") - F.col(t))) for d, t in (("_dx", "_tx"), ("_dy", "_ty"))]
+        seen = seen.withColumns({"_close": away(*short), "_far": away(*long)})
+        seen = seen.withColumn("_bound", F.when(F.sum("m").over(nearest) >= n, F.col("_far")))
+        seen = seen.withColumn("_bound", F.min("_bound").over(own))
+        front = seen.where(F.col("_bound").isNull() | (F.col("_close") <= F.col("_bound"))).select(
+            target_key, "_tx", "_ty", "_node")
+    found = front.join(pts, front["_node"] == pts["_path"]).withColumn(
+        "_d", away(F.col("_dx") - F.col("_tx"), F.col("_dy") - F.col("_ty"))).where("_d is not null")
+    order = own.orderBy("_d", "state", "district", district_key)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(
+        target_key, "rank", district_key, "state", "district", "elevation", "annual_rainfall",
+        np_round("_d", 4).alias("Match_Distance"))

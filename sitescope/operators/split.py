@@ -1,57 +1,118 @@
-"""Train/test split, cross-validation folds and class weights.
-
-Every row draws u in [0, 1) from a hash of its key. The test part is u < 0.2
-and fold f is floor(u * k): per class the shares hold in expectation (the
-label does not enter the hash), no window or sort is needed, and a recomputed
-partition gives the same assignment.
+"""Stratified train/test split, cross-validation folds and class weights.
+
+Rows of a class are ordered by a hash of their key (then the key). The first
+``round(fraction * n)`` of its n rows are the test part, and the row at place r
+is in fold ``r * k div n``, so every class is cut exactly, to within one row.
+
+No row is ranked but those next to a cut: rows are counted per class and hash
+bucket, the counts name the bucket that holds each cut, and only the rows of
+those buckets are ordered. The cuts (a few per class) become literals, against
+which each row compares its own hash: no join, no shuffle of the table. A
+recomputed partition gets the same assignment. Where a class has fewer than two
+rows, the whole table is cut as one class.
+
+Defined results: null keys order first; rows that repeat a key stay together,
+so a cut that falls among them moves by their number; an empty table stays
+empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import unit_hash, unit_hash_int
+from ..session import materialize
+
+BUCKETS = 16_384
 
 
-def _u(df: DataFrame, key: str, seed: int):
+def _u(df: DataFrame, key: str, seed: int) -> Column:
     integral = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
     return unit_hash_int(key, seed) if integral else unit_hash(key, seed=seed)
 
 
-def with_split(df: DataFrame, key: str, test_fraction: float = K.TEST_FRACTION, seed: int = K.SPLIT_SEED) -> DataFrame:
+def _below(df: DataFrame, key: str, label: str, seed: int, cuts: int, place) -> DataFrame:
+    """Add int ``_part``: how many of the class's cuts 1..``cuts`` lie at or before the row.
+
+    ``place(n, i)`` is the 0-based place of the first row after cut i in a class of n rows.
+    """
+    u = F.coalesce(_u(df, key, seed), F.lit(-1.0))
+    own = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("?"))
+    at = df.select(own.alias("c"), F.floor(u * BUCKETS).cast("int").alias("b"), u.alias("u"), F.col(key).alias("k"))
+    counts = materialize(at.groupBy("c", "b").agg(F.count(F.lit(1)).alias("m")))  # at most BUCKETS + 1 rows per class
+    smallest = counts.groupBy("c").agg(F.sum("m").alias("n")).agg(F.min("n")).first()[0]
+    if smallest is not None and smallest < 2:
+        own = F.lit("")
+        at, counts = at.withColumn("c", own), counts.groupBy(own.alias("c"), "b").agg(F.sum("m").alias("m"))
+
+    so_far = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.select("c", "b", (F.sum("m").over(so_far) - F.col("m")).alias("before"), "m",
+                           F.sum("m").over(Window.partitionBy("c")).alias("n"))
+    wanted = counts.select("*", F.explode(F.array(*[F.lit(i) for i in range(1, cuts + 1)])).alias("i")).withColumn(
+        "r", place(F.col("n"), F.col("i"))).where("r >= before and r < before + m").select("c", "b", "before", "r").collect()
+    if not wanted:
+        return df.withColumn("_part", F.lit(0))
+    # at most `cuts` rows per class: a bounded broadcast
+    places = df.sparkSession.createDataFrame(wanted, "c string, b int, before long, r long").groupBy("c", "b").agg(
+        F.first("before").alias("before"), F.collect_set("r").alias("rs"))
+    nth = F.row_number().over(Window.partitionBy("c", "b").orderBy("u", "k")) - 1 + F.col("before")
+    near = at.join(F.broadcast(places), ["c", "b"]).withColumn("r", nth).where(F.array_contains("rs", F.col("r")))
+    found = {(row["c"], row["r"]): row for row in near.select("c", "r", "u", "k").collect()}
+    lists: dict[str, list] = {}
+    for row in wanted:
+        cut = found[row["c"], row["r"]]
+        lists.setdefault(row["c"], []).append(F.struct(F.lit(cut["u"]), F.lit(cut["k"]).cast(df.schema[key].dataType)))
+    part = F.lit(0)
+    for c, ends in lists.items():
+        before = sum(((end <= F.struct(u, F.col(key))).cast("int") for end in ends), F.lit(0))
+        part = F.when(own == c, before).otherwise(part)
+    return df.withColumn("_part", part)
+
+
+def with_split(df: DataFrame, key: str, test_fraction: float = K.TEST_FRACTION, seed: int = K.SPLIT_SEED,
+               label: str = K.LABEL_COL) -> DataFrame:
     """Add boolean ``is_test``."""
-    return df.withColumn("is_test", _u(df, key, seed) < F.lit(float(test_fraction)))
+    def n_test(n, _i):
+        return F.floor(n * F.lit(float(test_fraction)) + F.lit(0.5))
+    parts = _below(df, key, label, seed, 1, n_test)
+    return parts.withColumn("is_test", F.col("_part") == 0).drop("_part")
 
 
-def train_test(df: DataFrame, key: str, test_fraction: float = K.TEST_FRACTION, seed: int = K.SPLIT_SEED):
-    s = with_split(df, key, test_fraction, seed)
+def train_test(df: DataFrame, key: str, test_fraction: float = K.TEST_FRACTION, seed: int = K.SPLIT_SEED,
+               label: str = K.LABEL_COL):
+    s = with_split(df, key, test_fraction, seed, label)
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
-def with_folds(df: DataFrame, key: str, k: int = K.CV_FOLDS, seed: int = K.SPLIT_SEED + 1) -> DataFrame:
+def with_folds(df: DataFrame, key: str, k: int = K.CV_FOLDS, seed: int = K.SPLIT_SEED + 1,
+               label: str = K.LABEL_COL) -> DataFrame:
     """Add int ``fold`` in 0..k-1."""
-    return df.withColumn("fold", F.least(F.floor(_u(df, key, seed) * k), F.lit(k - 1)).cast("int"))
+    if k < 2:
+        return df.withColumn("fold", F.lit(0))
+    def first_of(n, i):
+        return F.ceil(n * i / F.lit(k))
+    return _below(df, key, label, seed, k - 1, first_of).withColumnRenamed("_part", "fold")
 
 
 def split_sizes(df: DataFrame, key: str, label: str = K.LABEL_COL, test_fraction: float = K.TEST_FRACTION,
                 seed: int = K.SPLIT_SEED) -> DataFrame:
-    s = with_split(df, key, test_fraction, seed)
+    s = with_split(df, key, test_fraction, seed, label)
     return s.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"),
                                 F.count_if(~F.col("is_test")).alias("n_train"))
 
 
 def fold_sizes(df: DataFrame, key: str, label: str = K.LABEL_COL, k: int = K.CV_FOLDS,
                seed: int = K.SPLIT_SEED + 1) -> DataFrame:
-    return with_folds(df, key, k, seed).groupBy("fold", label).agg(F.count(F.lit(1)).alias("n"))
+    return with_folds(df, key, k, seed, label).groupBy("fold", label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_weights(train: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
-    """Balanced weights n / (2 * n_class) per class (two rows)."""
+    """Balanced weights n / (n_classes * n_class) per class, from one pass (a row per class)."""
     g = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    total = train.select(F.count(F.lit(1))).scalar()
-    n_classes = train.select(F.count_distinct(label)).scalar()
+    classes = Window.partitionBy(F.lit(0))  # over one row per class
+    total, n_classes = F.sum("n_class").over(classes), F.count(label).over(classes)
     return g.select(label, "n_class", (total.cast("double") / (n_classes * F.col("n_class"))).alias("weight"))
 
 

@@ -151,7 +151,7 @@ def q_features_partial_columns(spark, sf_dir):
 
 @query("strict_soil_errors", "with " + Q.SITES_RAW + f"""
 select site_id, Soil_Type as soil, {Q.soil_strict('Soil_Type')} as code,
- case when {Q.soil_strict('Soil_Type')} is null then 'Unknown soil type ''' || coalesce(Soil_Type, 'None') || '''. Valid options: [''Clay'', ''Loamy'', ''Sandy'', ''Silty'']' end as error
+ case when {Q.soil_strict('Soil_Type')} is null then 'no soil code for ' || coalesce(Soil_Type, 'a missing name') || ' (known: Clay, Loamy, Sandy, Silty)' end as error
 from sites_raw""")
 def q_strict_soil_errors(spark, sf_dir):
     r = fx.sites_raw(spark, sf_dir)
@@ -204,13 +204,14 @@ select 'ALL', count(*), count_if(np = 6), round_even(cast(count_if(np = 6) as do
 from (select site_id, count_if(passed) as np from checks group by site_id)""")
 def q_condition_pass_rate(spark, sf_dir):
     s = sites(spark, sf_dir).withColumn("conditions", condition_array())
-    per = s.select(F.inline("conditions")).groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"))
-    all_ = s.agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(F.forall("conditions", lambda c: c["passed"])).alias("n_passed")) \
-        .select(F.lit("ALL").alias("name"), "n", "n_passed")
-    out = per.unionByName(all_)
-    return out.withColumn("pass_rate", np_round(F.col("n_passed") / F.col("n"), 6))
+    names = [c[0] for c in K.CONDITIONS]
+    passed = [F.col("conditions")[i]["passed"] for i in range(len(names))]
+    row = s.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(p).alias(f"p{i}") for i, p in enumerate(passed)],
+                F.count_if(F.forall("conditions", lambda c: c["passed"])).alias("all_passed"))
+    cells = [F.struct(F.lit(x).alias("name"), F.col(c).alias("n_passed"))
+             for x, c in [*[(x, f"p{i}") for i, x in enumerate(names)], ("ALL", "all_passed")]]
+    return row.select("n", F.inline(F.array(*cells))).select(
+        "name", "n", "n_passed", np_round(F.try_divide("n_passed", "n"), 6).alias("pass_rate"))
 
 
 # ------------------------------------------------------------- batch / single scoring
@@ -279,7 +280,7 @@ select site_id, Temperature, NDVI, Soil_Moisture, Elevation_Zone,
  case when code is not null then cast((Rainfall >= 600.0) as integer) + cast((Slope <= 20.0) as integer)
   + cast((Elevation <= 2000.0) as integer) + cast((NDVI >= 0.4) as integer) + cast((Soil_Moisture >= 0.1) as integer)
   + cast((Temperature >= 15.0) as integer) end as n_passed,
- case when code is null then 'Unknown soil type ''' || coalesce(soil, 'None') || '''. Valid options: [''Clay'', ''Loamy'', ''Sandy'', ''Silty'']' end as error
+ case when code is null then 'no soil code for ' || coalesce(soil, 'a missing name') || ' (known: Clay, Loamy, Sandy, Silty)' end as error
 from single_s"""
 
 
@@ -528,6 +529,39 @@ def q_quality_report(spark, sf_dir):
     return PR.quality_report(sites(spark, sf_dir).select(*QUALITY_COLS))
 
 
+ROUGH_COLS = ["Elevation", "Slope", "Rainfall", "Suitability"]
+ROUGH_CTE = "with " + ",".join([Q.SITES_RAW, Q.SITES_NUM, Q.SITES_LAB]) + """,
+rough as (select Elevation, Slope, case when site_id % 83 = 0 then Rainfall * 2e1 else Rainfall end as Rainfall, Suitability
+ from sites_lab)"""
+
+
+def rough_sites(spark, sf_dir):
+    """Sites before rows with missing cells go, with outliers of rainfall."""
+    d = C.coerce_numeric(fx.sites_labelled(spark, sf_dir), K.NUMERIC_INPUTS)
+    wet = F.when(F.col("site_id") % 83 == 0, F.col("Rainfall") * 20.0).otherwise(F.col("Rainfall"))
+    return d.withColumn("Rainfall", wet).select(*ROUGH_COLS)
+
+
+@query("iqr_outliers_rough", ROUGH_CTE + _iqr_sql(ROUGH_COLS).replace("from sites", "from rough"))
+def q_iqr_outliers_rough(spark, sf_dir):
+    o = PR.iqr_outliers(rough_sites(spark, sf_dir))
+    return o.select("column", *[np_round(c, 9).alias(c) for c in ("q1", "q3", "lower", "upper")], "n_outliers")
+
+
+@query("quality_report_rough", ROUGH_CTE + f"""
+select 'n_rows' as metric, cast(null as varchar) as "column", cast(count(*) as double) as value from rough
+union all select 'n_cols', null, {float(len(ROUGH_COLS))!r}
+union all select 'n_dupes', null, cast(coalesce(sum(n - 1), 0) as double) from (select count(*) as n from rough group by {", ".join(ROUGH_COLS)})
+union all select 'total_missing', null, cast({" + ".join(f"count_if({c} is null)" for c in ROUGH_COLS)} as double) from rough
+""" + "".join(f"""union all select 'missing', '{c}', cast(count_if({c} is null) as double) from rough having count_if({c} is null) > 0
+""" for c in ROUGH_COLS) + """union all select 'class_balance', cast(Suitability as varchar), cast(count(*) as double) from rough where Suitability is not null group by Suitability
+union all select 'class_ratio', null, round_even(cast(count_if(Suitability = 1) as double) / greatest(case when count_if(Suitability = 0) = 0 then 1 else count_if(Suitability = 0) end, 1) * 1e3, 0) / 1e3 from rough
+union all select 'outliers', "column", cast(n_outliers as double) from (
+""" + _iqr_sql(ROUGH_COLS).replace(", qq as (", "with qq as (").replace("from sites", "from rough") + ")")
+def q_quality_report_rough(spark, sf_dir):
+    return PR.quality_report(rough_sites(spark, sf_dir))
+
+
 # ------------------------------------------------------------- sampling, splits
 from ..functions.hashing import unit_hash_sql  # noqa: E402
 from ..operators import evaluate as EV  # noqa: E402
@@ -542,22 +576,48 @@ def q_sample_scatter(spark, sf_dir):
     return SA.scatter(sites(spark, sf_dir), "Elevation", "Slope", key="site_id", n=K.SCATTER_SAMPLE, seed=42)
 
 
+def _placed_sql(source: str, seed: int, label: str = "Suitability") -> str:
+    """Rows of ``source`` with their place (from 0) in their class and its size, by SQL ranks."""
+    return (f"(select *, row_number() over (partition by {label} order by {unit_hash_sql('site_id', seed)}, site_id) - 1 as r, "
+            f"count(*) over (partition by {label}) as n_class from {source})")
+
+
+TEST_SQL = "r < floor(n_class * 0.2e0 + 0.5e0)"
+
+
 @query("stratified_split_sizes", Q.SITES_CTE + f"""
-select Suitability, count(*) as n, count_if({unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2) as n_test,
- count_if(not ({unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2)) as n_train from sites group by Suitability""")
+select Suitability, count(*) as n, count_if({TEST_SQL}) as n_test, count_if(not ({TEST_SQL})) as n_train
+from {_placed_sql('sites', K.SPLIT_SEED)} group by Suitability""")
 def q_stratified_split_sizes(spark, sf_dir):
     return SP.split_sizes(sites(spark, sf_dir), key="site_id")
 
 
+@query("split_rows", Q.SITES_CTE + f"""
+select site_id, {TEST_SQL} as is_test from {_placed_sql('sites', K.SPLIT_SEED)}""")
+def q_split_rows(spark, sf_dir):
+    """The part of every row."""
+    return SP.with_split(sites(spark, sf_dir), key="site_id").select("site_id", "is_test")
+
+
 @query("fold_sizes", Q.SITES_CTE + f"""
-select cast(least(floor({unit_hash_sql('site_id', K.SPLIT_SEED + 1)} * 5), 4) as integer) as fold, Suitability,
- count(*) as n from sites group by 1, 2""")
+select cast(r * 5 // n_class as integer) as fold, Suitability, count(*) as n
+from {_placed_sql('sites', K.SPLIT_SEED + 1)} group by 1, 2""")
 def q_fold_sizes(spark, sf_dir):
     return SP.fold_sizes(sites(spark, sf_dir), key="site_id")
 
 
+@query("rare_class_split", Q.SITES_CTE + f""",
+rare as (select site_id, cast(Elevation_Zone = 0 and Slope < 1e0 as integer) as flag from sites)
+select flag, count(*) as n, count_if({TEST_SQL}) as n_test, count_if(not ({TEST_SQL})) as n_train
+from {_placed_sql('rare', K.SPLIT_SEED, 'flag')} group by flag""")
+def q_rare_class_split(spark, sf_dir):
+    """A class of few rows keeps its share of the test part."""
+    flag = ((F.col("Elevation_Zone") == 0) & (F.col("Slope") < 1)).cast("int")
+    return SP.split_sizes(sites(spark, sf_dir).select("site_id", flag.alias("flag")), key="site_id", label="flag")
+
+
 @query("class_weights", Q.SITES_CTE + f""",
-tr as (select * from sites where not ({unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2))
+tr as (select * from {_placed_sql('sites', K.SPLIT_SEED)} where not ({TEST_SQL}))
 select Suitability, count(*) as n_class,
  cast((select count(*) from tr) as double) / ((select count(distinct Suitability) from tr) * count(*)) as weight
 from tr group by Suitability""")
@@ -639,7 +699,7 @@ def q_brier(spark, sf_dir):
 
 
 @query("overfit_gap", SCORED_CTE + f""",
-sp as (select *, {unit_hash_sql('site_id', K.SPLIT_SEED)} < 0.2 as is_test from scored),
+sp as (select *, {TEST_SQL} as is_test from {_placed_sql('scored', K.SPLIT_SEED, 'y')}),
 a as (select cast(count_if(not is_test and y = pred) as double) / count_if(not is_test) as train_accuracy,
   cast(count_if(is_test and y = pred) as double) / count_if(is_test) as test_accuracy from sp)
 select train_accuracy, test_accuracy, {Q.npround('train_accuracy - test_accuracy', 9)} as overfit_gap,
@@ -647,8 +707,7 @@ select train_accuracy, test_accuracy, {Q.npround('train_accuracy - test_accuracy
  (train_accuracy - test_accuracy) > 0.05 as warning
 from a""")
 def q_overfit_gap(spark, sf_dir):
-    train, test = SP.train_test(scored(spark, sf_dir), key="site_id")
-    return EV.overfit_gap(train, test)
+    return EV.overfit_gap(SP.with_split(scored(spark, sf_dir), key="site_id", label="y"))
 
 
 # ----------------------------------------------------- forest (rows-only checks)
@@ -722,6 +781,30 @@ def q_rf_batch_score(spark, sf_dir):
         "site_id", "Prediction", "Confidence", "Label", "Conf_Tier")
 
 
+@query("rf_split_sizes", Q.SITES_CTE + f"""
+select count_if(not ({TEST_SQL})) as n_train, count_if({TEST_SQL}) as n_test from {_placed_sql('sites', K.SPLIT_SEED)}""")
+def q_rf_split_sizes(spark, sf_dir):
+    """Rows that the trained forest was fitted and tested on."""
+    m = trained(spark, sf_dir).metrics
+    return sites(spark, sf_dir).limit(0).agg(F.lit(m["n_train"]).cast("long").alias("n_train"),
+                                             F.lit(m["n_test"]).cast("long").alias("n_test"))
+
+
+@query("rf_test_classes", Q.SITES_CTE + f"""
+select Suitability as actual, count(*) as n from {_placed_sql('sites', K.SPLIT_SEED)} where {TEST_SQL} group by Suitability""")
+def q_rf_test_classes(spark, sf_dir):
+    """Rows of each class that the forest's test confusion matrix counts."""
+    return (trained(spark, sf_dir).tables["confusion"].groupBy("actual").agg(F.sum("n").alias("n")).where("n > 0"))
+
+
+@query("rf_batch_rows", Q.WIDE_CTE + """
+select site_id, count(*) as n from wide group by site_id""")
+def q_rf_batch_rows(spark, sf_dir):
+    """Every site of the batch is scored by the forest."""
+    return q_rf_batch_score(spark, sf_dir).where("Prediction in (0, 1) and Confidence between 0.5 and 1").groupBy(
+        "site_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("rf_batch_summary")
 def q_rf_batch_summary(spark, sf_dir):
     scorer = S.ForestScorer(trained(spark, sf_dir).model)
@@ -748,6 +831,20 @@ def similar_scored(districts, elevation, rainfall, scorer, n=K.SIMILAR_TOP_N):
     return top.join(F.broadcast(s), "rank")  # both sides hold at most n rows
 
 
+SIMILAR_SQL = ORACLE["similar_districts"]
+
+
+@query("similar_scored", "with top as (" + SIMILAR_SQL + f"""),
+f as (select *, {Q.npround(Q.ndvi('annual_rainfall'), 4)} as ndvi from top),
+p as (select *, {Q.rule_p('elevation', repr(float(K.SIMILAR_SLOPE)), 'annual_rainfall', 'ndvi')} as p from f)
+select rank, district_id, state, district, elevation, annual_rainfall, Match_Distance,
+ case when p > 6.25e-1 then 'Suitable' else 'Not Suitable' end as Predicted_Suitability,
+ {Q.npround('case when p > 6.25e-1 then p else 1e0 - p end', 3)} as Prediction_Confidence
+from p""")
+def q_similar_scored(spark, sf_dir):
+    return similar_scored(fx.districts(spark, sf_dir), 600.0, 800.0, S.RuleScorer())
+
+
 @query("rf_similar_scored")
 def q_rf_similar_scored(spark, sf_dir):
     return similar_scored(fx.districts(spark, sf_dir), 600.0, 800.0, S.ForestScorer(trained(spark, sf_dir).model))
@@ -759,17 +856,44 @@ def q_rf_onehot_importances(spark, sf_dir):
     return M.onehot_importances(sites(spark, sf_dir), cfg)
 
 
-@query("rf_reload_eval")
-def q_rf_reload_eval(spark, sf_dir):
-    """Save, reload and re-evaluate on all rows (in-sample rows included)."""
+def reloaded(spark, sf_dir):
+    """The saved and reloaded model, and all sites scored by it (in-sample rows included)."""
     base = shared_path(spark, "registry")
     R.save_run(spark, trained(spark, sf_dir), base)
     model = R.load_model(spark, base)
-    s = S.with_prediction(sites(spark, sf_dir), S.ForestScorer(model)).select(
+    return model, S.with_prediction(sites(spark, sf_dir), S.ForestScorer(model)).select(
         F.col("Suitability").alias("y"), F.col(S.P1).alias("p"), F.col("Prediction").alias("pred"))
+
+
+@query("rf_reload_eval")
+def q_rf_reload_eval(spark, sf_dir):
+    """Save, reload and re-evaluate on all rows."""
+    _, s = reloaded(spark, sf_dir)
     bm = EV.binary_metrics(s).select("accuracy", "f1", "tp", "fp", "fn", "tn")
-    auc = EV.roc_auc(s)
-    return bm.withColumn("roc_auc", auc.select("roc_auc").scalar())
+    return bm.withColumn("roc_auc", EV.roc_auc(s).select("roc_auc").scalar())
+
+
+@query("rf_reload_confusion")
+def q_rf_reload_confusion(spark, sf_dir):
+    return EV.confusion_matrix(reloaded(spark, sf_dir)[1])
+
+
+@query("rf_reload_roc")
+def q_rf_reload_roc(spark, sf_dir):
+    return EV.roc_points(reloaded(spark, sf_dir)[1])
+
+
+@query("rf_reload_importances")
+def q_rf_reload_importances(spark, sf_dir):
+    return M.importances(reloaded(spark, sf_dir)[0])
+
+
+@query("rf_reload_class_totals", Q.SITES_CTE + """
+select Suitability as actual, count(*) as n from sites group by Suitability""")
+def q_rf_reload_class_totals(spark, sf_dir):
+    """Rows of each class that the reloaded model's confusion matrix counts."""
+    return (EV.confusion_matrix(reloaded(spark, sf_dir)[1]).groupBy("actual")
+            .agg(F.sum("n").alias("n")).where("n > 0"))
 
 
 @query("rf_load_or_train")
@@ -800,9 +924,8 @@ def q_stream_window_rate(spark, sf_dir):
     from ..streaming import run_to_table, score_stream, windowed_rate
     from ..streaming.scoring import ntz_as_utc
     base = shared_path(spark, "stream")
-    ev = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site_id"),
-                                                   ntz_as_utc("o_orderdate").alias("ts"))
-    src = fx.sites_raw(spark, sf_dir).join(ev, "site_id")
+    src = fx.sites_raw(spark, sf_dir, ("o_orderdate",)).withColumn("ts", ntz_as_utc("o_orderdate")).drop("o_orderdate")
     src.repartition(4, "site_id").write.parquet(f"{base}/in")
     scored_stream = score_stream(spark, f"{base}/in", src.schema, S.RuleScorer(), max_files_per_trigger=2)
-    return run_to_table(windowed_rate(scored_stream, "ts"), f"{base}/out", f"{base}/ckpt")
+    # each file spans all seven years of order dates, so none of them may count as late
+    return run_to_table(windowed_rate(scored_stream, "ts", watermark="3000 days"), f"{base}/out", f"{base}/ckpt")

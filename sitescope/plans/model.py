@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import evaluate as EV
 from ..operators import split as SP
-from ..session import spread
 from ..sources.validate import ensure_min_rows, require_columns
 
 
@@ -176,8 +175,13 @@ class _Persisted:
 
 def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_folds: int = K.CV_FOLDS,
                 learning_curve_sizes: list[float] | None = None, learning_curve_trees: int = K.LEARNING_CURVE_TREES,
-                learning_curve_folds: int = 3, sub_forests: int | None = None) -> TrainResult:
-    """Stratified (hash) 80/20 split, balanced weights, forest fit, full evaluation."""
+                learning_curve_folds: int = 3, sub_forests: int | None = None,
+                partitions: int | None = None) -> TrainResult:
+    """Stratified 80/20 split, balanced weights, forest fit, full evaluation.
+
+    ``partitions`` deals the assembled rows out anew, for a table stored in too few
+    files to occupy the cluster; by default they stay as read.
+    """
     config = config or ForestConfig()
     require_columns(df, K.FEATURE_COLS, "training features")
     require_columns(df, [K.LABEL_COL, key], "training table")
@@ -186,6 +190,8 @@ def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_
     asm = assembler()
     data = asm.transform(df.select(F.col(key).alias("_key"), K.LABEL_COL, *K.FEATURE_COLS)) \
         .select("_key", K.LABEL_COL, "features", *K.FEATURE_COLS)
+    if partitions:
+        data = data.repartition(partitions, "_key")
     data = SP.with_split(data, "_key").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train = SP.with_class_weight(data.where(~F.col("is_test")))
@@ -199,9 +205,9 @@ def train_model(df: DataFrame, key: str, config: ForestConfig | None = None, cv_
         model = ForestEnsemble(asm, forests)
 
         # each scored part is (y, p, pred) only; persisted once, read by every metric
-        scored_test = _probability_frame(model.transform(spread(test.drop("features")))) \
+        scored_test = _probability_frame(model.transform(test.drop("features"))) \
             .persist(StorageLevel.MEMORY_AND_DISK)
-        scored_train = _probability_frame(model.transform(spread(train.drop("features")))) \
+        scored_train = _probability_frame(model.transform(train.drop("features"))) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         bm = EV.binary_metrics(scored_test).first().asDict()
         train_acc = float(EV.binary_metrics(scored_train).select("accuracy").first()[0])
@@ -251,12 +257,12 @@ def _freeze(df: DataFrame) -> DataFrame:
 
 
 def cross_val_f1(data: DataFrame, config: ForestConfig, k: int = K.CV_FOLDS, parallelism: int = 4) -> list[float]:
-    """k-fold (hash folds over all rows) F1 of class 1; weights from each training part."""
+    """k-fold (stratified folds over all rows) F1 of class 1; weights from each training part."""
     with _Persisted(SP.with_folds(data, "_key", k)) as folded:
         def one(f):
             tr = SP.with_class_weight(folded.where(F.col("fold") != f))
-            m = config.estimator().fit(tr)
-            return _f1(m.transform(folded.where(F.col("fold") == f)))
+            m = ForestEnsemble(assembler(), fit_forest(tr, config))
+            return _f1(m.transform(folded.where(F.col("fold") == f).drop("features")))
         return _parallel(one, list(range(k)), parallelism)
 
 
@@ -270,9 +276,9 @@ def learning_curve(data: DataFrame, config: ForestConfig, sizes: list[float], fo
         def one(job):
             frac, f = job
             tr = SP.with_class_weight(folded.where((F.col("fold") != f) & (F.col("_u") < F.lit(float(frac)))))
-            m = config.estimator().fit(tr)
-            tr_f1, n_tr = _f1_and_rows(m.transform(tr))
-            return frac, n_tr, tr_f1, _f1(m.transform(folded.where(F.col("fold") == f)))
+            m = ForestEnsemble(assembler(), fit_forest(tr, config))
+            tr_f1, n_tr = _f1_and_rows(m.transform(tr.drop("features")))
+            return frac, n_tr, tr_f1, _f1(m.transform(folded.where(F.col("fold") == f).drop("features")))
         res = _parallel(one, [(frac, f) for frac in sizes for f in range(folds)], parallelism)
     rows = []
     for frac in sizes:

@@ -23,7 +23,7 @@ def _soil_name(code) -> F.Column:
             .when(code == 3, "Silty").otherwise("Gravel"))
 
 
-def _sites_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sites_numbers(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
@@ -33,6 +33,7 @@ def _sites_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (200.0 + (F.round(F.col("o_totalprice") * 100.0).cast("bigint") % 18001).cast("double") / 10.0).alias("_r"),
         _soil_name(k % 5).alias("Soil_Type"),
         (((c * 7919 + k * 10473) % 2001 - 1000).cast("double") / 1000.0 * 0.7).alias("noise"),
+        *extra,
     )
 
 
@@ -44,14 +45,14 @@ def _as_text(n: DataFrame) -> list:
     ]
 
 
-def sites_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sites_raw(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Sites as an uploaded CSV would arrive: strings, 'n/a', NULLs, unknown soil.
 
     Columns: site_id, Elevation, Slope, Rainfall, Soil_Type (strings), noise (double).
-    One row per order (unique key).
+    One row per order (unique key); ``extra`` columns of the order come along.
     """
-    n = _sites_numbers(spark, sf_dir)
-    return n.select("site_id", *_as_text(n), "Soil_Type", "noise")
+    n = _sites_numbers(spark, sf_dir, extra)
+    return n.select("site_id", *_as_text(n), "Soil_Type", "noise", *extra)
 
 
 def sites_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

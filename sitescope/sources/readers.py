@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
-from .validate import require_columns
+from .validate import ensure_not_empty, require_columns
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None, **options) -> DataFrame:
@@ -28,28 +28,30 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
 def load_sites(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Training scan: validated, cleaned, soil-encoded, feature-derived sites."""
     from ..operators.clean import clean_sites
-    df = require_columns(read_table(spark, path, fmt), K.REQUIRED_SITE_COLS, "training table")
+    df = ensure_not_empty(require_columns(read_table(spark, path, fmt), K.REQUIRED_SITE_COLS, "training table"), "training table")
     return clean_sites(df)
 
 
 def load_districts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """District scan: cleaned district table."""
     from ..operators.districts import clean_districts
-    df = require_columns(read_table(spark, path, fmt), K.REQUIRED_DISTRICT_COLS, "district table")
+    df = ensure_not_empty(require_columns(read_table(spark, path, fmt), K.REQUIRED_DISTRICT_COLS, "district table"), "district table")
     return clean_districts(df)
 
 
 def load_observations(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Raw weather observations: one row per observation, any extra columns."""
-    return require_columns(read_table(spark, path, fmt), ["state", "district"], "observation table")
+    obs = require_columns(read_table(spark, path, fmt), ["state", "district"], "observation table")
+    return ensure_not_empty(obs, "observation table")
 
 
 def load_batch(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Uploaded batch of sites to score."""
-    return require_columns(read_table(spark, path, fmt), K.REQUIRED_BATCH_COLS, "batch input")
+    batch = require_columns(read_table(spark, path, fmt), K.REQUIRED_BATCH_COLS, "batch input")
+    return ensure_not_empty(batch, "batch input")
 
 
 def batch_template(spark: SparkSession) -> DataFrame:
     """The four-row example of the batch upload format."""
-    rows = [(450, 5, 900, "Loamy"), (1200, 12, 650, "Clay"), (2800, 35, 350, "Sandy"), (300, 3, 1400, "Silty")]
+    rows = [(150, 2, 1100, "Silty"), (730, 9, 820, "Loamy"), (1650, 18, 540, "Clay"), (2400, 27, 310, "Sandy")]
     return spark.createDataFrame(rows, "Elevation int, Slope int, Rainfall int, Soil_Type string")

@@ -3,7 +3,8 @@
 Scoring is row-wise once feature derivation fills missing cells per row
 (``mode="row"``), so the batch scorer applies unchanged to ``readStream``
 input. The windowed rate is a tumbling ``window`` aggregate with a
-watermark, so state for windows older than the watermark is dropped.
+watermark in update mode, so state for windows older than the watermark is
+dropped; rows later than the watermark are not counted.
 """
 
 from __future__ import annotations
@@ -42,17 +43,24 @@ def windowed_rate(scored: DataFrame, event_time: str, window: str = "30 days",
                     F.unix_seconds(F.col("w.end")).alias("window_end_s"), "n_sites", "n_suitable")
 
 
-def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, output_mode: str = "complete") -> DataFrame:
-    """Run the stream over everything available now and return the written table.
+def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Run the stream over everything available now and return its latest rows.
 
-    Complete mode goes through ``foreachBatch``: each micro-batch overwrites the
-    table with the current aggregate (executors write their partitions).
+    Update mode: each micro-batch writes the windows that it changed to a folder
+    of its own, which a repeated batch writes anew and no reader overwrites; the
+    latest batch that holds a window has its row. ``keys`` name a window
+    (default: its start and end).
     """
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    keys = keys or ["window_start_s", "window_end_s"]
+    rest = [c for c in stream.columns if c not in keys]
 
-    q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out_path}/batch=-1")
+    q = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    spark = stream.sparkSession
-    return spark.read.parquet(out_path)
+    latest = spark.read.parquet(out_path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("now"))
+    return latest.select(*keys, "now.*")

@@ -100,7 +100,7 @@ def test_label_truncation_and_domain(spark):
     rows = C.clean_sites(ok).collect()
     assert [r.Suitability for r in rows] == [0]  # text label is missing -> dropped
     bad = spark.createDataFrame([("1", "1", "300", "Clay", "2")], base)
-    with pytest.raises(Exception, match="unexpected value"):
+    with pytest.raises(Exception, match="only 0 and 1"):
         C.clean_sites(bad).collect()
 
 

@@ -35,7 +35,7 @@ def test_smoke_points(spark, result):
     for i in (1, 2, 3):
         assert rows[i].error is None and rows[i].label in ("Suitable", "Not Suitable")
         assert 0.5 <= rows[i].confidence <= 1.0 and len(rows[i].conditions) == 6
-    assert rows[4].error.startswith("Unknown soil type 'Gravel'") and rows[4].prediction is None
+    assert rows[4].error.startswith("no soil code for Gravel") and rows[4].prediction is None
     assert rows[3].label == "Suitable"
 
 

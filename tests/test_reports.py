@@ -16,8 +16,8 @@ def test_duplicates_nulls_equal(spark):
 
 def test_quantile_linear(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "x double")
-    q = spark.range(1).select(PR.quantiles(df, ["x"], [0.25, 0.75]).alias("q")).first().q
-    assert q.x[0] == pytest.approx(1.5) and q.x[1] == pytest.approx(3.0)
+    q = PR.quantiles(df, ["x"], [0.25, 0.75])["x"]
+    assert q[0] == pytest.approx(1.5) and q[1] == pytest.approx(3.0)
 
 
 def test_iqr_outliers(spark):
@@ -70,8 +70,8 @@ def test_roc_auc_matches_pairs(spark):
     pos = [p for y, p in rows if y == 1]
     neg = [p for y, p in rows if y == 0]
     expect = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
-    assert EV.roc_auc(df, buckets=4).first().roc_auc == pytest.approx(expect)
-    pts = EV.roc_points(df, buckets=4).orderBy("fpr", "tpr").collect()
+    assert EV.roc_auc(df).first().roc_auc == pytest.approx(expect)
+    pts = EV.roc_points(df).orderBy("fpr", "tpr").collect()
     assert (pts[0].fpr, pts[0].tpr) == (0.0, 0.0) and (pts[-1].fpr, pts[-1].tpr) == (1.0, 1.0)
 
 
@@ -123,4 +123,19 @@ def test_roc_skewed_scores(spark):
     pos = [p for y, p in rows if y == 1]
     neg = [p for y, p in rows if y == 0]
     pairs = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
-    assert EV.roc_auc(df, buckets=16).first().roc_auc == pytest.approx(pairs / (len(pos) * len(neg)))
+    assert EV.roc_auc(df).first().roc_auc == pytest.approx(pairs / (len(pos) * len(neg)))
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=3000).round(2)
+    x[:1000] = 0.5  # a third of all rows hold one value
+    y = rnd.exponential(size=3000) ** 4
+    df = spark.createDataFrame([(float(a), float(b), None, float("nan")) for a, b in zip(x, y)],
+                               "x double, y double, z double, w double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    q = PR.quantiles(df, ["x", "y", "z", "w"], probs)
+    assert q["x"] == pytest.approx(list(np.quantile(x, probs))) and q["y"] == pytest.approx(list(np.quantile(y, probs)))
+    assert q["z"] == [None] * 7 and q["w"] == [None] * 7
+    assert PR.quantiles(df.limit(0), ["x"], probs)["x"] == [None] * 7

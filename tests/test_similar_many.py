@@ -1,4 +1,4 @@
-"""Grid nearest-district search equals brute force, including hot cells and duplicates."""
+"""Tree nearest-district search equals brute force, including hot cells and duplicates."""
 
 import math
 import random
@@ -24,11 +24,11 @@ def brute(districts, targets, n):
     return out
 
 
-def run(spark, districts, targets, n, g=None):
+def run(spark, districts, targets, n, leaf=None):
     dd = spark.createDataFrame(districts, "district_id long, state string, district string, elevation double, annual_rainfall double")
     tt = spark.createDataFrame(targets, "target_id long, elevation double, rainfall double")
     got = {}
-    for r in SIM.similar_many(dd, tt, n=n, cells_per_axis=g).orderBy("target_id", "rank").collect():
+    for r in SIM.similar_many(dd, tt, n=n, leaf=leaf).orderBy("target_id", "rank").collect():
         got.setdefault(r.target_id, []).append(r.district_id)
     return got
 
@@ -48,7 +48,7 @@ def test_grid_equals_brute_force_skewed(spark):
     targets += [(100, 1000.0, 900.0), (101, 50.0, 350.0)]
     want = brute(districts, targets, 10)
     assert run(spark, districts, targets, 10) == want
-    assert run(spark, districts, targets, 10, g=12) == want
+    assert run(spark, districts, targets, 10, leaf=12) == want
 
 
 def test_fewer_districts_than_n(spark):
@@ -63,4 +63,23 @@ def test_dense_distinct_cluster(spark):
     districts += [(1000 + i, "T", f"E{i:03d}", rnd.uniform(0, 3000), rnd.uniform(200, 5000)) for i in range(240)]
     targets = [(t, rnd.uniform(1400, 1600), rnd.uniform(700, 900)) for t in range(30)]
     targets += [(100 + t, rnd.uniform(0, 3000), rnd.uniform(200, 5000)) for t in range(30)]
-    assert run(spark, districts, targets, 10) == brute(districts, targets, 10)
+    assert run(spark, districts, targets, 10, leaf=20) == brute(districts, targets, 10)
+
+
+def test_diagonal_districts(spark):
+    rnd = random.Random(5)
+    districts = []
+    for i in range(600):
+        e = rnd.uniform(0, 3000)
+        districts.append((i, "S", f"D{i:03d}", e, 200 + 1.5 * e + rnd.uniform(-5, 5)))
+    targets = [(t, rnd.uniform(0, 3000), rnd.uniform(200, 5000)) for t in range(60)]
+    assert run(spark, districts, targets, 10, leaf=20) == brute(districts, targets, 10)
+
+
+def test_tied_axis_and_missing_target(spark):
+    districts = [(i, "S", f"D{i:03d}", 700.0, float(i % 90)) for i in range(400)]
+    districts += [(1000 + i, "T", f"E{i:03d}", float(i), 45.0) for i in range(100)]
+    targets = [(1, 700.0, 44.5), (2, 50.0, 45.0), (3, 400.0, 10.0)]
+    got = run(spark, districts, [*targets, (4, None, 10.0)], 10, leaf=20)
+    assert got == brute(districts, targets, 10)
+    assert run(spark, [], targets, 10) == {}
