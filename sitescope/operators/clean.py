@@ -49,23 +49,17 @@ def dropped_counts(df: DataFrame, cols=None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(missing).alias("dropped"))
 
 
-def label_to_int(df: DataFrame, label: str = K.LABEL_COL, mode: str = "table") -> DataFrame:
-    """Coerce the label leniently, truncate toward zero, reject non-binary tables.
+def label_to_int(df: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
+    """Coerce the label leniently, truncate toward zero, reject labels outside {0, 1}.
 
-    One scalar subquery finds a label outside {0, 1}, and a filter on it fails
-    every job that reads the table, whichever columns that job needs.
-    ``mode="row"`` (streams) checks each row that is read.
+    The check is a filter that raises, which column pruning cannot remove: every job
+    that reads such a row fails, whichever columns it needs, without a pass of its
+    own. ``sources.load_sites`` runs it over the whole table when it loads one.
     """
     col = F.col(label)
     y = (col if isinstance(df.schema[label].dataType, NumericType) else coerce_double(col)).cast("int")
-
-    def reject(value):
-        return F.raise_error(F.concat(F.lit(f"{label} holds "), value.cast("string"), F.lit("; only 0 and 1 are allowed")))
-
-    if mode == "row":
-        return df.withColumn(label, F.when(y.isNull() | y.isin(0, 1), y).otherwise(reject(y).cast("int")))
-    other = df.select(F.max(F.when(~y.isin(0, 1), y)).alias("other")).scalar()
-    return df.where(F.when(other.isNotNull(), reject(other).cast("boolean")).otherwise(F.lit(True))).withColumn(label, y)
+    reject = F.raise_error(F.concat(F.lit(f"{label} holds "), y.cast("string"), F.lit("; only 0 and 1 are allowed")))
+    return df.where(F.when(y.isNull() | y.isin(0, 1), F.lit(True)).otherwise(reject.cast("boolean"))).withColumn(label, y)
 
 
 _CODE_TEXT = r"^\s*[+-]?\d{1,9}(\.0*)?\s*$"
@@ -145,7 +139,7 @@ def clean_sites(df: DataFrame, mode: str = "table") -> DataFrame:
     df = coerce_numeric(df, K.NUMERIC_INPUTS)
     df = coerce_numeric(df, [K.LABEL_COL])
     df = drop_missing(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
-    df = label_to_int(df, mode=mode)
+    df = label_to_int(df)
     df = encode_soil_column(df, mode)
     return derive_features(df, mode=mode)
 

@@ -8,6 +8,7 @@ inference pass over the data).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from .validate import ensure_not_empty, require_columns
@@ -29,7 +30,9 @@ def load_sites(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     """Training scan: validated, cleaned, soil-encoded, feature-derived sites."""
     from ..operators.clean import clean_sites
     df = ensure_not_empty(require_columns(read_table(spark, path, fmt), K.REQUIRED_SITE_COLS, "training table"), "training table")
-    return clean_sites(df)
+    sites = clean_sites(df)
+    sites.agg(F.count(K.LABEL_COL)).first()  # a label outside {0, 1} rejects the table here
+    return sites
 
 
 def load_districts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
