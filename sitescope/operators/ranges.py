@@ -6,14 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
 SKETCH = 10_000
 
 
 def width(df: DataFrame) -> int:
-    """Range buckets a column is cut into: as many as the session's shuffle partitions."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Range buckets a column is cut into: the session's shuffle partitions, or 64 if these are fewer."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_buckets(df: DataFrame, cols: dict[str, str]) -> DataFrame:
@@ -37,8 +35,9 @@ def with_buckets(df: DataFrame, cols: dict[str, str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Quantiles by linear interpolation between ranks; null and NaN are left out.
 
-    A distinct value is counted once, and only the buckets that hold a wanted rank
-    are ordered, each by a task of its own. A few numbers per column come back.
+    Rows are first counted per bucket. Only values of the buckets that hold a wanted
+    rank are shuffled, as counts of distinct values, and each bucket is ordered by a
+    task of its own. A few numbers per column come back.
     """
     if not cols:
         return {}
@@ -46,11 +45,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[
     staged = with_buckets(staged, {f"v{i}": f"b{i}" for i in range(len(cols))})
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b"), F.col(f"v{i}").alias("v"))
                       for i in range(len(cols))])
-    values = materialize(staged.select(F.inline(cells)).where("v is not null and not isnan(v)")
-                         .groupBy("i", "b", "v").agg(F.count(F.lit(1)).alias("m")))
+    values = staged.select(F.inline(cells)).where("v is not null and not isnan(v)")
     # at most `width` rows per column
     order = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = values.groupBy("i", "b").agg(F.sum("m").alias("m")).select(
+    totals = values.groupBy("i", "b").agg(F.count(F.lit(1)).alias("m")).select(
         "i", "b", "m", (F.sum("m").over(order) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("i")).alias("n"))
     places = []
     for q, p in enumerate(probs):
@@ -59,7 +57,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[
                    for s, place in ((0, F.floor(at)), (1, F.ceil(at)))]
     wanted = totals.select("i", "b", "m", "before", F.inline(F.array(*places))).where("r >= before and r < before + m")
     # two rows per column and quantile at most
-    near = values.join(F.broadcast(wanted.select("i", "b", "before").distinct()), ["i", "b"])
+    wanted = df.sparkSession.createDataFrame(wanted.drop("m").collect(), "i int, b int, before long, q int, side int, r long, at double")
+    near = values.join(F.broadcast(wanted.select("i", "b", "before").distinct()), ["i", "b"]).groupBy("i", "b", "before", "v").agg(
+        F.count(F.lit(1)).alias("m"))
     run = Window.partitionBy("i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = near.withColumn("upto", F.col("before") + F.sum("m").over(run))
     hit = (near.select("i", "b", "v", "upto", F.col("m").alias("copies"))
