@@ -69,7 +69,7 @@ def encode_soil_column(df: DataFrame, mode: str = "table") -> DataFrame:
     """Lenient soil encoding; text keeps the original in Soil_Type_Label.
 
     A CSV scan reads codes as text too: when every non-missing value of the
-    column is a whole number, the values are codes. The test is one scalar
+    column, over all rows, is a whole number, the values are codes. The test is one scalar
     subquery over the table; ``mode="row"`` (streams) decides cell by cell.
     """
     dtype = df.schema["Soil_Type"].dataType
@@ -134,20 +134,21 @@ def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
 
 
 def clean_sites(df: DataFrame, mode: str = "table") -> DataFrame:
-    """Training table: coerce -> drop missing core values -> binary label -> soil -> features."""
+    """Training table: soil -> coerce -> drop missing core values -> binary label -> features."""
     require_columns(df, K.REQUIRED_SITE_COLS, "training table")
-    df = coerce_numeric(df, K.NUMERIC_INPUTS)
-    df = coerce_numeric(df, [K.LABEL_COL])
+    # soil first: its test of the whole column then reads that column alone
+    df = encode_soil_column(df, mode)
+    # the label comes out of the generator too, so that its check is not pushed below and worked out again there
+    df = coerce_numeric(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
     df = drop_missing(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
     df = label_to_int(df)
-    df = encode_soil_column(df, mode)
     return derive_features(df, mode=mode)
 
 
 def clean_batch(df: DataFrame, mode: str = "table") -> DataFrame:
-    """Batch input: coerce -> drop missing numerics -> lenient soil -> features."""
+    """Batch input: lenient soil -> coerce -> drop missing numerics -> features."""
     require_columns(df, K.REQUIRED_BATCH_COLS, "batch input")
+    df = encode_soil_column(df, mode)
     df = coerce_numeric(df, K.NUMERIC_INPUTS)
     df = drop_missing(df, K.NUMERIC_INPUTS)
-    df = encode_soil_column(df, mode)
     return derive_features(df, mode=mode)
