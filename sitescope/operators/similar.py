@@ -20,6 +20,7 @@ FEATURES = ("elevation", "annual_rainfall")
 FANOUT_BITS = 4
 FANOUT = 1 << FANOUT_BITS
 LEAF = 64  # districts of a leaf, at most
+BROADCAST_NODES = 4_096  # levels of the tree with so many nodes at most are broadcast
 
 
 def minmax_scalar(districts: DataFrame, cols=FEATURES):
@@ -156,16 +157,19 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
             F.sum("m").alias("m"), *[F.min(c).alias(c) for c in ("_dx0", "_dy0")],
             *[F.max(c).alias(c) for c in ("_dx1", "_dy1")])
 
+    # every target starts at the root; as a computed 0 the node stays a join key, where a literal would be folded away
     front = targets.select(target_key, scale(F.col("elevation").cast("double"), "elevation").alias("_tx"),
                            scale(F.col("rainfall").cast("double"), "annual_rainfall").alias("_ty"),
-                           F.lit(0).cast("long").alias("_node"))
+                           F.pmod(F.hash(target_key), F.lit(1)).cast("long").alias("_node"))
     own = Window.partitionBy(target_key)
     nearest = own.orderBy("_far", "_node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def away(dx, dy):
         return F.sqrt(dx * dx + dy * dy)
 
-    for level in reversed(kids):
+    for depth, level in enumerate(reversed(kids)):
+        if FANOUT ** depth <= BROADCAST_NODES:  # so many rows at most, of FANOUT boxes each
+            level = F.broadcast(level)
         seen = front.join(level, front["_node"] == level["_up"]).select(target_key, "_tx", "_ty", F.inline("_kids"))
         short = [F.greatest(F.col(f"{d}0") - F.col(t), F.col(t) - F.col(f"{d}1"), F.lit(0.0)) for d, t in (("_dx", "_tx"), ("_dy", "_ty"))]
         long = [F.greatest(F.abs(F.col(f"{d}0") - F.col(t)), F.abs(F.col(f"{d}1") - F.col(t))) for d, t in (("_dx", "_tx"), ("_dy", "_ty"))]
@@ -174,6 +178,8 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
         seen = seen.withColumn("_bound", F.min("_bound").over(own))
         front = seen.where(F.col("_bound").isNull() | (F.col("_close") <= F.col("_bound"))).select(
             target_key, "_tx", "_ty", "_node")
+    if not levels:  # the root is a leaf: its few districts
+        pts = F.broadcast(pts)
     found = front.join(pts, front["_node"] == pts["_path"]).withColumn(
         "_d", away(F.col("_dx") - F.col("_tx"), F.col("_dy") - F.col("_ty"))).where("_d is not null")
     order = own.orderBy("_d", "state", "district", district_key)
