@@ -7,8 +7,6 @@ small long-form tables.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -122,23 +120,32 @@ def numeric_bounds(df: DataFrame | None, cols=K.NUMERIC_INPUTS) -> DataFrame:
 def correlation(df: DataFrame, cols, digits: int | None = 2) -> DataFrame:
     """Pearson matrix in long form (x, y, r), all pairs incl. the diagonal.
 
-    One aggregate computes every covariance and standard deviation; a constant
-    column gives NULL (no division error under ANSI).
+    One pass: a row is opened into its pairs of values, which partial aggregation
+    collapses to a row per pair at once. An aggregate per pair in one row would be
+    generated code too large for the JIT compiler. A constant column gives NULL
+    (no division error under ANSI).
     """
-    aggs = [F.stddev_pop(F.col(c).cast("double")).alias(f"sd__{c}") for c in cols]
-    pairs = list(combinations(cols, 2))
-    aggs += [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"cv__{a}__{b}") for a, b in pairs]
-    aggs += [F.var_pop(F.col(c).cast("double")).alias(f"cv__{c}__{c}") for c in cols]
-    row = df.agg(*aggs)
-
-    def r(a, b):
-        key = f"cv__{a}__{b}" if f"cv__{a}__{b}" in [x for x in row.columns] else f"cv__{b}__{a}"
-        v = F.try_divide(F.col(key), F.col(f"sd__{a}") * F.col(f"sd__{b}"))
-        v = F.when(F.col(f"sd__{a}") * F.col(f"sd__{b}") > 0, v)
+    n = len(cols)
+    if not n:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
+    pairs = (df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
+             .select("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+             .select("i", F.get("v", "i").alias("a"), F.posexplode(F.slice("v", 1, F.col("i") + 1)).alias("j", "b")))
+    cov = pairs.groupBy("i", "j").agg(F.covar_pop("a", "b").alias("cov"))
+    # one row with a number per pair of columns
+    row = cov.agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * n + F.col("j"), "cov"))).alias("m"))
+
+    def found(i, j):
+        return F.try_element_at("m", F.lit(max(i, j) * n + min(i, j)))
+
+    def r(i, j):
+        spread = F.sqrt(found(i, i)) * F.sqrt(found(j, j))
+        v = F.when(spread > 0, F.try_divide(found(i, j), spread))
         return np_round(v, digits) if digits is not None else v
 
-    cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r(a, b).alias("r")) for a in cols for b in cols]
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r(i, j).alias("r"))
+             for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def histograms(df: DataFrame, features, label: str = K.LABEL_COL, bins: int = K.HIST_BINS) -> DataFrame:
