@@ -149,6 +149,36 @@ def q_features_partial_columns(spark, sf_dir):
     return C.derive_features(given).select("site_id", "Temperature", "NDVI", "Soil_Moisture", "Elevation_Zone")
 
 
+@query("features_optional_text", "with " + Q.SITES_WIDE + f""",
+given as (select *, case when l_ln = 7 then 'n/a' else '25.5' end as t, '0.5' as n, case when l_ln <> 3 then '0.25' end as m
+  from (select *, site_id - 8*((site_id - 1) // 8) as l_ln from sites_wide)),
+parsed as (select *, {Q.coerce('t')} as t_num, {Q.coerce('n')} as n_num, {Q.coerce('m')} as m_num from given),
+flags as (select count_if(t_num is null) > 0 as t_any, count_if(n_num is null) > 0 as n_any, count_if(m_num is null) > 0 as m_any from parsed)
+select site_id,
+ case when t_any then {Q.temperature('Elevation')} else t_num end as Temperature,
+ case when n_any then {Q.ndvi('Rainfall')} else n_num end as NDVI,
+ case when m_any then {Q.moisture('Rainfall', 'Slope')} else m_num end as Soil_Moisture
+from parsed, flags""")
+def q_features_optional_text(spark, sf_dir):
+    """Optional columns as a CSV scan reads them: text, with "n/a" and empty cells."""
+    w = fx.sites_wide(spark, sf_dir)
+    ln = F.col("site_id") - 8 * F.floor((F.col("site_id") - 1) / 8).cast("bigint")
+    given = w.withColumns({"Temperature": F.when(ln == 7, "n/a").otherwise("25.5"), "NDVI": F.lit("0.5"),
+                           "Soil_Moisture": F.when(ln != 3, "0.25")})
+    return C.derive_features(given).select("site_id", "Temperature", "NDVI", "Soil_Moisture")
+
+
+@query("soil_numeric_codes", "with " + Q.SITES_WIDE + """,
+coded as (select site_id, case when site_id % 7 <> 0 then cast(site_id % 5 as integer) end as Soil_Type from sites_wide)
+select Soil_Type, case Soil_Type when 0 then 'Clay' when 1 then 'Loamy' when 2 then 'Sandy' when 3 then 'Silty' else 'Unknown' end as Soil_Type_Label,
+ count(*) as n from coded group by 1, 2""")
+def q_soil_numeric_codes(spark, sf_dir):
+    """Soil codes as a CSV scan reads them: text that holds whole numbers and empty cells."""
+    code = F.when(F.col("site_id") % 7 != 0, (F.col("site_id") % 5).cast("string"))
+    coded = C.encode_soil_column(fx.sites_wide(spark, sf_dir).withColumn("Soil_Type", code))
+    return coded.groupBy("Soil_Type", "Soil_Type_Label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("strict_soil_errors", "with " + Q.SITES_RAW + f"""
 select site_id, Soil_Type as soil, {Q.soil_strict('Soil_Type')} as code,
  case when {Q.soil_strict('Soil_Type')} is null then 'no soil code for ' || coalesce(Soil_Type, 'a missing name') || ' (known: Clay, Loamy, Sandy, Silty)' end as error
