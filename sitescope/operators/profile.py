@@ -121,9 +121,8 @@ def correlation(df: DataFrame, cols, digits: int | None = 2) -> DataFrame:
     """Pearson matrix in long form (x, y, r), all pairs incl. the diagonal.
 
     One pass: a row is opened into its pairs of values, which partial aggregation
-    collapses to a row per pair at once. An aggregate per pair in one row would be
-    generated code too large for the JIT compiler. A constant column gives NULL
-    (no division error under ANSI).
+    collapses to a row per pair at once, so that the aggregate stays small however
+    many columns there are. A constant column gives NULL (no division error under ANSI).
     """
     n = len(cols)
     if not n:
