@@ -5,7 +5,8 @@ lower-cased). The edit bound counts inserted, deleted or replaced words: one
 for lines of ``FUZZY_WORDS`` words or more, none for shorter ones. A line goes
 if an earlier line of the input (smaller doc_id, or an earlier line of the
 document) is within the bound; lines are judged on the input, not on what is
-left. Lines of fewer than ``LEAST_WORDS`` words always stay.
+left. Lines of fewer than ``least_words`` words always stay: the registered query
+and the pipeline pass 1, so only blank lines do; the default is ``LEAST_WORDS``.
 
 1. Equal lines meet by hash; the earliest represents them.
 2. One edit leaves the first or the last four words of two lines equal, so only
@@ -58,13 +59,13 @@ def _lines(column: pa.Array):
 LINE = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint64, np.uint8)
 
 
-def _line_keys(n_buckets: int):
+def _line_keys(n_buckets: int, least_words: int):
     """Flushes of (hash, did, th, line, words, first end, last end, known copy)."""
     def parts(batches):
         for chunk in A.chunks(batches, "text"):
             _, sums, rows, number, first, end = _lines(chunk.column("text"))
             n = end - first
-            use = n >= LEAST_WORDS
+            use = n >= least_words
             rows, number, first, end, n = rows[use], number[use], first[use], end[use], n[use]
             near = np.minimum(first + END_WORDS, end)
             far = np.maximum(end - END_WORDS, first)
@@ -207,7 +208,7 @@ def _numbered_lines(text: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   base: DataFrame | None = None) -> DataFrame:
+                   base: DataFrame | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """(did, th, line) of each line that has an earlier one within the bound; may repeat."""
     spark = docs.sparkSession
     n = width(spark)
@@ -216,7 +217,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     position = ["did", "th", "line"]
     settled = written(
-        scan.mapInArrow(_line_keys(n), A.BUCKET_SCHEMA).repartitionById(n, F.col("bucket"))
+        scan.mapInArrow(_line_keys(n, least_words), A.BUCKET_SCHEMA).repartitionById(n, F.col("bucket"))
         .mapInArrow(_settle, "copy boolean, did long, th int, line int, n int, near long, far long"), "lines")
     exact = settled.where("copy").select(*position)
 
@@ -261,18 +262,20 @@ def _without(rows: DataFrame, removed: DataFrame, did: str, th: str, text_col: s
     return joined, [c.alias(n) for c, n in zip((text, n_lines.cast("long"), n_removed.cast("long")), names, strict=True)]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, same columns."""
     did, th = fresh(docs, "key_did"), fresh(docs, "key_th")
     rows = docs.withColumns({did: doc_key(docs[id_col]), th: text_key(docs[text_col].cast("string"))})
-    joined, (text, _, _) = _without(rows, repeated_lines(docs, id_col, text_col), did, th, text_col,
-                                    [text_col, "n_lines", "n_removed"])
+    joined, (text, _, _) = _without(rows, repeated_lines(docs, id_col, text_col, least_words=least_words), did, th,
+                                    text_col, [text_col, "n_lines", "n_removed"])
     return joined.select(*[text if c == text_col else joined[c] for c in docs.columns])
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) per document."""
     base = keyed(docs)
-    joined, columns = _without(base, repeated_lines(docs, base=base), "did", "th", "text", ["text", "n_lines", "n_removed"])
+    joined, columns = _without(base, repeated_lines(docs, base=base, least_words=least_words), "did", "th", "text",
+                               ["text", "n_lines", "n_removed"])
     return joined.select("did", *columns).select(
         id_of(F.col("did")).alias("doc_id"), "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))

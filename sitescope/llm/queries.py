@@ -15,7 +15,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(table(spark, sf_dir, "documents"))
+    return linededup.report(table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

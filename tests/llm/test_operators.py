@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import corpus_pipeline  # noqa: E402
 from sitescope.llm import (decontamination, html, licenses, linededup, packing, quality, sharding, simhash,  # noqa: E402
                            substrings, topk)
-from sitescope.llm.queries import TOKENIZER  # noqa: E402
+from sitescope.llm.queries import QUERIES, TOKENIZER  # noqa: E402
 
 P = " ".join(f"passage{i}" for i in range(60))
 LONG = " ".join(f"w{i * i % 7919}" for i in range(30_000))
@@ -85,6 +85,25 @@ def test_line_dedup(docs, empty):
     assert linededup.report(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    texts = ["les.\nand ornd.\nLes. \n\n \t\nles", "AND  ornd.\n\u884c\u884c\u884c\nonly here", "\u884c\u884c\u884c\n\nles.\nand ornd", None]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), []
+    for i, text in enumerate(texts):
+        kept, lines = [], text.split("\n") if text else []
+        for line in lines:
+            words = tuple(line.encode().lower().split())
+            if not words or words not in seen:
+                kept.append(line)
+            seen.add(words)
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    got = QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()
+    assert key(got) == key([(i, n, gone, sha(t)) for i, n, gone, t in want])
+    stage = corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] or "" for r in stage} == {i: t for i, _, _, t in want}
+
+
 def test_within_one():
     assert linededup.within_one(list("abcd"), list("abd")) and linededup.within_one(list("abc"), list("axc"))
     assert not linededup.within_one(list("abcd"), list("bcda")) and not linededup.within_one(list("ab"), list("abcd"))
