@@ -244,6 +244,8 @@ def _shard(window: int):
         new = np.flatnonzero(~known)
         ends = np.cumsum(n[new].astype(np.int64))
         order = np.lexsort((start[new], th[new], did[new], group[new]))
+        by = new[order]
+        order = order[A.run_starts(group[by], did[by], th[by], start[by])]  # a row that repeats in another flush
         heads = np.flatnonzero(A.run_starts(group[new][order]))
         found = []
         for a, b in zip(heads, np.append(heads[1:], len(order))[:len(heads)], strict=True):

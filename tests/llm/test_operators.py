@@ -129,6 +129,17 @@ def test_substring_dedup(docs, empty):
     assert substrings.report(empty).count() == 0
 
 
+def test_substrings_of_repeated_rows_in_flushes(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "FLUSH", 16)
+    rows = [(1, f"start {P} end"), (2, f"other {P} close"), (2, f"other {P} close"), (3, LONG[:4000]), (3, LONG[:4000])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a flush a row
+    try:
+        got = substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 60), (2, 60), (3, 0), (3, 0)]
+
+
 def test_automaton():
     a = substrings.Automaton()
     for s in ("abcbc", "xbcb", "abab"):
