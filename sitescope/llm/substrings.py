@@ -187,8 +187,10 @@ def _passages(n_buckets: int, window: int, frequent):
             words, sums, rows, first, heads, anchor, h = _anchors(chunk.column("text"), window)
             places = chunk.column("places")
             counts = places.value_lengths().to_numpy(zero_copy_only=False)
+            place = places.flatten().to_numpy(zero_copy_only=False)
+            own = place < np.repeat(np.diff(first), counts)  # rows with equal id and other text share their places
             again = np.zeros(len(words) + 1, dtype=bool)
-            again[np.repeat(first[:-1], counts) + places.flatten().to_numpy(zero_copy_only=False)] = True
+            again[np.repeat(first[:-1], counts)[own] + place[own]] = True
             use = again[anchor] if len(anchor) else np.zeros(0, bool)
             heads, anchor, h = heads[use], anchor[use], h[use]
             alone = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h if len(often) else np.zeros(len(h), bool)
@@ -303,7 +305,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                                 dtype=np.int64).view(np.uint64))
     places = (anchors.where("place >= 0").groupBy("did")
               .agg(F.collect_set(F.col("place").cast("int")).alias("places")))
-    # a place that another row with this id brought in does no harm: it only asks for a closer look
+    # a place that another row with this id brought in only asks for a closer look; _passages drops
+    # those at or above the row's number of words, which the bytes here only bound
     places = base.join(places, "did").select("did", "th", "text", F.filter(
         "places", lambda x: x < F.octet_length("text")).alias("places"))
     passages = places.mapInArrow(_passages(n, window, spark.sparkContext.broadcast(frequent)), A.BUCKET_SCHEMA)

@@ -140,6 +140,19 @@ def test_substrings_of_repeated_rows_in_flushes(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 60), (2, 60), (3, 0), (3, 0)]
 
 
+def test_substrings_of_null_ids(spark):
+    far = " ".join(f"far{i}" for i in range(900))
+    short = " ".join(f"short{i}" for i in range(200))
+    rows = [(None, f"{far} {P}"), (None, short), (5, f"five {P} end"), (6, f"six {short}")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # each row ends its chunk
+    try:
+        got = substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert key((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == key(
+        [(None, 960, 0), (None, 200, 0), (5, 62, 60), (6, 201, 200)])
+
+
 def test_automaton():
     a = substrings.Automaton()
     for s in ("abcbc", "xbcb", "abab"):
