@@ -2,7 +2,9 @@
 
 Lines are compared as sequences of words (between ASCII white space, A-Z
 lower-cased). The edit bound counts inserted, deleted or replaced words: one
-for lines of ``FUZZY_WORDS`` words or more, none for shorter ones. A line goes
+for lines of ``FUZZY_WORDS`` words or more. Where the shorter of two lines has
+fewer, but ``CHAR_WORDS`` words or more, the bound is one character of their
+words joined by one space; lines of still fewer words must be equal. A line goes
 if an earlier line of the input (smaller doc_id, or an earlier line of the
 document) is within the bound; lines are judged on the input, not on what is
 left. Lines of fewer than ``least_words`` words always stay: the registered query
@@ -11,9 +13,10 @@ and the pipeline pass 1, so only blank lines do; the default is ``LEAST_WORDS``.
 1. Equal lines meet by hash; the earliest represents them.
 2. One edit leaves the first or the last four words of two lines equal, so only
    representatives that share such an end with another line go on.
+   Short representatives all go on.
 3. Each of these emits the hash of itself and of every variant with one word
-   left out. Equal variants meet: two lines that lack the same word number
-   differ by a replacement, a line and a variant by an insertion.
+   (short lines: one character) left out. Equal variants meet: two lines that
+   lack the same place differ by a replacement, a line and a variant by an insertion.
 4. The words of each pair are fetched, and their edit distance is verified.
 
 Keys move in packed exchanges. Within a task, entries that repeat a key are
@@ -27,6 +30,7 @@ results; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .common import doc_key, fresh, id_of, keyed, text_key, width, written
 
-LEAST_WORDS, FUZZY_WORDS, END_WORDS = 3, 8, 4
+LEAST_WORDS, CHAR_WORDS, FUZZY_WORDS, END_WORDS = 3, 3, 8, 4
 FLUSH = 1 << 19  # entries gathered before a flush
 
 
@@ -107,8 +111,16 @@ VARIANT = (np.uint64, np.int32, np.int64, np.int32, np.int32)
 PAIR = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
 
 
+def _joined(line: str) -> str:
+    return b" ".join(line.encode().lower().split()).decode()
+
+
+def _char_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8, person=b"chars").digest(), "little")
+
+
 def _variants(n_buckets: int):
-    """Flushes of (hash, left-out word or -1, did, th, line), and of pairs that the flush itself shows."""
+    """Flushes of (hash, left-out word or character or -1, did, th, line), and of pairs that the flush itself shows."""
     def parts(batches):
         for chunk in A.chunks(batches, "text"):
             words, sums, rows, number, first, end = _lines(chunk.column("text"))
@@ -116,6 +128,10 @@ def _variants(n_buckets: int):
             wanted = {(d, x["th"], x["line"]) for d, xs in enumerate(chunk.column("wanted").to_pylist()) for x in xs}
             use = np.array([(r, th[r], k) in wanted for r, k in zip(rows, number, strict=True)], dtype=bool)
             rows, number, first, end = rows[use], number[use], first[use], end[use]
+            did = chunk.column("did").to_numpy(zero_copy_only=False)
+            yield from by_chars(chunk.column("text"), did, th, rows, number, end - first)
+            use = end - first >= FUZZY_WORDS
+            rows, number, first, end = rows[use], number[use], first[use], end[use]
             n = end - first
             owner = np.repeat(np.arange(len(n)), n)
             out = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -125,11 +141,35 @@ def _variants(n_buckets: int):
             h = (sums[i] - sums[a]) * down[a] + (sums[b] - sums[i + 1]) * down[a + 1]
             h = A.mix(h + (n[owner] - 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
             whole = A.span_hash(sums, "word", first, end)
-            did = chunk.column("did").to_numpy(zero_copy_only=False)[rows]
+            did = did[rows]
             which = np.concatenate([owner, np.arange(len(n))])
             yield [np.concatenate([h, whole]), np.concatenate([out, np.full(len(n), -1)]).astype(np.int32), did[which],
                    th[rows].astype(np.int32)[which], number.astype(np.int32)[which]]
 
+    def by_chars(texts, did, th, rows, number, n):
+        # a space more makes eight words of seven
+        short = np.flatnonzero((n >= CHAR_WORDS) & (n <= FUZZY_WORDS))
+        row, lines = -1, []
+        h, out, which = [], [], []
+        for i in short:
+            if rows[i] != row:
+                row = rows[i]
+                lines = texts[int(row)].as_py().split("\n")
+            line = _joined(lines[number[i]])
+            h.append(_char_hash(line))
+            h.extend(_char_hash(line[:k] + line[k + 1:]) for k in range(len(line)))
+            out.extend(range(-1, len(line)))
+            which.extend([i] * (len(line) + 1))
+            if len(h) >= FLUSH:
+                yield entries(h, out, which, did, th, rows, number)
+                h, out, which = [], [], []
+        if h:
+            yield entries(h, out, which, did, th, rows, number)
+
+    def entries(h, out, which, did, th, rows, number):
+        return [np.array(h, np.uint64), np.array(out, np.int32), did[rows[which]], th[rows[which]].astype(np.int32),
+                number[which].astype(np.int32)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush in A.flushes(parts(batches), FLUSH):
             order = np.lexsort((flush[4], flush[3], flush[2], flush[1], flush[0]))
@@ -183,8 +223,8 @@ def _later(a, b) -> np.ndarray:
     return (a[0] > b[0]) | (a[0] == b[0]) & ((a[1] > b[1]) | (a[1] == b[1]) & (a[2] > b[2]))
 
 
-def within_one(a: list, b: list) -> bool:
-    """Whether one inserted, deleted or replaced word at most turns ``a`` into ``b``."""
+def within_one(a: list | str, b: list | str) -> bool:
+    """Whether one inserted, deleted or replaced item at most turns ``a`` into ``b``."""
     if abs(len(a) - len(b)) > 1:
         return False
     i, n = 0, min(len(a), len(b))
@@ -196,9 +236,15 @@ def within_one(a: list, b: list) -> bool:
     return max(len(a), len(b)) - i - j <= 1
 
 
+def near(a: str, b: str) -> bool:
+    """Whether two lines of ``CHAR_WORDS`` words or more are within the edit bound."""
+    x, y = a.encode().lower().split(), b.encode().lower().split()
+    return within_one(x, y) if min(len(x), len(y)) >= FUZZY_WORDS else within_one(_joined(a), _joined(b))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [within_one(a.encode().lower().split(), b.encode().lower().split()) for a, b in
+        ok = [near(a, b) for a, b in
               zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
         yield batch.select(["did", "th", "line"]).filter(pa.array(ok, pa.bool_()))
 
@@ -224,7 +270,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = settled.where(~F.col("copy") & (F.col("n") >= FUZZY_WORDS)).select(
         *position, F.explode(F.array("near", "far")).alias("end"))
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("end")
-    wanted = (ends.join(shared, "end").groupBy("did")
+    short = settled.where(~F.col("copy") & F.col("n").between(CHAR_WORDS, FUZZY_WORDS)).select(*position)
+    wanted = (ends.join(shared, "end").select(*position).union(short).groupBy("did")
               .agg(F.collect_set(F.struct("th", "line")).alias("wanted")))
     met = (base.join(wanted, "did").select("did", "th", "text", "wanted")
            .mapInArrow(_variants(n), A.BUCKET_SCHEMA).repartitionById(n, F.col("bucket"))
@@ -240,9 +287,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.get("lines", F.col("x.line")).alias("words"))).distinct()
     other = fetched.select(F.col("did").alias("did2"), F.col("th").alias("th2"), F.col("line").alias("line2"),
                            F.col("words").alias("b"))
-    near = (pairs.join(fetched.withColumnRenamed("words", "a"), position).join(other, ["did2", "th2", "line2"])
-            .select(*position, "a", "b").mapInArrow(_verify, "did long, th int, line int"))
-    return exact.union(near)
+    close = (pairs.join(fetched.withColumnRenamed("words", "a"), position).join(other, ["did2", "th2", "line2"])
+             .select(*position, "a", "b").mapInArrow(_verify, "did long, th int, line int"))
+    return exact.union(close)
 
 
 def _without(rows: DataFrame, removed: DataFrame, did: str, th: str, text_col: str, names: list[str]) -> tuple[DataFrame, list[Column]]:

@@ -104,6 +104,27 @@ def test_short_lines(spark, tmp_path):
     assert {r["doc_id"]: r["text"] or "" for r in stage} == {i: t for i, _, _, t in want}
 
 
+def test_short_lines_within_a_character(spark):
+    rng = np.random.default_rng(6)
+    lines = ["are is anwh reenen.", "are, is anwh reenen.", "Data base of sites", "database of sites", "d\u00fcne am meer heute",
+             "dune am meer  heute", "a b c d e f gh", "a b c d e f g h", "two words", "two word", "a b c d e f g h i", "a b c d e f g h x",
+             "data base x", "database x", "ab cd ef", "ba cd ef", "aab cd ef", "abb cd ef"]
+    lines += [" ".join("".join(rng.choice(list("ab"), 2)) for _ in range(int(rng.integers(1, 9)))) for _ in range(120)]
+    texts = ["\n".join(lines[i:i + 3]) for i in range(0, len(lines), 3)]
+    seen, want = [], []
+    for i, text in enumerate(texts):
+        n = 0
+        for line in text.split("\n"):
+            words = line.lower().split()
+            bounds = {id(w): min(len(w), len(words)) for w in seen}
+            n += any(w == words or bounds[id(w)] >= 8 and linededup.within_one(w, words)
+                     or 3 <= bounds[id(w)] < 8 and linededup.within_one(" ".join(w), " ".join(words)) for w in seen)
+            seen.append(words)
+        want.append((i, 3, n))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert key((r["doc_id"], r["n_lines"], r["n_removed"]) for r in linededup.report(docs, least_words=1).collect()) == key(want)
+
+
 def test_within_one():
     assert linededup.within_one(list("abcd"), list("abd")) and linededup.within_one(list("abc"), list("axc"))
     assert not linededup.within_one(list("abcd"), list("bcda")) and not linededup.within_one(list("ab"), list("abcd"))
