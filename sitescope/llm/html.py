@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import width
 
@@ -163,19 +162,17 @@ def _nearness(path: str, other: str) -> int:
 
 class _Page:
     def __init__(self, row: dict) -> None:
-        self.row = row
-        self.lines, self.kinds = page_lines(row["html"])
+        self.row, self.lines, self.kinds = row, row["lines"], row["kinds"]
         self.open = [i for i, k in enumerate(self.kinds) if k != 1]
         self.prints = [hash_line(self.lines[i]) for i in self.open]
 
     def partner(self) -> dict:
-        return {"host": self.row["host"], "path": self.row["path"], "prints": self.prints,
-                "whole": hash_line("\n".join(self.lines))}
+        return {"host": self.row["host"], "path": self.row["path"], "prints": self.prints, "whole": self.row["whole"]}
 
     def text(self, partners: list[dict | None]) -> str:
         """The page's text, differenced from the nearest of its neighbours."""
-        whole = hash_line("\n".join(self.lines))
-        near = [p for p in partners if p and self.row["host"] and p["host"] == self.row["host"] and p["whole"] != whole]
+        near = [p for p in partners if p and self.row["host"] and p["host"] == self.row["host"]
+                and p["whole"] != self.row["whole"]]
         template = set()
         if near:
             best = max(near, key=lambda p: _nearness(self.row["path"], p["path"]))
@@ -195,56 +192,128 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(at, 64).to_pylist()
 
 
-def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of all pages of a partition but its first and last."""
-    before = now = None
-    out: list[tuple] = []
+_PARTNER = pa.struct([("host", pa.string()), ("path", pa.string()), ("prints", pa.list_(pa.int64())), ("whole", pa.int64())])
+_PAGE = [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()),
+         ("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("whole", pa.int64())]
+PARTNER = "struct<host: string, path: string, prints: array<bigint>, whole: bigint>"
+PAGE = "page_id long, url string, host string, path string, lines array<string>, kinds array<int>, whole long"
+
+
+def _batched(rows: Iterator[dict], schema: pa.Schema, size: int = 64) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held = []
+    yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for row in _pages(batches):
+            lines, kinds = page_lines(row.pop("html"))
+            yield row | {"lines": lines, "kinds": kinds, "whole": hash_line("\n".join(lines))}
+    yield from _batched(rows(), pa.schema(_PAGE))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], dict | None, dict | None, bool, bool]]:
+    """Runs of pages with the same lines: pages, the page before and after, whether first and last of the partition."""
+    before, run, first = None, [], True
     for row in _pages(batches):
-        after = _Page(row)
-        if before is not None:
-            out.append((now.row["page_id"], now.row["url"], now.text([before.partner(), after.partner()])))
-            if len(out) == 256:
-                yield _texts(out)
-                out = []
-        before, now = now, after
-    yield _texts(out)
+        if run and (row["host"], row["whole"]) != (run[0]["host"], run[0]["whole"]):
+            yield run, before, row, first, False
+            before, run, first = run[-1], [], False
+        if run:  # a run holds its lines once
+            row["lines"] = run[0]["lines"]
+            if row["kinds"] == run[0]["kinds"]:
+                row["kinds"] = run[0]["kinds"]
+        run.append(row)
+    if run:
+        yield run, before, None, first, True
 
 
-def _texts(rows: list[tuple]) -> pa.RecordBatch:
-    ids, urls, texts = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())],
-                                      names=["page_id", "url", "text"])
+def _partner(row: dict | None) -> dict | None:
+    return _Page(row).partner() if row else None
 
 
-PARTNER = "struct<host: string, path: string, prints: array<bigint>, whole: bigint>"
-EDGE = f"page_id long, url string, host string, path string, html string, own {PARTNER}, near {PARTNER}"
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of all pages of a partition but those of its first and last run."""
+    def rows():
+        for run, before, after, first, last in _runs(batches):
+            if not (first or last):
+                sides = [_partner(before), _partner(after)]
+                for row in run:
+                    yield _text(row, sides)
+    yield from _batched(rows(), _TEXT, 256)
+
+
+_TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+
+
+def _text(row: dict, partners: list[dict | None]) -> dict:
+    return {"page_id": row["page_id"], "url": row["url"], "text": _Page(row).text(partners)}
+
+
+SUMMARY = f"edge string, page_id long, head {PARTNER}, second {PARTNER}, penult {PARTNER}, tail {PARTNER}"
+EDGE = f"edge string, first boolean, last boolean, near {PARTNER}, {PAGE}"
+SIDES = f"side string, before {PARTNER}, after {PARTNER}"
+
+
+def _name(row: dict) -> str:
+    """Names a partition by its first page: rows with equal sort keys share a partition."""
+    return repr((row["host"], row["path"], row["page_id"]))
+
+
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition: its first and last page, and the pages next to its first and last run."""
+    def rows():
+        out: dict = {}
+        for run, before, after, first, last in _runs(batches):
+            if first:
+                out |= {"edge": _name(run[0]), "page_id": run[0]["page_id"], "head": _partner(run[0]), "second": _partner(after)}
+            if last:
+                yield out | {"penult": _partner(before), "tail": _partner(run[-1])}
+    yield from _batched(rows(), pa.schema([("edge", pa.string()), ("page_id", pa.int64()),
+                                           *((c, _PARTNER) for c in ("head", "second", "penult", "tail"))]))
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each partition, the last page before its first run and the first after its last run; a row a partition."""
+    parts = sorted(_pages(batches), key=lambda p: (p["head"]["host"], p["head"]["path"], p["page_id"] is not None, p["page_id"] or 0))
+
+    def other(own: dict, rest: list[dict], near: str, beyond: str) -> dict | None:
+        for p in rest:
+            if p[near]["host"] != own["host"]:
+                return None
+            if p[near]["whole"] != own["whole"]:
+                return p[near]
+            if p[beyond]:
+                return p[beyond]
+        return None
+
+    yield from _batched(({"side": p["edge"], "before": other(p["head"], parts[:i][::-1], "tail", "penult"),
+                          "after": other(p["tail"], parts[i + 1:], "head", "second")} for i, p in enumerate(parts)),
+                        pa.schema([("side", pa.string()), ("before", _PARTNER), ("after", _PARTNER)]))
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and last page of a partition, with what their neighbour in it has."""
-    first: list[dict] = []
-    last: list[dict] = []
-    for row in _pages(batches):
-        if len(first) < 2:
-            first.append(row)
-        last = [*last[-1:], row]
-    rows = []
-    if first:
-        ends = [first] if len(first) == 1 else [first, last[::-1]]
-        for side in ends:
-            rows.append(side[0] | {"own": _Page(side[0]).partner(), "near": _Page(side[1]).partner() if len(side) > 1 else None})
-    partner = pa.struct([("host", pa.string()), ("path", pa.string()), ("prints", pa.list_(pa.int64())), ("whole", pa.int64())])
-    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-        [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("html", pa.string()),
-         ("own", partner), ("near", partner)]))
+    """The pages of a partition's first and last run, with the page next to the run in it."""
+    def rows():
+        name = None
+        for run, before, after, first, last in _runs(batches):
+            name = name or _name(run[0])
+            if first or last:
+                near = _partner(after if first else before)
+                for row in run:
+                    yield {"edge": name, "first": first, "last": last, "near": near} | row
+    yield from _batched(rows(), pa.schema([("edge", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()),
+                                           ("near", _PARTNER), *_PAGE]))
 
 
 def _edge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            out.append((row["page_id"], row["url"], _Page(row).text([row["near"], row["before"], row["after"]])))
-        yield _texts(out)
+    yield from _batched((_text(row, [row["before"] if row["first"] else row["near"], row["after"] if row["last"] else row["near"]])
+                         for row in _pages(batches)), _TEXT, 256)
 
 
 def host_of(url: Column) -> Column:
@@ -263,13 +332,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
                         host_of(url).alias("host"), path_of(url).alias("path"),
                         F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    rows = rows.repartitionByRange(width(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions(
-        "host", "path", "page_id")
-    inner = rows.mapInArrow(_inner, "page_id long, url string, text string")
-    # two pages a partition at most
-    order = Window.partitionBy("host").orderBy("path", "page_id")
-    edges = rows.mapInArrow(_edges, EDGE).withColumns({"before": F.lag("own").over(order), "after": F.lead("own").over(order)})
-    return inner.union(edges.drop("own").mapInArrow(_edge_texts, "page_id long, url string, text string"))
+    rows = rows.mapInArrow(_parsed, PAGE).repartitionByRange(
+        width(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    texts = "page_id long, url string, text string"
+    # a row a partition
+    sides = rows.mapInArrow(_summary, SUMMARY).repartition(1).mapInArrow(_sides, SIDES)
+    edges = rows.mapInArrow(_edges, EDGE).join(F.broadcast(sides), F.col("edge") == F.col("side"))
+    return rows.mapInArrow(_inner, texts).union(edges.mapInArrow(_edge_texts, texts))
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -339,6 +339,15 @@ def test_html_text(spark):
     assert html.report(frame.limit(0)).count() == 0
 
 
+def test_html_copies(spark):
+    page = "<body><div>Welcome to the site</div><p>story {0} begins</p><div>Imprint and contact</div></body>"
+    rows = [(100 * i + j, f"http://h.example/en/{i}?v={j}", page.format(i)) for i in range(4) for j in (range(40) if i == 2 else range(3))]
+    rows += [(1000 + i, f"http://copies.example/{i}", page.format(9)) for i in range(30)]
+    got = html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert key((r["page_id"], r["text"]) for r in got) == key(
+        [(i, f"story {i // 100} begins" if i < 1000 else "Welcome to the site story 9 begins Imprint and contact") for i, *_ in rows])
+
+
 def _fingerprint(text):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
