@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, licenses, linededup, packing, quality, sharding, simhash, substrings, topk
+from . import decontamination, html, importance, licenses, linededup, packing, quality, sharding, simhash, substrings, topk
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,13 +54,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_decontamination, op4_topk_search, op5_quality,
-                            op6_sharding, op7_packing, op8_html_text, op9_simhash, op10_license_scan)}
+                            op6_sharding, op7_packing, op8_html_text, op9_simhash, op10_license_scan, op11_importance)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": substrings.oracle(),
     "op3_decontamination": decontamination.oracle(),
     "op4_topk_search": topk.oracle(),
     "op10_license_scan": licenses.oracle(),
+    "op11_importance": importance.oracle(),
 }
