@@ -67,6 +67,24 @@ def text_key(text: Column) -> Column:
     return F.hash(F.coalesce(text, F.lit("")))
 
 
+def text_hash(text: Column, seed: str) -> Column:
+    """64-bit text hash; other seeds give independent ones."""
+    return F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")))
+
+
+def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """did, k1, k2, text: an identity of rows by id and text, 127 hash bits beside
+    the id. The lowest bit of k1 tells a null id, whose did is the smallest number."""
+    doc_id, text = df[id_col].cast("long"), df[text_col].cast("string")
+    k1 = text_hash(text, "a").bitwiseAND(F.lit(-2)).bitwiseOR(doc_id.isNull().cast("long"))
+    return [doc_key(doc_id).alias("did"), k1.alias("k1"), text_hash(text, "b").alias("k2"), plain_text(df, text_col).alias("text")]
+
+
+def key_id() -> Column:
+    """The id behind a row key."""
+    return F.when(F.col("k1").bitwiseAND(F.lit(1)) == 0, F.col("did"))
+
+
 def plain_text(df: DataFrame, column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, importance, licenses, linededup, packing, quality, sharding, simhash, substrings, topk
+from . import (decontamination, html, importance, licenses, linededup, packing, quality, sharding, simhash, substrings,
+               suffixes, topk)
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,9 +59,14 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_decontamination, op4_topk_search, op5_quality,
-                            op6_sharding, op7_packing, op8_html_text, op9_simhash, op10_license_scan, op11_importance)}
+                            op6_sharding, op7_packing, op8_html_text, op9_simhash, op10_license_scan, op11_importance,
+                            op13_suffix_dedup)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": substrings.oracle(),
@@ -68,4 +74,5 @@ ORACLE: dict[str, str] = {
     "op4_topk_search": topk.oracle(),
     "op10_license_scan": licenses.oracle(),
     "op11_importance": importance.oracle(),
+    "op13_suffix_dedup": suffixes.oracle(),
 }
