@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontamination, html, importance, licenses, linededup, packing, quality, sharding, simhash, substrings,
-               suffixes, topk)
+from . import (decontamination, html, importance, licenses, linededup, packing, quality, sharding, simhash, spelling,
+               substrings, suffixes, topk)
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_decontamination, op4_topk_search, op5_quality,
                             op6_sharding, op7_packing, op8_html_text, op9_simhash, op10_license_scan, op11_importance,
-                            op13_suffix_dedup)}
+                            op12_spelling, op13_suffix_dedup)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": substrings.oracle(),
@@ -74,5 +78,6 @@ ORACLE: dict[str, str] = {
     "op4_topk_search": topk.oracle(),
     "op10_license_scan": licenses.oracle(),
     "op11_importance": importance.oracle(),
+    "op12_spelling": spelling.oracle(),
     "op13_suffix_dedup": suffixes.oracle(),
 }
