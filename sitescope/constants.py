@@ -90,6 +90,13 @@ GAP_AMBER = 0.06
 WARN_GAP = 0.05
 WARN_CV_STD = 0.05
 
+# names under which the columns of a match are shown
+DISPLAY_NAMES = {
+    "state": "State", "district": "District", "elevation": "Elevation (m)", "annual_rainfall": "Rainfall (mm)",
+    "avg_temp": "Avg Temp (°C)", "latitude": "Lat", "longitude": "Lon", "Match_Distance": "Match Distance",
+    "Predicted_Suitability": "AI Suitability", "Prediction_Confidence": "AI Confidence",
+}
+
 # sample sizes of the exploration views
 SCATTER_SAMPLE = 6000
 HIST_BINS = 50

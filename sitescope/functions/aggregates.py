@@ -29,3 +29,26 @@ def exact_sum(c) -> Column:
 def exact_mean(c) -> Column:
     """Mean of non-NULL values; NULL when there are none."""
     return F.try_divide(exact_sum(c), F.count(_col(c)).cast("double"))
+
+
+def exact_parts(c) -> Column:
+    """Mergeable state of an exact mean: sums of the small and of the large values, and the count."""
+    x = _col(c)
+    small = F.abs(x) < F.lit(DECIMAL_LIMIT)
+    return F.struct(F.sum(F.when(small, x.cast(EXACT_DECIMAL))).alias("small"), F.sum(F.when(~small, x.cast("double"))).alias("large"),
+                    F.count(x).alias("n"))
+
+
+def merge_parts(c) -> Column:
+    """The state of several ``exact_parts`` together."""
+    p = _col(c)
+    return F.struct(F.sum(p["small"]).cast(EXACT_DECIMAL).alias("small"), F.sum(p["large"]).alias("large"),
+                    F.coalesce(F.sum(p["n"]), F.lit(0)).alias("n"))
+
+
+def parts_mean(c) -> Column:
+    """The mean behind a state, with the bits of ``exact_mean`` over its rows."""
+    p = _col(c)
+    exact = p["small"].cast("double")
+    total = F.when(p["large"].isNotNull(), F.coalesce(exact, F.lit(0.0)) + p["large"]).otherwise(exact)
+    return F.try_divide(total, p["n"].cast("double"))

@@ -62,19 +62,25 @@ def label_to_int(df: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
     return df.where(F.when(y.isNull() | y.isin(0, 1), F.lit(True)).otherwise(reject.cast("boolean"))).withColumn(label, y)
 
 
-_CODE_TEXT = r"^\s*[+-]?\d{1,9}(\.0*)?\s*$"
+CODE_TEXT = r"^\s*[+-]?\d{1,9}(\.0*)?\s*$"
 
 
-def encode_soil_column(df: DataFrame, mode: str = "table") -> DataFrame:
+def encode_soil_column(df: DataFrame, mode: str = "table", soil: str = "auto") -> DataFrame:
     """Lenient soil encoding; text keeps the original in Soil_Type_Label.
 
-    A CSV scan reads codes as text too: when every non-missing value of the
-    column, over all rows, is a whole number, the values are codes. The test is one scalar
+    ``soil``: what a text column holds, "names" or "codes", where the caller knows it (a table
+    with a declared schema, a checked load). A CSV scan reads codes as text too; "auto"
+    takes values as codes when every non-missing one, over all rows, is a whole number. That test is one scalar
     subquery over the table; ``mode="row"`` (streams) decides cell by cell.
     """
     dtype = df.schema["Soil_Type"].dataType
     if isinstance(dtype, StringType):
-        is_code = F.coalesce(F.col("Soil_Type").rlike(_CODE_TEXT), F.lit(False))
+        if soil != "auto" and mode != "row":
+            code = F.trim("Soil_Type").try_cast("double").cast("int")
+            given = soil == "codes"
+            return df.withColumns({"Soil_Type_Label": decode_soil(code) if given else F.col("Soil_Type"),
+                                   "Soil_Type": code if given else encode_soil_lenient("Soil_Type")})
+        is_code = F.coalesce(F.col("Soil_Type").rlike(CODE_TEXT), F.lit(False))
         code = F.trim("Soil_Type").try_cast("double").cast("int")
         if mode != "row":
             all_codes = df.select(F.min(F.when(F.col("Soil_Type").isNotNull(), is_code)).alias("all_codes")).scalar()
@@ -98,13 +104,14 @@ def _derivations() -> dict:
     }
 
 
-def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
+def derive_features(df: DataFrame, mode: str = "table", gaps: dict[str, bool] | None = None) -> DataFrame:
     """Add Temperature, NDVI, Soil_Moisture, Elevation_Zone.
 
     ``mode="table"`` (batch semantics): a column is derived when absent, and a
     provided column is replaced *entirely* when any of its rows is missing; the
     "any missing" test is one scalar subquery over the table, so the plan stays
-    lazy. ``mode="row"`` (streams): each missing cell is filled on its own.
+    lazy; ``gaps`` ({column: any row missing}) replaces it where a load has measured it.
+    ``mode="row"`` (streams): each missing cell is filled on its own.
     """
     derived = _derivations()
     present = [c for c in derived if c in df.columns]
@@ -116,12 +123,15 @@ def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
             else:
                 out[c] = expr
     else:
+        present = [c for c in present if gaps is None or c not in gaps]
         if present:
             flags = df.select(F.struct(*[F.max(coerce_typed(c, df.schema[c].dataType).isNull().cast("int")).alias(c)
                                         for c in present])).scalar()
             df = df.withColumn("_any_null", flags)  # one subquery, referenced by column
         for c, expr in derived.items():
-            if c in present:
+            if gaps is not None and c in gaps and c in df.columns:
+                out[c] = expr if gaps[c] else coerce_typed(c, df.schema[c].dataType)
+            elif c in present:
                 given = coerce_typed(c, df.schema[c].dataType)
                 out[c] = F.when(F.coalesce(F.col(f"_any_null.{c}"), F.lit(0)) == 1, expr.cast("double")).otherwise(given)
             else:
@@ -133,11 +143,11 @@ def derive_features(df: DataFrame, mode: str = "table") -> DataFrame:
     return out_df.drop("_any_null") if present and mode != "row" else out_df
 
 
-def clean_sites(df: DataFrame, mode: str = "table") -> DataFrame:
+def clean_sites(df: DataFrame, mode: str = "table", soil: str = "auto") -> DataFrame:
     """Training table: soil -> coerce -> drop missing core values -> binary label -> features."""
     require_columns(df, K.REQUIRED_SITE_COLS, "training table")
     # soil first: its test of the whole column then reads that column alone
-    df = encode_soil_column(df, mode)
+    df = encode_soil_column(df, mode, soil)
     # the label comes out of the generator too, so that its check is not pushed below and worked out again there
     df = coerce_numeric(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
     df = drop_missing(df, K.NUMERIC_INPUTS + [K.LABEL_COL])
@@ -145,10 +155,10 @@ def clean_sites(df: DataFrame, mode: str = "table") -> DataFrame:
     return derive_features(df, mode=mode)
 
 
-def clean_batch(df: DataFrame, mode: str = "table") -> DataFrame:
+def clean_batch(df: DataFrame, mode: str = "table", soil: str = "auto") -> DataFrame:
     """Batch input: lenient soil -> coerce -> drop missing numerics -> features."""
     require_columns(df, K.REQUIRED_BATCH_COLS, "batch input")
-    df = encode_soil_column(df, mode)
+    df = encode_soil_column(df, mode, soil)
     df = coerce_numeric(df, K.NUMERIC_INPUTS)
     df = drop_missing(df, K.NUMERIC_INPUTS)
     return derive_features(df, mode=mode)

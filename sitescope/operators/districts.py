@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions import annualise_rainfall, clip, coerce_typed, exact_mean, np_round, temperature, title_case
 from ..sources.validate import require_columns
 
-_OPTIONAL = ["elevation", "rainfall", "annual_rainfall", "avg_temp", "latitude", "longitude"]
+OPTIONAL = ["elevation", "rainfall", "annual_rainfall", "avg_temp", "latitude", "longitude"]
 
 
 def clean_districts(df: DataFrame) -> DataFrame:
@@ -42,13 +42,18 @@ def rollup_observations(obs: DataFrame, sort: bool = True) -> DataFrame:
     the unrounded mean elevation, coordinates NULL); then rounded and sorted.
     """
     require_columns(obs, ["state", "district"], "observation table")
-    present = [c for c in _OPTIONAL if c in obs.columns]
+    present = [c for c in OPTIONAL if c in obs.columns]
     keyed = obs.where(F.col("state").isNotNull() & F.col("district").isNotNull())
     aggs = [exact_mean(coerce_typed(c, obs.schema[c].dataType)).alias(c) for c in present]
     if aggs:
         g = keyed.groupBy("state", "district").agg(*aggs)
     else:
         g = keyed.select("state", "district").distinct()
+    return finish_rollup(g, present, sort)
+
+
+def finish_rollup(g: DataFrame, present, sort: bool = True) -> DataFrame:
+    """District means (of the ``present`` columns) -> the roll-up's columns, defaults and rounding."""
     if "rainfall" in present:
         g = g.withColumn("annual_rainfall", annualise_rainfall("rainfall")).drop("rainfall")
     elif "annual_rainfall" not in present:

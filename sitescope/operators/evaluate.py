@@ -53,7 +53,7 @@ def _score_counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def roc_table(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    return _roc(df, y, p)[0]
+    return _roc(df, y, p)[0].drop("b")
 
 
 def _roc(df: DataFrame, y: str, p: str):
@@ -71,7 +71,7 @@ def _roc(df: DataFrame, y: str, p: str):
                      F.coalesce(F.sum("bn").over(w_off), F.lit(0)).alias("neg_off"))
     d = d.join(F.broadcast(off), d["b"].eqNullSafe(off["b"])).drop(off["b"])  # a row per bucket
     w = Window.partitionBy("b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = d.select("score", "pos", "neg", (F.col("pos_off") + F.sum("pos").over(w)).alias("tp"),
+    t = d.select("b", "score", "pos", "neg", (F.col("pos_off") + F.sum("pos").over(w)).alias("tp"),
                  (F.col("neg_off") + F.sum("neg").over(w)).alias("fp"))
     return t, int(totals["P"] or 0), int(totals["N"] or 0)
 
@@ -81,6 +81,27 @@ def roc_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return _points(df.sparkSession, *_roc(df, y, p))
 
 
+def roc_points_reduced(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """``roc_points`` without the points on a straight run: an inner point goes if the step
+    to it and the step from it count the same positives and negatives. Same area.
+
+    The step from a point is the next lower score's counts: within a range bucket a
+    window, and for a bucket's last point the first counts of the next bucket that
+    holds a score, a row per bucket.
+    """
+    t, p_tot, n_tot = _roc(df, y, p)
+    step = F.struct("pos", "neg")
+    first = t.groupBy("b").agg(F.max_by(step, "score").alias("head"))
+    down = Window.orderBy(F.desc("b"))  # a row per bucket
+    carry = first.select(F.col("b").alias("carry_b"), F.lead("head").over(down).alias("carry"), F.lag("head").over(down).isNull().alias("top"))
+    t = t.join(F.broadcast(carry), t["b"].eqNullSafe(F.col("carry_b")))
+    w = Window.partitionBy("b").orderBy(F.desc("score"))
+    after = F.coalesce(F.lead(step).over(w), F.col("carry"))
+    t = t.withColumns({"after": after, "is_first": F.col("top") & (F.row_number().over(w) == 1)})
+    bends = F.col("is_first") | F.col("after").isNull() | (F.col("after") != step)
+    return _points(df.sparkSession, t.where(bends), p_tot, n_tot)
+
+
 def roc_curve_and_auc(df: DataFrame, y: str = "y", p: str = "p"):
     """(points DataFrame, area) from one ROC table (one checkpoint, one quantile job)."""
     t, p_tot, n_tot = _roc(df, y, p)

@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 
 from .. import constants as K
 from ..functions import np_round
+from ..session import materialize
 from .ranges import exact_quantiles
 
 
@@ -32,13 +33,29 @@ def class_ratio(df: DataFrame, label: str = K.LABEL_COL) -> DataFrame:
                     .alias("class_ratio"))
 
 
-def duplicate_rows(df: DataFrame, cols=None) -> DataFrame:
+# So many digests are broadcast at most: 8 bytes each, 8 MB together.
+MOST_DIGESTS = 1 << 20
+
+
+def duplicate_rows(df: DataFrame, cols=None, digest=None) -> DataFrame:
     """Extra copies over all (or the given) columns; NULLs compare equal.
 
-    Map-side partial aggregation collapses hot duplicates before the shuffle.
+    Two phases. Digests of the rows are counted first: the shuffle moves eight bytes
+    a row and a count. Whole rows travel only where a digest occurs again, and these
+    are compared by value, so that rows which share a digest by chance count as the
+    different rows they are. The repeated digests are broadcast to the second scan if
+    they are ``MOST_DIGESTS`` or fewer, by a count of them, and joined by a shuffle
+    beyond it. Partial aggregation collapses hot duplicates in both phases.
     """
     cols = list(cols or df.columns)
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    d = "_digest"
+    while d in df.columns:
+        d += "_"
+    hashed = df.withColumn(d, F.xxhash64(*cols) if digest is None else digest)
+    again = materialize(hashed.groupBy(d).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(d))
+    few = again.count() <= MOST_DIGESTS
+    suspects = hashed.join(F.broadcast(again) if few else again, d, "left_semi")
+    g = suspects.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("n_dupes"))
 
 
@@ -171,6 +188,37 @@ def histograms(df: DataFrame, features, label: str = K.LABEL_COL, bins: int = K.
                     (F.col("lo") + (F.col("bin") + 1) * step).alias("bin_hi"), "n")
 
 
+def nice_step(raw):
+    """``raw`` rounded to 1, 2 or 5 times a power of ten."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)).cast("double"))
+    lead = raw / power
+    return F.when(lead < 1.5, 1.0).when(lead < 3.5, 2.0).when(lead < 7.5, 5.0).otherwise(10.0) * power
+
+
+def auto_histograms(df: DataFrame, features, label: str = K.LABEL_COL) -> DataFrame:
+    """Per-class histograms whose bin width follows the data, over all rows.
+
+    A feature's width is 3.49 standard deviations over the cube root of its count
+    (the rule that is best for a normal distribution), rounded to a nice step; bins start at
+    multiples of it, and the classes share them. Two passes: spread and count of all
+    features in one aggregate, then one count of the unpivoted values. A constant
+    feature has one bin of width 1. Output: feature, class, bin, bin_lo, bin_hi, n.
+    """
+    spread = df.select(F.struct(*[F.struct(F.stddev_pop(F.col(c).cast("double")).alias("sd"), F.count(c).alias("n")).alias(c)
+                                  for c in features])).scalar()
+    df = df.withColumn("_s", spread)  # one subquery
+
+    def step(c):
+        raw = 3.49 * F.col(f"_s.{c}.sd") / F.pow(F.col(f"_s.{c}.n").cast("double"), F.lit(1.0 / 3.0))
+        return F.when(raw > 0, nice_step(raw)).otherwise(1.0)
+
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), step(c).alias("step")) for c in features])
+    long = df.select(F.col(label), F.inline(cells)).where("value is not null and not isnan(value)")
+    g = long.groupBy("feature", label, "step", F.floor(F.col("value") / F.col("step")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("feature", label, "bin", (F.col("bin") * F.col("step")).alias("bin_lo"),
+                    ((F.col("bin") + 1) * F.col("step")).alias("bin_hi"), "n")
+
+
 def quality_report(df: DataFrame, label: str = K.LABEL_COL, accuracy: int | None = None) -> DataFrame:
     """Long-form report (metric, column, value): rows, columns, duplicates,
     missing per column and total, IQR outliers per numeric column, class counts

@@ -59,12 +59,12 @@ def with_prediction(df: DataFrame, scorer) -> DataFrame:
         "_conf", F.when(F.col("Prediction") == 1, p).otherwise(F.lit(1.0) - p))
 
 
-def score_batch(df: DataFrame, scorer, mode: str = "table") -> DataFrame:
+def score_batch(df: DataFrame, scorer, mode: str = "table", soil: str = "auto") -> DataFrame:
     """Batch scoring: lenient soil, derived features; confidence 4 dp, tier from the rounded value.
 
     Input columns are kept.
     """
-    clean = clean_batch(df, mode=mode)
+    clean = clean_batch(df, mode=mode, soil=soil)
     s = with_prediction(clean, scorer)
     conf = np_round("_conf", 4)
     return (s.withColumn("Confidence", conf)
@@ -117,3 +117,8 @@ def batch_summary(scored: DataFrame) -> DataFrame:
         "total", "suitable", (F.col("total") - F.col("suitable")).alias("not_suitable"),
         np_round(F.try_divide(F.col("suitable") * 100.0, F.col("total")), 6).alias("suitable_pct"),
         np_round(F.try_divide((F.col("total") - F.col("suitable")) * 100.0, F.col("total")), 6).alias("not_suitable_pct"))
+
+
+def display_columns(df: DataFrame) -> DataFrame:
+    """The columns that are shown, under their display names, those that ``df`` has."""
+    return df.select(*[F.col(f"`{c}`").alias(shown) for c, shown in K.DISPLAY_NAMES.items() if c in df.columns])

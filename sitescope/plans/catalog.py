@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned training table over the sites view."""
-    return clean_sites(fx.sites_labelled(spark, sf_dir))
+    return clean_sites(fx.sites_labelled(spark, sf_dir), soil="names")
 
 
 # ---------------------------------------------------------------- §7.2 slice
@@ -129,7 +129,7 @@ WIDE_COLS = ["site_id", "Elevation", "Slope", "Rainfall", "Soil_Type", "Soil_Typ
 
 @query("features_all", Q.WIDE_CTE + "\nselect " + ", ".join(WIDE_COLS) + " from wide")
 def q_features_all(spark, sf_dir):
-    return C.derive_features(C.encode_soil_column(fx.sites_wide(spark, sf_dir))).select(*WIDE_COLS)
+    return C.derive_features(C.encode_soil_column(fx.sites_wide(spark, sf_dir), soil="names")).select(*WIDE_COLS)
 
 
 @query("features_partial_columns", "with " + Q.SITES_WIDE + f""",
@@ -251,7 +251,7 @@ from ..operators import profile as PR  # noqa: E402
 
 
 def wide_scored(spark, sf_dir):
-    return S.score_batch(fx.sites_wide(spark, sf_dir), S.RuleScorer())
+    return S.score_batch(fx.sites_wide(spark, sf_dir), S.RuleScorer(), soil="names")
 
 
 @query("batch_scores", Q.WIDE_CTE + "," + Q.WIDE_SCORED + f"""
@@ -325,6 +325,8 @@ def q_single_scores(spark, sf_dir):
 
 # ------------------------------------------------------------------- districts
 from ..operators import districts as D  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from ..sources.district_store import lookup_stored, store_districts  # noqa: E402
 from ..operators import similar as SIM  # noqa: E402
 
 ROLLUP_SQL = "with " + Q.OBSERVATIONS + f""",
@@ -369,8 +371,9 @@ LOOKUP_STATE, LOOKUP_DISTRICT = "NATION_1", "BUILDING 3"
 
 @query("district_lookup", ROLLUP_SQL.replace("\nfrom g", f"\nfrom g where state = '{LOOKUP_STATE}' and district = '{LOOKUP_DISTRICT}'"))
 def q_district_lookup(spark, sf_dir):
-    return D.lookup_district(D.rollup_observations(fx.observations(spark, sf_dir), sort=False),
-                             LOOKUP_STATE, LOOKUP_DISTRICT)
+    """The roll-up is stored once, by state and district; the lookup reads one partition of it."""
+    path = store_districts(D.rollup_observations(fx.observations(spark, sf_dir), sort=False), shared_path(spark, "districts"))
+    return lookup_stored(spark, path, LOOKUP_STATE, LOOKUP_DISTRICT)
 
 
 @query("district_list", "with " + Q.OBSERVATIONS + """
@@ -472,7 +475,7 @@ def q_class_ratio(spark, sf_dir):
 select cast(coalesce(sum(n - 1), 0) as bigint) as n_dupes from (
  select count(*) as n from wide group by Elevation, Slope, Rainfall, Soil_Type)""")
 def q_duplicates(spark, sf_dir):
-    w = C.encode_soil_column(fx.sites_wide(spark, sf_dir))
+    w = C.encode_soil_column(fx.sites_wide(spark, sf_dir), soil="names")
     return PR.duplicate_rows(w, ["Elevation", "Slope", "Rainfall", "Soil_Type"])
 
 
@@ -743,7 +746,6 @@ def q_overfit_gap(spark, sf_dir):
 # ----------------------------------------------------- forest (rows-only checks)
 from . import model as M  # noqa: E402
 from . import registry as R  # noqa: E402
-from ..session import shared_path  # noqa: E402
 
 # few, shallow trees keep the catalogue cheap; the bench fits the reference configuration
 SMALL_FOREST = M.ForestConfig(numTrees=10, maxDepth=5, minInstancesPerNode=30)
@@ -751,7 +753,7 @@ _TRAINED: dict = {}
 
 
 def trained(spark, sf_dir, cv_folds: int = 0) -> M.TrainResult:
-    key = (id(spark), sf_dir, cv_folds)
+    key = (spark.sparkContext.applicationId, sf_dir, cv_folds)
     if key not in _TRAINED:
         _TRAINED[key] = M.train_model(sites(spark, sf_dir), "site_id", SMALL_FOREST, cv_folds=cv_folds)
     return _TRAINED[key]
@@ -807,17 +809,16 @@ def q_rf_learning_curve(spark, sf_dir):
 @query("rf_batch_score")
 def q_rf_batch_score(spark, sf_dir):
     scorer = S.ForestScorer(trained(spark, sf_dir).model)
-    return S.score_batch(fx.sites_wide(spark, sf_dir), scorer).select(
+    return S.score_batch(fx.sites_wide(spark, sf_dir), scorer, soil="names").select(
         "site_id", "Prediction", "Confidence", "Label", "Conf_Tier")
 
 
 @query("rf_split_sizes", Q.SITES_CTE + f"""
 select count_if(not ({TEST_SQL})) as n_train, count_if({TEST_SQL}) as n_test from {_placed_sql('sites', K.SPLIT_SEED)}""")
 def q_rf_split_sizes(spark, sf_dir):
-    """Rows that the trained forest was fitted and tested on."""
-    m = trained(spark, sf_dir).metrics
-    return sites(spark, sf_dir).limit(0).agg(F.lit(m["n_train"]).cast("long").alias("n_train"),
-                                             F.lit(m["n_test"]).cast("long").alias("n_test"))
+    """Rows that a forest is fitted and tested on."""
+    parts = SP.with_split(sites(spark, sf_dir), key="site_id")
+    return parts.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))
 
 
 @query("rf_test_classes", Q.SITES_CTE + f"""
@@ -838,7 +839,7 @@ def q_rf_batch_rows(spark, sf_dir):
 @query("rf_batch_summary")
 def q_rf_batch_summary(spark, sf_dir):
     scorer = S.ForestScorer(trained(spark, sf_dir).model)
-    return S.batch_summary(S.score_batch(fx.sites_wide(spark, sf_dir), scorer))
+    return S.batch_summary(S.score_batch(fx.sites_wide(spark, sf_dir), scorer, soil="names"))
 
 
 @query("rf_single_score")
@@ -959,3 +960,6 @@ def q_stream_window_rate(spark, sf_dir):
     scored_stream = score_stream(spark, f"{base}/in", src.schema, S.RuleScorer(), max_files_per_trigger=2)
     # each file spans all seven years of order dates, so none of them may count as late
     return run_to_table(windowed_rate(scored_stream, "ts", watermark="3000 days"), f"{base}/out", f"{base}/ckpt")
+
+
+from . import catalog_loads, catalog_reports  # noqa: E402,F401

@@ -14,8 +14,13 @@ from .. import constants as K
 from .validate import ensure_not_empty, require_columns
 
 
+def file_format(path: str, fmt: str | None = None) -> str:
+    """The format given, or that of the path's ending, or Parquet."""
+    return fmt or (path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "parquet")
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None, **options) -> DataFrame:
-    fmt = fmt or (path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "parquet")
+    fmt = file_format(path, fmt)
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", False)

@@ -1,3 +1,3 @@
 """Structured Streaming jobs built from the batch operators."""
 
-from .scoring import run_to_table, score_stream, windowed_rate  # noqa: F401
+from .scoring import final_windows, late_rows, run_to_table, run_wave, score_stream, windowed_rate  # noqa: F401

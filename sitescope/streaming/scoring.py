@@ -64,3 +64,51 @@ def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, keys: list[s
     q.awaitTermination()
     latest = spark.read.parquet(out_path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("now"))
     return latest.select(*keys, "now.*")
+
+
+def final_windows(scored: DataFrame, event_time: str, window: str = "30 days", watermark: str = "90 days") -> DataFrame:
+    """``windowed_rate`` for append mode: a window comes out once, when the watermark has passed its end
+    and its state is evicted. It is final: what arrives for it afterwards is late and is not counted."""
+    return windowed_rate(scored, event_time, window, watermark)
+
+
+def run_wave(source: DataFrame, event_time: str, out: str, window_s: int = 30 * 86400, delay_s: int = 90 * 86400) -> None:
+    """Process what has arrived since the last run: final windows and late rows.
+
+    ``source`` is a scored stream. Under ``out``:
+
+    - ``final``: windows as they become final, appended by the streaming aggregate,
+      whose state holds open windows only;
+    - ``late``: the rows that came after their window was evicted, as they arrived,
+      a folder per batch;
+    - ``seen``: the latest event time of each batch, from which the batch's
+      watermark follows exactly as the aggregate's does: the latest event time of all
+      earlier batches less the delay. A repeated batch writes its folders anew.
+
+    Both queries read the same batches: each run takes what is new as one.
+    """
+    spark = source.sparkSession
+    spark.createDataFrame([], "latest long").write.mode("overwrite").parquet(f"{out}/seen/batch=-1")
+    spark.createDataFrame([], source.schema).write.mode("overwrite").parquet(f"{out}/late/batch=-1")
+
+    def split(batch: DataFrame, epoch: int) -> None:
+        ts = F.unix_seconds(event_time)
+        earlier = spark.read.schema("latest long, batch long").parquet(f"{out}/seen").where(F.col("batch") < epoch)
+        latest = earlier.agg(F.max("latest")).first()[0]  # one number
+        mark = None if latest is None else latest - delay_s
+        end = F.floor(ts / window_s) * window_s + window_s
+        batch.where(F.lit(False) if mark is None else end <= mark).write.mode("overwrite").parquet(f"{out}/late/batch={epoch}")
+        batch.agg(F.max(ts).alias("latest")).write.mode("overwrite").parquet(f"{out}/seen/batch={epoch}")
+
+    final = final_windows(source, event_time, f"{window_s} seconds", f"{delay_s} seconds")
+    queries = [final.writeStream.outputMode("append").format("parquet").option("path", f"{out}/final")
+               .option("checkpointLocation", f"{out}/state/final").trigger(availableNow=True).start(),
+               source.writeStream.option("checkpointLocation", f"{out}/state/late").foreachBatch(split)
+               .trigger(availableNow=True).start()]
+    for q in queries:
+        q.awaitTermination()
+
+
+def late_rows(spark: SparkSession, out: str, schema) -> DataFrame:
+    """Rows that came too late, with the batch they came in."""
+    return spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(f"{out}/late")
