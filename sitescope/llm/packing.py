@@ -8,7 +8,9 @@ sequences of equal length batch together.
 
 Token ids are those of the given byte-level BPE file. The vocabulary is read
 from that file and run by ``tiktoken``, which yields the same ids several
-times faster; strings of special tokens inside a text are ordinary text.
+times faster; strings of special tokens inside a text are ordinary text. Its
+pattern engine gives up on very long runs of white space, so texts that hold a run of
+``LONG_BLANK`` characters go through ``tokenizers``, which reads the file itself.
 
 Defined results: a null text counts as empty, and an empty document is one
 piece holding the end token; rows that repeat are packed once each; an empty
@@ -18,6 +20,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +37,10 @@ END_ID = 1
 # Pre-tokenisation pattern of byte_bpe_50k (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict[str, object] = {}
+_SLOW: dict[str, object] = {}
+# Runs of white space from here on: the pattern's look-ahead backs up over a run character by character.
+LONG_BLANK = 10_000
+BLANKS = re.compile(rf"\s{{{LONG_BLANK}}}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -57,6 +64,17 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def token_ids(path: str, text: str) -> list[int]:
+    """The text's ids, without an end token."""
+    if not BLANKS.search(text):
+        return encoder(path).encode_ordinary(text)
+    if path not in _SLOW:
+        from tokenizers import Tokenizer
+        _SLOW[path] = Tokenizer.from_file(path)
+        _SLOW[path].encode_special_tokens = True  # strings of special tokens are ordinary text
+    return _SLOW[path].encode(text, add_special_tokens=False).ids
+
+
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     """Full sequences, then the binary digits of what is left, longest first."""
     full, rest = divmod(n, max_length)
@@ -74,11 +92,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH
         raise ValueError("max_length must be a power of two")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(tokenizer)
         for chunk in chunks(batches, "text"):
             ids, starts, lengths, sums, totals, tokens = [], [], [], [], [], []
             for doc_id, text in zip(chunk.column("id").to_pylist(), chunk.column("text").to_pylist(), strict=True):
-                got = np.array([*bpe.encode_ordinary(text), end_id], dtype="<u4")
+                got = np.array([*token_ids(tokenizer, text), end_id], dtype="<u4")
                 at, raw = 0, got.tobytes()
                 for n in piece_lengths(len(got), max_length):
                     ids.append(doc_id)
