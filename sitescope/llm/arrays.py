@@ -177,6 +177,14 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def differ(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Where any of the arrays ``a`` differs from its partner in ``b``."""
+    out = np.zeros(len(a[0]), dtype=bool)
+    for x, y in zip(a, b, strict=True):
+        out |= x != y
+    return out
+
+
 def flushes(parts: Iterator[list[np.ndarray]], size: int) -> Iterator[list[np.ndarray]]:
     """Lists of arrays, joined until the first holds about ``size`` entries."""
     held, n = [], 0

@@ -57,27 +57,22 @@ def doc_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
 
 
-def id_of(key: Column) -> Column:
-    """The id behind a key; the smallest 64-bit number counts as null."""
-    return F.when(key != NO_ID, key)
-
-
-def text_key(text: Column) -> Column:
-    """32-bit text hash: tells rows apart that repeat a doc_id."""
-    return F.hash(F.coalesce(text, F.lit("")))
-
-
 def text_hash(text: Column, seed: str) -> Column:
     """64-bit text hash; other seeds give independent ones."""
     return F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")))
 
 
-def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """did, k1, k2, text: an identity of rows by id and text, 127 hash bits beside
-    the id. The lowest bit of k1 tells a null id, whose did is the smallest number."""
-    doc_id, text = df[id_col].cast("long"), df[text_col].cast("string")
+def identity(doc_id: Column, text: Column) -> list[Column]:
+    """did, k1, k2: an identity of rows by id and text, 127 hash bits beside the
+    id. The lowest bit of k1 tells a null id, whose did is the smallest number."""
+    doc_id = doc_id.cast("long")
     k1 = text_hash(text, "a").bitwiseAND(F.lit(-2)).bitwiseOR(doc_id.isNull().cast("long"))
-    return [doc_key(doc_id).alias("did"), k1.alias("k1"), text_hash(text, "b").alias("k2"), plain_text(df, text_col).alias("text")]
+    return [doc_key(doc_id).alias("did"), k1.alias("k1"), text_hash(text, "b").alias("k2")]
+
+
+def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """did, k1, k2 and the text, null as empty."""
+    return [*identity(df[id_col], df[text_col].cast("string")), plain_text(df, text_col).alias("text")]
 
 
 def key_id() -> Column:
@@ -91,12 +86,10 @@ def plain_text(df: DataFrame, column: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, th, text), hash-partitioned by did: the frame that results per
+    """(did, k1, k2, text), hash-partitioned by did: the frame that results per
     document are joined to. Repeated uses in one plan share one exchange.
 
     Rows with equal id and text count as one document and get equal results;
     rows with equal id and other text are ordered by the text's hash.
     """
-    text = plain_text(docs, text_col)
-    return docs.select(doc_key(docs[id_col]).alias("did"), text_key(docs[text_col].cast("string")).alias("th"),
-                       text.alias("text")).repartition(width(docs.sparkSession), "did")
+    return docs.select(*row_key(docs, id_col, text_col)).repartition(width(docs.sparkSession), "did")

@@ -7,8 +7,7 @@ fewer, but ``CHAR_WORDS`` words or more, the bound is one character of their
 words joined by one space; lines of still fewer words must be equal. A line goes
 if an earlier line of the input (smaller doc_id, or an earlier line of the
 document) is within the bound; lines are judged on the input, not on what is
-left. Lines of fewer than ``least_words`` words always stay: the registered query
-and the pipeline pass 1, so only blank lines do; the default is ``LEAST_WORDS``.
+left. Lines of fewer than ``least_words`` words always stay: by default only blank lines do.
 
 1. Equal lines meet by hash; the earliest represents them.
 2. One edit leaves the first or the last four words of two lines equal, so only
@@ -39,9 +38,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import doc_key, fresh, id_of, keyed, text_key, width, written
+from .common import fresh, identity, key_id, keyed, row_key, width, written
 
-LEAST_WORDS, CHAR_WORDS, FUZZY_WORDS, END_WORDS = 3, 3, 8, 4
+LEAST_WORDS, CHAR_WORDS, FUZZY_WORDS, END_WORDS = 1, 3, 8, 4
 FLUSH = 1 << 19  # entries gathered before a flush
 
 
@@ -60,11 +59,12 @@ def _lines(column: pa.Array):
     return words, A.prefix_sums(words, "word"), rows[first], number[first], first, end
 
 
-LINE = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint64, np.uint8)
+ROW = ["did", "k1", "k2"]
+LINE = (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32, np.uint64, np.uint64, np.uint8)
 
 
 def _line_keys(n_buckets: int, least_words: int):
-    """Flushes of (hash, did, th, line, words, first end, last end, known copy)."""
+    """Flushes of (hash, did, k1, k2, line, words, first end, last end, known copy)."""
     def parts(batches):
         for chunk in A.chunks(batches, "text"):
             _, sums, rows, number, first, end = _lines(chunk.column("text"))
@@ -74,15 +74,14 @@ def _line_keys(n_buckets: int, least_words: int):
             near = np.minimum(first + END_WORDS, end)
             far = np.maximum(end - END_WORDS, first)
             yield [A.span_hash(sums, "word", first, end),
-                   chunk.column("did").to_numpy(zero_copy_only=False)[rows],
-                   chunk.column("th").to_numpy(zero_copy_only=False)[rows].astype(np.int32),
+                   *(chunk.column(c).to_numpy(zero_copy_only=False)[rows] for c in ROW),
                    number.astype(np.int32), n.astype(np.int32),
                    A.span_hash(sums, "word", first, near), A.mix(A.span_hash(sums, "word", far, end))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush in A.flushes(parts(batches), FLUSH // 4):
-            order = np.lexsort((flush[3], flush[2], flush[1], flush[0]))
-            order = order[A.run_starts(*(flush[k][order] for k in range(4)))]
+            order = np.lexsort(flush[4::-1])
+            order = order[A.run_starts(*(flush[k][order] for k in range(5)))]
             flush = [a[order] for a in flush]
             copy = ~A.run_starts(flush[0])
             bucket = np.where(copy, A.mix(flush[1].view(np.uint64)), flush[0]) % np.uint64(n_buckets)
@@ -92,23 +91,25 @@ def _line_keys(n_buckets: int, least_words: int):
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: the earliest line of each hash is kept, all others are copies."""
-    h, did, th, line, n, near, far, copy = A.unpack_all(batches, *LINE)
+    h, did, k1, k2, line, n, near, far, copy = A.unpack_all(batches, *LINE)
     copy = copy.astype(bool)
     known = np.flatnonzero(copy)
     order = np.flatnonzero(~copy)
-    order = order[np.lexsort((line[order], th[order], did[order], h[order]))]
-    order = order[A.run_starts(h[order], did[order], th[order], line[order])]  # a repeated row is one document
+    order = order[np.lexsort((line[order], k2[order], k1[order], did[order], h[order]))]
+    order = order[A.run_starts(h[order], did[order], k1[order], k2[order], line[order])]  # a repeated row is one document
     first = np.zeros(len(h), dtype=bool)
     first[order[A.run_starts(h[order])]] = True
     for at in np.array_split(np.concatenate([order, known]), max(1, len(h) // 65_536)):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(~first[at]), pa.array(did[at]), pa.array(th[at]), pa.array(line[at]), pa.array(n[at]),
+            [pa.array(~first[at]), *(pa.array(x[at]) for x in (did, k1, k2, line, n)),
              pa.array(near[at].view(np.int64)), pa.array(far[at].view(np.int64))],
-            names=["copy", "did", "th", "line", "n", "near", "far"])
+            names=["copy", *ROW, "line", "n", "near", "far"])
 
 
-VARIANT = (np.uint64, np.int32, np.int64, np.int32, np.int32)
-PAIR = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
+POSITION = [*ROW, "line"]
+OTHER = ["did2", "k12", "k22", "line2"]
+VARIANT = (np.uint64, np.int32, np.int64, np.int64, np.int64, np.int32)
+PAIR = (np.int64, np.int64, np.int64, np.int32) * 2
 
 
 def _joined(line: str) -> str:
@@ -120,16 +121,15 @@ def _char_hash(text: str) -> int:
 
 
 def _variants(n_buckets: int):
-    """Flushes of (hash, left-out word or character or -1, did, th, line), and of pairs that the flush itself shows."""
+    """Flushes of (hash, left-out word or character or -1, did, k1, k2, line), and of pairs that the flush itself shows."""
     def parts(batches):
         for chunk in A.chunks(batches, "text"):
             words, sums, rows, number, first, end = _lines(chunk.column("text"))
-            th = chunk.column("th").to_numpy(zero_copy_only=False)
-            wanted = {(d, x["th"], x["line"]) for d, xs in enumerate(chunk.column("wanted").to_pylist()) for x in xs}
-            use = np.array([(r, th[r], k) in wanted for r, k in zip(rows, number, strict=True)], dtype=bool)
+            ids = [chunk.column(c).to_numpy(zero_copy_only=False) for c in ROW]
+            wanted = {(d, x["k1"], x["k2"], x["line"]) for d, xs in enumerate(chunk.column("wanted").to_pylist()) for x in xs}
+            use = np.array([(r, ids[1][r], ids[2][r], k) in wanted for r, k in zip(rows, number, strict=True)], dtype=bool)
             rows, number, first, end = rows[use], number[use], first[use], end[use]
-            did = chunk.column("did").to_numpy(zero_copy_only=False)
-            yield from by_chars(chunk.column("text"), did, th, rows, number, end - first)
+            yield from by_chars(chunk.column("text"), ids, rows, number, end - first)
             use = end - first >= FUZZY_WORDS
             rows, number, first, end = rows[use], number[use], first[use], end[use]
             n = end - first
@@ -141,12 +141,11 @@ def _variants(n_buckets: int):
             h = (sums[i] - sums[a]) * down[a] + (sums[b] - sums[i + 1]) * down[a + 1]
             h = A.mix(h + (n[owner] - 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
             whole = A.span_hash(sums, "word", first, end)
-            did = did[rows]
             which = np.concatenate([owner, np.arange(len(n))])
-            yield [np.concatenate([h, whole]), np.concatenate([out, np.full(len(n), -1)]).astype(np.int32), did[which],
-                   th[rows].astype(np.int32)[which], number.astype(np.int32)[which]]
+            yield [np.concatenate([h, whole]), np.concatenate([out, np.full(len(n), -1)]).astype(np.int32),
+                   *(x[rows][which] for x in ids), number.astype(np.int32)[which]]
 
-    def by_chars(texts, did, th, rows, number, n):
+    def by_chars(texts, ids, rows, number, n):
         # a space more makes eight words of seven
         short = np.flatnonzero((n >= CHAR_WORDS) & (n <= FUZZY_WORDS))
         row, lines = -1, []
@@ -161,43 +160,40 @@ def _variants(n_buckets: int):
             out.extend(range(-1, len(line)))
             which.extend([i] * (len(line) + 1))
             if len(h) >= FLUSH:
-                yield entries(h, out, which, did, th, rows, number)
+                yield entries(h, out, which, ids, rows, number)
                 h, out, which = [], [], []
         if h:
-            yield entries(h, out, which, did, th, rows, number)
+            yield entries(h, out, which, ids, rows, number)
 
-    def entries(h, out, which, did, th, rows, number):
-        return [np.array(h, np.uint64), np.array(out, np.int32), did[rows[which]], th[rows[which]].astype(np.int32),
-                number[which].astype(np.int32)]
+    def entries(h, out, which, ids, rows, number):
+        return [np.array(h, np.uint64), np.array(out, np.int32), *(x[rows[which]] for x in ids), number[which].astype(np.int32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush in A.flushes(parts(batches), FLUSH):
-            order = np.lexsort((flush[4], flush[3], flush[2], flush[1], flush[0]))
-            h, out, did, th, line = (a[order] for a in flush)
+            order = np.lexsort(flush[::-1])
+            h, out, *place = (a[order] for a in flush)
             new = A.run_starts(h, out)
             yield from A.bucket_rows((h[new] % np.uint64(n_buckets)).astype(np.int64), n_buckets,
-                                     [x[new] for x in (h, out, did, th, line)])
+                                     [x[new] for x in (h, out, *place)])
             late = np.flatnonzero(~new)
             early = np.flatnonzero(new)[np.cumsum(new)[late] - 1]
-            bucket = A.mix(did[late].view(np.uint64) + h[late]) % np.uint64(n_buckets)
-            yield from A.bucket_rows(bucket.astype(np.int64), n_buckets,
-                                     [x[i] for i in (late, early) for x in (did, th, line)])
+            bucket = A.mix(place[0][late].view(np.uint64) + h[late]) % np.uint64(n_buckets)
+            yield from A.bucket_rows(bucket.astype(np.int64), n_buckets, [x[i] for i in (late, early) for x in place])
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: pairs of a line and an earlier one that share a variant."""
     members, pairs = A.unpack_kinds(batches, VARIANT, PAIR)
-    h, out, did, th, line = members
-    left, right = [tuple(pairs[:3])], [tuple(pairs[3:])]
-    at = np.lexsort((line, th, did, out, h))
-    h, out, did, th, line = h[at], out[at], did[at], th[at], line[at]
+    at = np.lexsort((members[5], members[4], members[3], members[2], members[1], members[0]))
+    h, out, *place = (x[at] for x in members)
+    left, right = [pairs[:4]], [pairs[4:]]
     # the same word left out: each to the earliest
     new = A.run_starts(h, out)
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
     x = np.flatnonzero(~new & (out >= 0))
-    left.append((did[x], th[x], line[x]))
-    right.append((did[head[x]], th[head[x]], line[head[x]]))
+    left.append([p[x] for p in place])
+    right.append([p[head[x]] for p in place])
     # a whole line (out = -1 sorts first in its hash) and variants of longer lines
     run = np.flatnonzero(A.run_starts(h))
     owner = run[np.cumsum(A.run_starts(h)) - 1] if len(h) else np.zeros(0, np.int64)
@@ -206,21 +202,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # among equal left-out words only the first stands for a variant
     keep = new[y] if len(y) else np.zeros(0, bool)
     y, w = y[keep], w[keep]
-    after = _later((did[y], th[y], line[y]), (did[w], th[w], line[w]))
+    after = _later([p[y] for p in place], [p[w] for p in place])
     late, early = np.where(after, y, w), np.where(after, w, y)
-    left.append((did[late], th[late], line[late]))
-    right.append((did[early], th[early], line[early]))
-    cols = [np.concatenate([side[k] for side in group]) for group in (left, right) for k in range(3)]
-    other = (cols[0] != cols[3]) | (cols[1] != cols[4]) | (cols[2] != cols[5])
+    left.append([p[late] for p in place])
+    right.append([p[early] for p in place])
+    cols = [np.concatenate([side[k] for side in group]) for group in (left, right) for k in range(4)]
+    other = A.differ(cols[:4], cols[4:])
     cols = [c[other] for c in cols]
     for i in range(0, max(1, len(cols[0])), 65_536):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65_536]) for c in cols],
-                                         names=["did", "th", "line", "did2", "th2", "line2"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65_536]) for c in cols], names=[*POSITION, *OTHER])
 
 
 def _later(a, b) -> np.ndarray:
-    """Whether position a = (did, th, line) comes after b."""
-    return (a[0] > b[0]) | (a[0] == b[0]) & ((a[1] > b[1]) | (a[1] == b[1]) & (a[2] > b[2]))
+    """Whether position a = (did, k1, k2, line) comes after b."""
+    late, same = np.zeros(len(a[0]), dtype=bool), np.ones(len(a[0]), dtype=bool)
+    for x, y in zip(a, b, strict=True):
+        late |= same & (x > y)
+        same &= x == y
+    return late
 
 
 def within_one(a: list | str, b: list | str) -> bool:
@@ -246,7 +245,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = [near(a, b) for a, b in
               zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-        yield batch.select(["did", "th", "line"]).filter(pa.array(ok, pa.bool_()))
+        yield batch.select(POSITION).filter(pa.array(ok, pa.bool_()))
 
 
 def _numbered_lines(text: Column) -> Column:
@@ -255,51 +254,49 @@ def _numbered_lines(text: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    base: DataFrame | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(did, th, line) of each line that has an earlier one within the bound; may repeat."""
+    """(did, k1, k2, line) of each line that has an earlier one within the bound; may repeat."""
     spark = docs.sparkSession
     n = width(spark)
     base = keyed(docs, id_col, text_col) if base is None else base
-    scan = docs.select(doc_key(docs[id_col]).alias("did"), text_key(docs[text_col].cast("string")).alias("th"),
-                       F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    position = ["did", "th", "line"]
+    scan = docs.select(*row_key(docs, id_col, text_col))
+    places = "did long, k1 long, k2 long, line int"
     settled = written(
         scan.mapInArrow(_line_keys(n, least_words), A.BUCKET_SCHEMA).repartitionById(n, F.col("bucket"))
-        .mapInArrow(_settle, "copy boolean, did long, th int, line int, n int, near long, far long"), "lines")
-    exact = settled.where("copy").select(*position)
+        .mapInArrow(_settle, f"copy boolean, {places}, n int, near long, far long"), "lines")
+    exact = settled.where("copy").select(*POSITION)
 
     ends = settled.where(~F.col("copy") & (F.col("n") >= FUZZY_WORDS)).select(
-        *position, F.explode(F.array("near", "far")).alias("end"))
+        *POSITION, F.explode(F.array("near", "far")).alias("end"))
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("end")
-    short = settled.where(~F.col("copy") & F.col("n").between(CHAR_WORDS, FUZZY_WORDS)).select(*position)
-    wanted = (ends.join(shared, "end").select(*position).union(short).groupBy("did")
-              .agg(F.collect_set(F.struct("th", "line")).alias("wanted")))
-    met = (base.join(wanted, "did").select("did", "th", "text", "wanted")
+    short = settled.where(~F.col("copy") & F.col("n").between(CHAR_WORDS, FUZZY_WORDS)).select(*POSITION)
+    wanted = (ends.join(shared, "end").select(*POSITION).union(short).groupBy("did")
+              .agg(F.collect_set(F.struct("k1", "k2", "line")).alias("wanted")))
+    met = (base.join(wanted, "did").select(*ROW, "text", "wanted")
            .mapInArrow(_variants(n), A.BUCKET_SCHEMA).repartitionById(n, F.col("bucket"))
-           .mapInArrow(_meet, "did long, th int, line int, did2 long, th2 int, line2 int"))
+           .mapInArrow(_meet, f"{places}, did2 long, k12 long, k22 long, line2 int"))
     pairs = written(met.distinct(), "pairs")
 
-    needed = (pairs.select(*position).union(pairs.select("did2", "th2", "line2")).groupBy("did")
-              .agg(F.collect_set(F.struct("th", "line")).alias("needed")))
+    needed = (pairs.select(*POSITION).union(pairs.select(*OTHER)).groupBy("did")
+              .agg(F.collect_set(F.struct("k1", "k2", "line")).alias("needed")))
     fetched = (base.join(needed, "did")
-               .select("did", "th", _numbered_lines(F.col("text")).alias("lines"),
-                       F.explode(F.filter("needed", lambda x: x["th"] == F.col("th"))).alias("x"))
-               .select("did", "th", F.col("x.line").alias("line"),
+               .select(*ROW, _numbered_lines(F.col("text")).alias("lines"),
+                       F.explode(F.filter("needed", lambda x: (x["k1"] == F.col("k1")) & (x["k2"] == F.col("k2")))).alias("x"))
+               .select(*ROW, F.col("x.line").alias("line"),
                        F.get("lines", F.col("x.line")).alias("words"))).distinct()
-    other = fetched.select(F.col("did").alias("did2"), F.col("th").alias("th2"), F.col("line").alias("line2"),
-                           F.col("words").alias("b"))
-    close = (pairs.join(fetched.withColumnRenamed("words", "a"), position).join(other, ["did2", "th2", "line2"])
-             .select(*position, "a", "b").mapInArrow(_verify, "did long, th int, line int"))
+    other = fetched.select(*[F.col(c).alias(c2) for c, c2 in zip(POSITION, OTHER, strict=True)], F.col("words").alias("b"))
+    close = (pairs.join(fetched.withColumnRenamed("words", "a"), POSITION).join(other, OTHER)
+             .select(*POSITION, "a", "b").mapInArrow(_verify, places))
     return exact.union(close)
 
 
-def _without(rows: DataFrame, removed: DataFrame, did: str, th: str, text_col: str, names: list[str]) -> tuple[DataFrame, list[Column]]:
+def _without(rows: DataFrame, removed: DataFrame, row: list[str], text_col: str, names: list[str]) -> tuple[DataFrame, list[Column]]:
     """``rows`` joined to their removed lines, and columns: the text that is left, lines, lines removed."""
     gone, lines = (fresh(rows, c) for c in ("key_gone", "key_lines"))
     removed = removed.groupBy(F.col("did").alias("removed_did")).agg(
-        F.collect_set(F.struct("th", "line")).alias("removed_lines"))
-    joined = rows.join(removed, rows[did] == removed["removed_did"], "left")
-    joined = joined.withColumn(gone, F.transform(
-        F.filter("removed_lines", lambda x: x["th"] == F.col(th)), lambda x: x["line"]))
+        F.collect_set(F.struct("k1", "k2", "line")).alias("removed_lines"))
+    joined = rows.join(removed, rows[row[0]] == removed["removed_did"], "left")
+    own = F.filter("removed_lines", lambda x: (x["k1"] == F.col(row[1])) & (x["k2"] == F.col(row[2])))
+    joined = joined.withColumn(gone, F.transform(own, lambda x: x["line"]))
     joined = joined.withColumn(lines, _numbered_lines(joined[text_col].cast("string")))
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     left = F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n")
@@ -312,9 +309,9 @@ def _without(rows: DataFrame, removed: DataFrame, did: str, th: str, text_col: s
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, same columns."""
-    did, th = fresh(docs, "key_did"), fresh(docs, "key_th")
-    rows = docs.withColumns({did: doc_key(docs[id_col]), th: text_key(docs[text_col].cast("string"))})
-    joined, (text, _, _) = _without(rows, repeated_lines(docs, id_col, text_col, least_words=least_words), did, th,
+    row = [fresh(docs, f"key_{c}") for c in ROW]
+    rows = docs.withColumns(dict(zip(row, identity(docs[id_col], docs[text_col].cast("string")), strict=True)))
+    joined, (text, _, _) = _without(rows, repeated_lines(docs, id_col, text_col, least_words=least_words), row,
                                     text_col, [text_col, "n_lines", "n_removed"])
     return joined.select(*[text if c == text_col else joined[c] for c in docs.columns])
 
@@ -322,7 +319,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) per document."""
     base = keyed(docs)
-    joined, columns = _without(base, repeated_lines(docs, base=base, least_words=least_words), "did", "th", "text",
+    joined, columns = _without(base, repeated_lines(docs, base=base, least_words=least_words), ROW, "text",
                                ["text", "n_lines", "n_removed"])
-    return joined.select("did", *columns).select(
-        id_of(F.col("did")).alias("doc_id"), "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+    return joined.select("did", "k1", *columns).select(
+        key_id().alias("doc_id"), "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))

@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import arrays as A
-from .common import doc_key, fresh, plain_text, text_key, written
+from .common import fresh, identity, row_key, written
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
+ROW = ["did", "k1", "k2"]
 TILE = 2_048  # fingerprints of a tile, about
 BLOCK = 1 << 19  # comparisons held at once
 
@@ -126,16 +127,16 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """(id, th, fp) for each row; th tells rows apart that repeat an id, fp is the
+    """(id, did, k1, k2, fp) for each row; did, k1 and k2 tell rows apart, fp is the
     fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("id"), chunk.column("th"),
-                 pa.array(fingerprints(chunk.column("text"), shingle).view(np.int64))], names=["id", "th", "fp"])
+                [*(chunk.column(c) for c in ("id", *ROW)), pa.array(fingerprints(chunk.column("text"), shingle).view(np.int64))],
+                names=["id", *ROW, "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), text_key(docs[text_col].cast("string")).alias("th"),
-                       plain_text(docs, text_col).alias("text")).mapInArrow(run, "id long, th int, fp long")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), *row_key(docs, id_col, text_col))
+    return rows.mapInArrow(run, "id long, did long, k1 long, k2 long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,16 +226,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(id, th, fp, first) for each row; ``first`` is the (id, th) of its group's first row, null ids last."""
+    """(id, did, k1, k2, fp, first) for each row; ``first`` is the place (none, id, did, k1, k2) of its group's first row, null ids last."""
     rows = written(with_fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", *ROW)
     values = written(rows.groupBy("fp").agg(F.min(place).alias("low")), "values")
     roots = components(links(values.select("fp"), radius))
     named = values.join(roots, values["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("first"))
     named = named.join(lowest, "root").select("fp", "first")
-    return rows.join(named, "fp").select("id", "th", "fp", "first")
+    return rows.join(named, "fp").select("id", *ROW, "fp", "first")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -248,11 +249,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_c
     """The first document of each group (smallest id, nulls last); of rows that
     repeat its id and text one stays."""
     found = groups(docs, shingle, radius, id_col, text_col)
-    kept = found.where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).select(
-        doc_key(F.col("id")).alias("kept_did"), F.col("th").alias("kept_th")).distinct()
-    did, th = fresh(docs, "key_did"), fresh(docs, "key_th")
-    own = docs.withColumns({did: doc_key(docs[id_col]), th: text_key(docs[text_col].cast("string"))})
-    held = own.join(kept, (own[did] == kept["kept_did"]) & (own[th] == kept["kept_th"]), "left_semi")
+    is_first = [F.col(c) == F.col(f"first.{c}") for c in ROW]
+    kept = found.where(is_first[0] & is_first[1] & is_first[2]).select(*[F.col(c).alias(f"kept_{c}") for c in ROW]).distinct()
+    row = [fresh(docs, f"key_{c}") for c in ROW]
+    own = docs.withColumns(dict(zip(row, identity(docs[id_col], docs[text_col].cast("string")), strict=True)))
+    same = [own[r] == kept[f"kept_{c}"] for r, c in zip(row, ROW, strict=True)]
+    held = own.join(kept, same[0] & same[1] & same[2], "left_semi")
     nth = fresh(held, "key_nth")
-    order = Window.partitionBy(did, th).orderBy(F.col(did))
+    order = Window.partitionBy(*row).orderBy(F.col(row[0]))
     return held.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])

@@ -24,7 +24,7 @@ Anchors that occur very often send each window to a shard of its own, named by
 the window's hash: no shard holds more than the windows that are equal plus a
 bounded number of others.
 
-Shards compare words by 32-bit hashes; a false match needs two windows that
+Shards compare words by 64-bit hashes; a false match needs two windows that
 agree but for words with equal hashes.
 
 Defined results: a null text has no words; a null id sorts first; rows with
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import doc_key, id_of, keyed, plain_text, width, written
+from .common import doc_key, key_id, keyed, plain_text, width, written
 
 WINDOW, ANCHOR = 20, 6
 FLUSH = 1 << 19
@@ -176,11 +176,12 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[i:i + 65_536]), pa.array(b[i:i + 65_536])], names=["did", "place"])
 
 
-PASSAGE = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint32)
+ROW = ["did", "k1", "k2"]
+PASSAGE = (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint64)
 
 
 def _passages(n_buckets: int, window: int, frequent):
-    """Flushes of (group, did, th, first word, words, known) and the words' hashes."""
+    """Flushes of (group, did, k1, k2, first word, words, known) and the words' hashes."""
     def parts(batches):
         often = frequent.value
         for chunk in A.chunks(batches, "text"):
@@ -203,20 +204,20 @@ def _passages(n_buckets: int, window: int, frequent):
             row = rows[start]
             n = stop - start
             at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield [group, chunk.column("did").to_numpy(zero_copy_only=False)[row],
-                   chunk.column("th").to_numpy(zero_copy_only=False)[row].astype(np.int32),
-                   (start - first[row]).astype(np.int32), n.astype(np.int32), content, (words[at] >> np.uint64(32)).astype(np.uint32)]
+            yield [group, *(chunk.column(c).to_numpy(zero_copy_only=False)[row] for c in ROW),
+                   (start - first[row]).astype(np.int32), n.astype(np.int32), content, words[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, did, th, start, n, content, ids in A.flushes(parts(batches), FLUSH // 16):
+        for group, did, k1, k2, start, n, content, ids in A.flushes(parts(batches), FLUSH // 16):
             ends = np.cumsum(n)
-            order = np.lexsort((start, th, did, content, group))
+            order = np.lexsort((start, k2, k1, did, content, group))
             new = A.run_starts(group[order], content[order])
             known = np.zeros(len(order), dtype=bool)
             known[order] = ~new
             head = np.empty(len(order), dtype=np.int64)
             head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            same = known & (did == did[head]) & (th == th[head]) & (start == start[head])  # a row that repeats
+            place = [did, k1, k2, start]
+            same = known & ~A.differ(place, [x[head] for x in place])  # a row that repeats
             bucket = (np.where(known, A.mix(did.view(np.uint64) + group), group) % np.uint64(n_buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             by = by[~same[by]]
@@ -229,7 +230,7 @@ def _passages(n_buckets: int, window: int, frequent):
                     size = n[fresh].astype(np.int64)
                     at = np.repeat(ends[fresh] - size - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                     names.append(b)
-                    blobs.append(A.pack(group[i], did[i], th[i], start[i], n[i], known[i].astype(np.uint8), ids[at]))
+                    blobs.append(A.pack(group[i], did[i], k1[i], k2[i], start[i], n[i], known[i].astype(np.uint8), ids[at]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())],
                                              names=["bucket", "blob"])
     return run
@@ -238,16 +239,15 @@ def _passages(n_buckets: int, window: int, frequent):
 def _shard(window: int):
     """Per shard: streams the passages of each group, in order, through the automaton of the earlier ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, did, th, start, n, known, ids = A.unpack_all(batches, *PASSAGE)
+        group, did, k1, k2, start, n, known, ids = A.unpack_all(batches, *PASSAGE)
         known = known.astype(bool)
-        out_did, out_th = [did[known]], [th[known]]
-        out_from, out_to = [start[known]], [start[known] + n[known]]
+        out = [[x[known]] for x in (did, k1, k2, start, start + n)]
         # every blob lists its words in the order of its unknown passages
         new = np.flatnonzero(~known)
         ends = np.cumsum(n[new].astype(np.int64))
-        order = np.lexsort((start[new], th[new], did[new], group[new]))
+        order = np.lexsort((start[new], k2[new], k1[new], did[new], group[new]))
         by = new[order]
-        order = order[A.run_starts(group[by], did[by], th[by], start[by])]  # a row that repeats in another flush
+        order = order[A.run_starts(group[by], did[by], k1[by], k2[by], start[by])]  # a row that repeats in another flush
         heads = np.flatnonzero(A.run_starts(group[new][order]))
         found = []
         for a, b in zip(heads, np.append(heads[1:], len(order))[:len(heads)], strict=True):
@@ -278,19 +278,17 @@ def _shard(window: int):
                 automaton.extend(piece)
         if found:
             i, x, y = (np.array(c, dtype=np.int64) for c in zip(*found, strict=True))
-            out_did.append(did[i])
-            out_th.append(th[i])
-            out_from.append((start[i] + x).astype(np.int32))
-            out_to.append((start[i] + y).astype(np.int32))
-        cols = [np.concatenate(c) for c in (out_did, out_th, out_from, out_to)]
+            for held, part in zip(out, (did[i], k1[i], k2[i], (start[i] + x).astype(np.int32), (start[i] + y).astype(np.int32)), strict=True):
+                held.append(part)
+        cols = [np.concatenate(c) for c in out]
         for i in range(0, max(1, len(cols[0])), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65_536]) for c in cols], names=["did", "th", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65_536]) for c in cols], names=[*ROW, "start", "stop"])
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
                    base: DataFrame | None = None) -> DataFrame:
-    """(did, th, start, stop): spans of words that repeat earlier ones; spans may overlap."""
+    """(did, k1, k2, start, stop): spans of words that repeat earlier ones; spans may overlap."""
     spark = docs.sparkSession
     n = width(spark)
     base = keyed(docs, id_col, text_col) if base is None else base
@@ -307,22 +305,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
               .agg(F.collect_set(F.col("place").cast("int")).alias("places")))
     # a place that another row with this id brought in only asks for a closer look; _passages drops
     # those at or above the row's number of words, which the bytes here only bound
-    places = base.join(places, "did").select("did", "th", "text", F.filter(
+    places = base.join(places, "did").select(*ROW, "text", F.filter(
         "places", lambda x: x < F.octet_length("text")).alias("places"))
     passages = places.mapInArrow(_passages(n, window, spark.sparkContext.broadcast(frequent)), A.BUCKET_SCHEMA)
     return passages.repartitionById(n, F.col("bucket")).mapInArrow(
-        _shard(window), "did long, th int, start int, stop int")
+        _shard(window), "did long, k1 long, k2 long, start int, stop int")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """(did, n_words, n_removed, kept, spans) per row: ``kept`` is the words that
+    """(did, k1, n_words, n_removed, kept, spans) per row: ``kept`` is the words that
     stay, joined by one space, ``spans`` the removed [start, stop) word ranges."""
     base = keyed(docs, id_col, text_col)  # one exchange of the texts serves the search and the removal
     spans = repeated_spans(docs, window, id_col, text_col, base).groupBy(F.col("did").alias("span_did")).agg(
-        F.collect_list(F.struct("th", "start", "stop")).alias("spans"))
+        F.collect_list(F.struct("k1", "k2", "start", "stop")).alias("spans"))
     joined = base.join(spans, base["did"] == spans["span_did"], "left").select(
-        "did", "text", F.filter("spans", lambda x: x["th"] == F.col("th")).alias("spans"))
+        "did", "k1", "text", F.filter("spans", lambda x: (x["k1"] == F.col("k1")) & (x["k2"] == F.col("k2"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches, "text"):
@@ -341,19 +339,19 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                 kept.append(b" ".join(w for w, g in zip(words, gone, strict=False) if not g).decode() if marks
                             else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("did"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                [chunk.column("did"), chunk.column("k1"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.string()),
                  pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
-                names=["did", "n_words", "n_removed", "kept", "spans"])
+                names=["did", "k1", "n_words", "n_removed", "kept", "spans"])
 
-    return joined.mapInArrow(cut, "did long, n_words long, n_removed long, kept string, "
+    return joined.mapInArrow(cut, "did long, k1 long, n_words long, n_removed long, kept string, "
                                   "spans array<struct<start: int, stop: int>>")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document."""
     cut = dedup_substrings(docs)
-    return cut.select(id_of(F.col("did")).alias("doc_id"), "n_words", "n_removed",
+    return cut.select(key_id().alias("doc_id"), "n_words", "n_removed",
                       F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 

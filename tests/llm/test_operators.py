@@ -78,8 +78,8 @@ def test_line_dedup(docs, empty):
                     kept.append(line)
             done[i, text] = (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
         want.append((i if i != -2**63 else None, *done[i, text]))
-    assert key(linededup.report(docs).collect()) == key(want)
-    cleaned = linededup.dedup_lines(docs)
+    assert key(linededup.report(docs, least_words=3).collect()) == key(want)
+    cleaned = linededup.dedup_lines(docs, least_words=3)
     assert cleaned.columns == docs.columns and cleaned.count() == len(ROWS)
     assert cleaned.where("doc_id = 4").first()["text"] is None
     assert linededup.report(empty).count() == 0
@@ -99,6 +99,7 @@ def test_short_lines(spark, tmp_path):
             seen.add(words)
         want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     got = QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()
+    assert key(linededup.report(docs).collect()) == key(got)  # only blank lines stay by default
     assert key(got) == key([(i, n, gone, sha(t)) for i, n, gone, t in want])
     stage = corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"]: r["text"] or "" for r in stage} == {i: t for i, _, _, t in want}
@@ -301,6 +302,49 @@ def test_packing(docs, empty):
     assert packing.piece_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", " \n" * 500_000, "a" + "\t" * 20_000 + "b <|endoftext|>"])
+def test_packing_long_blanks(text):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    assert packing.token_ids(TOKENIZER, text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_blanks_below_the_bound(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for n in (1, 2, 100, packing.LONG_BLANK - 1, packing.LONG_BLANK, packing.LONG_BLANK + 1):
+        for text in (" " * n + "x", "x" + "\n" * n, "x" + " " * n + "\n y"):
+            assert packing.token_ids(TOKENIZER, text) == tokenizer.encode(text, add_special_tokens=False).ids
+    rows = [(1, " " * 1_000_000), (2, "a b"), (3, "x" + "\n" * 300_000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, with_tokens=False)
+    assert {r["doc_id"] for r in got.collect()} == {1, 2, 3}
+
+
+# 32-bit text hashes of these two are equal: rows without an id that only the text tells apart
+TWINS = [f"unique text number {n} of the table" for n in (52435, 277545)]
+
+
+def test_twins_without_id(spark):
+    shared = " ".join(f"shared{i}" for i in range(33))
+    frame = spark.createDataFrame([(None, t) for t in TWINS], "doc_id long, text string")
+    assert frame.select(F.countDistinct(F.hash("text"))).first()[0] == 1
+    assert {r["text"] for r in simhash.keep_one(frame).collect()} == set(TWINS)
+    rows = [(None, f"unique text number {n} of the table\n{shared}") for n in (75352, 120805)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert frame.select(F.countDistinct(F.hash("text"))).first()[0] == 1
+    assert sorted(r["n_removed"] for r in substrings.report(frame).collect()) == [0, 36]  # "of the table" too
+    assert sorted(r["n_removed"] for r in linededup.report(frame).collect()) == [0, 1]
+    assert sorted(len(r["text"].split("\n")) for r in linededup.dedup_lines(frame).collect()) == [1, 2]
+
+
+def test_smallest_id_is_no_null(spark):
+    rows = [(-2**63, "line one of the text\nline two of it"), (None, "line one of the text\nanother line here"), (1, "line one of the text")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for got in (linededup.report(frame), substrings.report(frame), simhash.report(frame)):
+        assert {r["doc_id"] for r in got.collect()} == {-2**63, None, 1}
+
+
 def test_page_lines():
     lines, kinds = html.page_lines(
         "<title>t</title><div class='site nav'>menu</div><p>a&nbsp;b<b>c</b><!-- x --><script>var s='</p>'</script>"
