@@ -56,7 +56,7 @@ from .common import key_id, row_key, width, written
 WINDOW, GRAM = 400, 64
 RUN = 1 << 10  # windows of a piece
 CLASSES = 8
-OFTEN = 1 << 11  # unequal pieces that a shard takes of one key
+OFTEN = 1 << 9  # unequal pieces that a shard takes of one key
 MOST_HOT = 1 << 12  # keys that are broadcast as hot, by the bar that their counts must pass
 FLUSH = 1 << 17  # pieces
 SEGMENT = 1 << 20  # bytes; a place in a segment with its windows takes PLACE bits
