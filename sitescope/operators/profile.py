@@ -14,7 +14,7 @@ from pyspark.sql.types import NumericType
 from .. import constants as K
 from ..functions import np_round
 from ..session import materialize
-from .ranges import exact_quantiles
+from .profile_state import profile_table, state_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -48,11 +48,20 @@ def duplicate_rows(df: DataFrame, cols=None, digest=None) -> DataFrame:
     beyond it. Partial aggregation collapses hot duplicates in both phases.
     """
     cols = list(cols or df.columns)
+    hashed, d = _digested(df, cols, digest)
+    again = materialize(hashed.groupBy(d).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(d))
+    return _verified(hashed, d, cols, again)
+
+
+def _digested(df: DataFrame, cols, digest=None) -> tuple[DataFrame, str]:
     d = "_digest"
     while d in df.columns:
         d += "_"
-    hashed = df.withColumn(d, F.xxhash64(*cols) if digest is None else digest)
-    again = materialize(hashed.groupBy(d).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(d))
+    return df.withColumn(d, F.xxhash64(*cols) if digest is None else digest), d
+
+
+def _verified(hashed: DataFrame, d: str, cols, again: DataFrame) -> DataFrame:
+    """Extra copies among the rows whose digest is one of ``again`` (a written table), by value."""
     few = again.count() <= MOST_DIGESTS
     suspects = hashed.join(F.broadcast(again) if few else again, d, "left_semi")
     g = suspects.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
@@ -74,11 +83,11 @@ def quantiles(df: DataFrame, cols, probs, accuracy: int | None = None) -> dict[s
     """{column: quantiles}.
 
     ``accuracy=None``: exact, linear interpolation (pandas' default), see
-    ``ranges.exact_quantiles``; else ``percentile_approx`` at that accuracy.
+    ``profile_state``; else ``percentile_approx`` at that accuracy.
     """
     cols = list(cols)
     if accuracy is None:
-        return exact_quantiles(df, cols, list(probs))
+        return state_quantiles(df, cols, list(probs))
     if not cols:
         return {}
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [float(p) for p in probs], accuracy).alias(f"q{i}")
@@ -103,10 +112,14 @@ def _outside(c: str, lo, hi):
 def iqr_outliers(df: DataFrame, cols=None, accuracy: int | None = None, keep_zero: bool = False) -> DataFrame:
     """Per numeric column: q1, q3, fences and the count strictly outside them.
 
-    The quartiles of all columns come first; one more pass counts the outliers
-    of every column in one aggregate.
+    Two passes, see ``profile_state``; with ``accuracy``, approximate quartiles and one
+    more pass that counts the outliers of every column in one aggregate.
     """
     cols = list(cols or numeric_columns(df))
+    if accuracy is None:
+        _, found, outliers, _ = profile_table(df.select(*cols), None)
+        rows = [(c, *found[c], outliers[c]) for c in cols if keep_zero or outliers[c]]
+        return df.sparkSession.createDataFrame(rows, "column string, q1 double, q3 double, lower double, upper double, n_outliers long")
     fences = _fences(df, cols, accuracy)
     row = df.agg(*[_outside(c, *fences[c][2:]).alias(f"n__{c}") for c in cols])
     cells = []
@@ -219,15 +232,37 @@ def auto_histograms(df: DataFrame, features, label: str = K.LABEL_COL) -> DataFr
                     ((F.col("bin") + 1) * F.col("step")).alias("bin_hi"), "n")
 
 
-def quality_report(df: DataFrame, label: str = K.LABEL_COL, accuracy: int | None = None) -> DataFrame:
+def _exact_report(df: DataFrame, label: str, state: DataFrame | None) -> DataFrame:
+    hashed, d = _digested(df, df.columns)
+    profile, fences, outliers, again = profile_table(df, label, state, F.xxhash64(*df.columns))
+    repeated = again.withColumnRenamed("d", d)
+    n_dupes = 0 if repeated.isEmpty() else _verified(hashed, d, df.columns, repeated).first()[0]
+    missing = {c: v.missing for c, v in profile.columns.items()}
+    rows = [("n_rows", None, profile.rows), ("n_cols", None, len(df.columns)), ("n_dupes", None, n_dupes)]
+    rows += [("missing", c, n) for c, n in missing.items() if n]
+    rows.append(("total_missing", None, sum(missing.values())))
+    rows += [("outliers", c, n) for c, n in outliers.items() if n]
+    if label in df.columns:
+        n0, n1 = (profile.classes.get(y, 0) for y in (0, 1))
+        rows += [("class_balance", str(y), n) for y, n in ((0, n0), (1, n1)) if n]
+        rows.append(("class_ratio", None, round(n1 / max(n0 or 1, 1) * 1000) / 1000))
+    return df.sparkSession.createDataFrame([(m, c, float(v)) for m, c, v in rows], "metric string, column string, value double")
+
+
+def quality_report(df: DataFrame, label: str = K.LABEL_COL, accuracy: int | None = None,
+                   state: DataFrame | None = None) -> DataFrame:
     """Long-form report (metric, column, value): rows, columns, duplicates,
     missing per column and total, IQR outliers per numeric column, class counts
     and class ratio.
 
-    The quartiles come first; then one profile aggregate (row count, missing
-    cells and outliers per column, class counts) and the duplicate count,
-    whatever the table's width. Everything else is arithmetic on one row.
+    The table is read twice (see ``profile_state``): for the counts per value bucket,
+    missing cells and classes, then for the values of the buckets that hold a wanted rank
+    or fence and for the digests of its rows. Rows whose digests repeat, if any do, are
+    read once more and compared by value. ``state``: stored states of the table's loads, which replace
+    the first read. ``accuracy``: approximate quartiles, by the aggregates below instead.
     """
+    if accuracy is None:
+        return _exact_report(df, label, state)
     nums = numeric_columns(df)
     has_label = label in df.columns
 

@@ -1,5 +1,4 @@
-"""Exact ranks without a global sort: distinct values are counted, counted
-values fall into range buckets, and rows are ordered within a bucket only."""
+"""Range buckets: running sums in value order without a task that sees all values."""
 
 from __future__ import annotations
 
@@ -30,45 +29,3 @@ def with_buckets(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     temp = [f"{b}_" for b in cols.values()]
     cut = Bucketizer(inputCols=list(cols), outputCols=temp, splitsArray=splits, handleInvalid="keep").transform(df)
     return cut.withColumns({b: F.col(t).cast("int") for b, t in zip(cols.values(), temp, strict=True)}).drop(*temp)
-
-
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Quantiles by linear interpolation between ranks; null and NaN are left out.
-
-    Rows are first counted per bucket. Only values of the buckets that hold a wanted
-    rank are shuffled, as counts of distinct values, and each bucket is ordered by a
-    task of its own. A few numbers per column come back.
-    """
-    if not cols:
-        return {}
-    staged = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    staged = with_buckets(staged, {f"v{i}": f"b{i}" for i in range(len(cols))})
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b"), F.col(f"v{i}").alias("v"))
-                      for i in range(len(cols))])
-    values = staged.select(F.inline(cells)).where("v is not null and not isnan(v)")
-    # at most `width` rows per column
-    order = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = values.groupBy("i", "b").agg(F.count(F.lit(1)).alias("m")).select(
-        "i", "b", "m", (F.sum("m").over(order) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("i")).alias("n"))
-    places = []
-    for q, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        places += [F.struct(F.lit(q).alias("q"), F.lit(s).alias("side"), place.cast("long").alias("r"), at.alias("at"))
-                   for s, place in ((0, F.floor(at)), (1, F.ceil(at)))]
-    wanted = totals.select("i", "b", "m", "before", F.inline(F.array(*places))).where("r >= before and r < before + m")
-    # two rows per column and quantile at most
-    wanted = df.sparkSession.createDataFrame(wanted.drop("m").collect(), "i int, b int, before long, q int, side int, r long, at double")
-    near = values.join(F.broadcast(wanted.select("i", "b", "before").distinct()), ["i", "b"]).groupBy("i", "b", "before", "v").agg(
-        F.count(F.lit(1)).alias("m"))
-    run = Window.partitionBy("i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.withColumn("upto", F.col("before") + F.sum("m").over(run))
-    hit = (near.select("i", "b", "v", "upto", F.col("m").alias("copies"))
-           .join(F.broadcast(wanted.select("i", "b", "q", "side", "r", "at")), ["i", "b"])
-           .where("r < upto and r >= upto - copies"))
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for row in hit.groupBy("i", "q").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("low"),
-                                         F.max(F.when(F.col("side") == 1, F.col("v"))).alias("high"),
-                                         F.max("at").alias("at")).collect():
-        part = row["at"] - int(row["at"])
-        out[cols[row["i"]]][row["q"]] = row["low"] if row["low"] == row["high"] else row["low"] + (row["high"] - row["low"]) * part
-    return out

@@ -1,13 +1,17 @@
 """Stored districts, roll-up states, duplicates by digest, reduced curves, late rows, node tables."""
 
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from sitescope.operators import districts as D
 from sitescope.operators import evaluate as EV
 from sitescope.operators import profile as PR
+from sitescope.operators import profile_state as PS
 from sitescope.operators import rollup_state as RS
 from sitescope.sources import fixtures as fx
 from sitescope.sources import lookup_stored, store_districts, stored_districts
@@ -108,3 +112,71 @@ def test_late_rows_and_final_windows(spark, tmp_path):
     assert final == {0: 2, 30: 1, 180: 1, 210: 1}
     run_wave(stream, "ts", out)  # nothing new: nothing changes
     assert spark.read.parquet(f"{out}/final").count() == 4 and late_rows(spark, out, stream.schema).count() == 2
+
+
+SPREAD = [0.0, -0.0, 1.0, -1.0, 1e300, -1e300, 5e-324, -5e-324, math.inf, -math.inf, 1e-5, 1e-5 * (1 + 1e-15), 3.0, 7.0]
+
+
+def test_buckets_ascend(spark):
+    rng = np.random.default_rng(3)
+    values = SPREAD + [float(x) for x in np.concatenate([rng.normal(size=300), 2.0 ** rng.uniform(-1070, 1020, 300), 2.0 ** np.arange(-50, 50)])]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = sorted((r["x"], r["b"]) for r in df.select("x", PS.value_bucket(F.col("x")).alias("b")).collect())
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and {b for x, b in got if x == 0} == {0}
+    assert spark.range(1).select(PS.value_bucket(F.lit(float("nan")))).first()[0] is None
+
+
+@pytest.mark.parametrize("kind", ["normal", "narrow", "ties", "mixed"])
+def test_exact_quartiles_and_fences(spark, kind):
+    rng = np.random.default_rng(8)
+    x = {"normal": rng.normal(50, 20, 4001), "narrow": 1.7e9 + rng.random(4001), "ties": rng.integers(0, 4, 4001) * 1.0,
+         "mixed": np.concatenate([rng.normal(0, 1, 2000), rng.exponential(1e6, 2001)])}[kind]
+    df = spark.createDataFrame([(float(v), None) for v in x] + [(None, 1.0), (float("nan"), None)], "x double, y double").repartition(4)
+    q1, q3 = np.percentile(x, [25, 75])
+    got = {r["column"]: r for r in PR.iqr_outliers(df, keep_zero=True).collect()}
+    assert (got["x"]["q1"], got["x"]["q3"]) == pytest.approx((q1, q3), rel=1e-15)
+    lo, hi = got["x"]["lower"], got["x"]["upper"]
+    assert got["x"]["n_outliers"] == int(((x < lo) | (x > hi)).sum()) and got["y"]["n_outliers"] == 0
+    deciles = PR.quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.9, 1.0])["x"]
+    assert deciles == pytest.approx(list(np.percentile(x, [0, 10, 50, 90, 100])), rel=1e-14)
+
+
+def test_states_of_loads_add_up(spark, tmp_path):
+    rng = random.Random(5)
+    data = [(rng.gauss(3, 9) if rng.random() < 0.9 else None, rng.choice("ab") if rng.random() < 0.8 else None, rng.randrange(2)) for _ in range(900)]
+    data += data[:40]
+    df = spark.createDataFrame(data, "x double, name string, Suitability int").repartition(3)
+    path = str(tmp_path / "profile")
+    parts = [spark.createDataFrame(data[i::4], df.schema) for i in range(4)]
+    for i in (0, 1, 2, 3, 2):
+        PS.add_profile(parts[i], path, i)
+    state = PS.stored_profile(spark, path)
+    assert rows(PS.merge_states(state)) == rows(PS.merge_states(PS.profile_state(df)))
+    assert rows(PR.quality_report(df, state=state)) == rows(PR.quality_report(df))
+    report = {(r["metric"], r["column"]): r["value"] for r in PR.quality_report(df, state=state).collect()}
+    assert report["n_rows", None] == 940 and report["n_dupes", None] == 940 - len(set(data))
+    assert report["missing", "name"] == sum(r[1] is None for r in data)
+    assert report["class_balance", "1"] == sum(r[2] for r in data)
+
+
+def test_report_reads_its_table_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(5000).select((F.col("id") % 997).cast("double").alias("x"), F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("Suitability"))
+    df = df.mapInArrow(counted, df.schema)
+    PR.quality_report(df).collect()
+    assert read.value == 2 * 5000  # no row repeats: none is read a third time
+
+
+def test_report_of_empty_and_infinite_columns(spark):
+    empty = spark.createDataFrame([], "x double, Suitability int")
+    assert {r["metric"]: r["value"] for r in PR.quality_report(empty).collect()}["n_rows"] == 0
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(SPREAD)], "x double, Suitability int")
+    assert PR.quality_report(df).count() > 0
+    many = spark.createDataFrame([(math.inf, 1)] * 9 + [(1.0, 0)], "x double, Suitability int")
+    assert PR.quantiles(many, ["x"], [0.25, 0.75])["x"] == [math.inf, math.inf] and PR.quality_report(many).count() > 0
