@@ -12,11 +12,11 @@ left. Lines of fewer than ``least_words`` words always stay: by default only bla
 1. Equal lines meet by hash; the earliest represents them.
 2. One edit leaves the first or the last four words of two lines equal, so only
    representatives that share such an end with another line go on.
-   Short representatives all go on.
+   Of short representatives, those go on that share one half of their characters.
 3. Each of these emits the hash of itself and of every variant with one word
    (short lines: one character) left out. Equal variants meet: two lines that
    lack the same place differ by a replacement, a line and a variant by an insertion.
-4. The words of each pair are fetched, and their edit distance is verified.
+4. The words of each pair are joined to it, and their edit distance is verified.
 
 Keys move in packed exchanges. Within a task, entries that repeat a key are
 resolved against the task's earliest before the shuffle, so that a very common
@@ -107,9 +107,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 POSITION = [*ROW, "line"]
-OTHER = ["did2", "k12", "k22", "line2"]
-VARIANT = (np.uint64, np.int32, np.int64, np.int64, np.int64, np.int32)
-PAIR = (np.int64, np.int64, np.int64, np.int32) * 2
+# Variants carry a shorter place than POSITION. Two lines that share it by chance are told apart
+# again where the words are joined to a pair, before it is verified.
+SPOT, OTHER = ["did", "k1", "line"], ["did2", "k12", "line2"]
+VARIANT = (np.uint64, np.int32, np.int64, np.int64, np.int32)
+PAIR = (np.int64, np.int64, np.int32) * 2
 
 
 def _joined(line: str) -> str:
@@ -120,18 +122,46 @@ def _char_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8, person=b"chars").digest(), "little")
 
 
+def _half_keys(line: str) -> list[int]:
+    """Hashes of the halves that one edited character leaves as they are: a line of as many
+    characters, or of one more or less, within one character shares one of them."""
+    n = len(line)
+    half, less = n // 2, (n - 1) // 2
+    parts = [(n, 0, line[:half]), (n, 1, line[half:]), (-n, 0, line[:half]), (-n, 1, line[half:]),
+             (1 - n, 0, line[:less]), (1 - n, 1, line[less + 1:])]
+    return [_char_hash(f"{size} {side} {part}") - (1 << 63) for size, side, part in parts]
+
+
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each wanted line, its number of words, and the half keys of short ones."""
+    for chunk in A.chunks(batches, "text"):
+        owner, lines, words, sizes, keys = [], [], [], [], []
+        k1, k2 = (chunk.column(c).to_pylist() for c in ROW[1:])
+        for d, (text, wanted) in enumerate(zip(chunk.column("text").to_pylist(), chunk.column("wanted").to_pylist(), strict=True)):
+            own = [x["line"] for x in wanted if x["k1"] == k1[d] and x["k2"] == k2[d]]
+            held = text.split("\n") if own else []
+            for n in own:
+                size = len(held[n].encode().split())
+                owner.append(d)
+                lines.append(n)
+                words.append(held[n])
+                sizes.append(size)
+                keys.append(_half_keys(_joined(held[n])) if CHAR_WORDS <= size <= FUZZY_WORDS else [])
+        at = pa.array(owner, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [*(chunk.column(c).take(at) for c in ROW), pa.array(lines, pa.int32()), pa.array(words, pa.string()),
+             pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=[*POSITION, "words", "n", "keys"])
+
+
 def _variants(n_buckets: int):
-    """Flushes of (hash, left-out word or character or -1, did, k1, k2, line), and of pairs that the flush itself shows."""
+    """Flushes of (hash, left-out word or character or -1, did, k1, line), and of pairs that the flush itself shows."""
     def parts(batches):
-        for chunk in A.chunks(batches, "text"):
-            words, sums, rows, number, first, end = _lines(chunk.column("text"))
-            ids = [chunk.column(c).to_numpy(zero_copy_only=False) for c in ROW]
-            wanted = {(d, x["k1"], x["k2"], x["line"]) for d, xs in enumerate(chunk.column("wanted").to_pylist()) for x in xs}
-            use = np.array([(r, ids[1][r], ids[2][r], k) in wanted for r, k in zip(rows, number, strict=True)], dtype=bool)
-            rows, number, first, end = rows[use], number[use], first[use], end[use]
-            yield from by_chars(chunk.column("text"), ids, rows, number, end - first)
+        for chunk in A.chunks(batches, "words"):
+            words, sums, rows, _, first, end = _lines(chunk.column("words"))
+            ids = [chunk.column(c).to_numpy(zero_copy_only=False) for c in SPOT]
+            yield from by_chars(chunk.column("words"), ids, rows, end - first)
             use = end - first >= FUZZY_WORDS
-            rows, number, first, end = rows[use], number[use], first[use], end[use]
+            rows, first, end = rows[use], first[use], end[use]
             n = end - first
             owner = np.repeat(np.arange(len(n)), n)
             out = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -143,30 +173,25 @@ def _variants(n_buckets: int):
             whole = A.span_hash(sums, "word", first, end)
             which = np.concatenate([owner, np.arange(len(n))])
             yield [np.concatenate([h, whole]), np.concatenate([out, np.full(len(n), -1)]).astype(np.int32),
-                   *(x[rows][which] for x in ids), number.astype(np.int32)[which]]
+                   *(x[rows][which] for x in ids)]
 
-    def by_chars(texts, ids, rows, number, n):
-        # a space more makes eight words of seven
-        short = np.flatnonzero((n >= CHAR_WORDS) & (n <= FUZZY_WORDS))
-        row, lines = -1, []
+    def by_chars(texts, ids, rows, n):
         h, out, which = [], [], []
-        for i in short:
-            if rows[i] != row:
-                row = rows[i]
-                lines = texts[int(row)].as_py().split("\n")
-            line = _joined(lines[number[i]])
+        # a space more makes eight words of seven
+        for i in np.flatnonzero((n >= CHAR_WORDS) & (n <= FUZZY_WORDS)):
+            line = _joined(texts[int(rows[i])].as_py())
             h.append(_char_hash(line))
             h.extend(_char_hash(line[:k] + line[k + 1:]) for k in range(len(line)))
             out.extend(range(-1, len(line)))
-            which.extend([i] * (len(line) + 1))
+            which.extend([rows[i]] * (len(line) + 1))
             if len(h) >= FLUSH:
-                yield entries(h, out, which, ids, rows, number)
+                yield entries(h, out, which, ids)
                 h, out, which = [], [], []
         if h:
-            yield entries(h, out, which, ids, rows, number)
+            yield entries(h, out, which, ids)
 
-    def entries(h, out, which, ids, rows, number):
-        return [np.array(h, np.uint64), np.array(out, np.int32), *(x[rows[which]] for x in ids), number[which].astype(np.int32)]
+    def entries(h, out, which, ids):
+        return [np.array(h, np.uint64), np.array(out, np.int32), *(x[which] for x in ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush in A.flushes(parts(batches), FLUSH):
@@ -185,9 +210,9 @@ def _variants(n_buckets: int):
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: pairs of a line and an earlier one that share a variant."""
     members, pairs = A.unpack_kinds(batches, VARIANT, PAIR)
-    at = np.lexsort((members[5], members[4], members[3], members[2], members[1], members[0]))
+    at = np.lexsort(members[::-1])
     h, out, *place = (x[at] for x in members)
-    left, right = [pairs[:4]], [pairs[4:]]
+    left, right = [pairs[:3]], [pairs[3:]]
     # the same word left out: each to the earliest
     new = A.run_starts(h, out)
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
@@ -206,15 +231,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     late, early = np.where(after, y, w), np.where(after, w, y)
     left.append([p[late] for p in place])
     right.append([p[early] for p in place])
-    cols = [np.concatenate([side[k] for side in group]) for group in (left, right) for k in range(4)]
-    other = A.differ(cols[:4], cols[4:])
+    cols = [np.concatenate([side[k] for side in group]) for group in (left, right) for k in range(3)]
+    other = A.differ(cols[:3], cols[3:])
     cols = [c[other] for c in cols]
     for i in range(0, max(1, len(cols[0])), 65_536):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65_536]) for c in cols], names=[*POSITION, *OTHER])
+        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 65_536]) for c in cols], names=[*SPOT, *OTHER])
 
 
 def _later(a, b) -> np.ndarray:
-    """Whether position a = (did, k1, k2, line) comes after b."""
+    """Whether place a = (did, k1, line) comes after b."""
     late, same = np.zeros(len(a[0]), dtype=bool), np.ones(len(a[0]), dtype=bool)
     for x, y in zip(a, b, strict=True):
         late |= same & (x > y)
@@ -271,20 +296,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short = settled.where(~F.col("copy") & F.col("n").between(CHAR_WORDS, FUZZY_WORDS)).select(*POSITION)
     wanted = (ends.join(shared, "end").select(*POSITION).union(short).groupBy("did")
               .agg(F.collect_set(F.struct("k1", "k2", "line")).alias("wanted")))
-    met = (base.join(wanted, "did").select(*ROW, "text", "wanted")
-           .mapInArrow(_variants(n), A.BUCKET_SCHEMA).repartitionById(n, F.col("bucket"))
-           .mapInArrow(_meet, f"{places}, did2 long, k12 long, k22 long, line2 int"))
+    # the texts are exchanged once for this and once to take the repeated lines out
+    fetched = written(base.join(wanted, "did").select(*ROW, "text", "wanted")
+                      .mapInArrow(_wanted_lines, f"{places}, words string, n int, keys array<bigint>").dropDuplicates(POSITION), "wanted")
+    halves = fetched.select(*POSITION, F.explode("keys").alias("half"))
+    met_halves = halves.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half")
+    alike = halves.join(met_halves, "half").select(*POSITION).distinct()
+    long = F.col("n") >= FUZZY_WORDS  # these share an end of words, or have a word more than a short line
+    use = fetched.where(long).union(fetched.where(~long).join(alike, POSITION, "left_semi")).select(*SPOT, "words")
+    spots = "did long, k1 long, line int"
+    met = (use.mapInArrow(_variants(n), A.BUCKET_SCHEMA).repartitionById(n, F.col("bucket"))
+           .mapInArrow(_meet, f"{spots}, did2 long, k12 long, line2 int"))
     pairs = written(met.distinct(), "pairs")
-
-    needed = (pairs.select(*POSITION).union(pairs.select(*OTHER)).groupBy("did")
-              .agg(F.collect_set(F.struct("k1", "k2", "line")).alias("needed")))
-    fetched = (base.join(needed, "did")
-               .select(*ROW, _numbered_lines(F.col("text")).alias("lines"),
-                       F.explode(F.filter("needed", lambda x: (x["k1"] == F.col("k1")) & (x["k2"] == F.col("k2")))).alias("x"))
-               .select(*ROW, F.col("x.line").alias("line"),
-                       F.get("lines", F.col("x.line")).alias("words"))).distinct()
-    other = fetched.select(*[F.col(c).alias(c2) for c, c2 in zip(POSITION, OTHER, strict=True)], F.col("words").alias("b"))
-    close = (pairs.join(fetched.withColumnRenamed("words", "a"), POSITION).join(other, OTHER)
+    other = fetched.select(F.col("did").alias("did2"), F.col("k1").alias("k12"), F.col("k2").alias("k22"), F.col("line").alias("line2"),
+                           F.col("words").alias("b"))
+    later = F.struct(*POSITION) > F.struct("did2", "k12", "k22", "line2")
+    close = (pairs.join(fetched.select(*POSITION, F.col("words").alias("a")), SPOT).join(other, OTHER).where(later)
              .select(*POSITION, "a", "b").mapInArrow(_verify, places))
     return exact.union(close)
 

@@ -458,3 +458,12 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs.limit(0), SF_SMALL).columns == columns
+
+
+def test_half_keys():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a = "".join(rng.choice(list("abü "), int(rng.integers(1, 12))))
+        k, c = int(rng.integers(0, len(a))), str(rng.choice(list("abü ")))
+        for b in (a[:k] + a[k + 1:], a[:k] + c + a[k + 1:], a[:k] + c + a[k:]):
+            assert set(linededup._half_keys(a)) & set(linededup._half_keys(b))
