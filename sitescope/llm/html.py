@@ -9,9 +9,13 @@ the host's template.
 Differencing alone cannot tell a menu that differs from page to page from
 text, nor a paragraph that two articles share from a template. So the markup
 has a say: lines in elements made for menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments always go, and lines inside an
-``article`` or ``main`` element are never taken for template. Differencing
-decides about all other lines. A copy of the page is no partner, as it says
+notices, adverts, forms and reader comments go, and lines inside an
+``article`` or ``main`` element are never taken for template. An element that only
+its class, id or role names so (or a form) is kept after all if it holds the page's
+only ``article`` or ``main``, and a form if it holds most of the page's text: such
+names are given to layouts too. Names count as whole words, or as
+compounds of such words and words of place (``cookie-banner``, not ``has-sidebar``
+or ``toc-entry``). Differencing decides about all other lines. A copy of the page is no partner, as it says
 nothing about the template.
 
 Pages are range-partitioned by (host, path, id), so a host of any size spreads
@@ -42,6 +46,7 @@ RAW = "script|style|title|textarea|noscript|template|iframe|svg|math|object|canv
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.IGNORECASE | re.DOTALL)
+CLOSED = re.compile(r"-->\Z|</[a-z]+\s*>\Z", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -53,6 +58,7 @@ CONTAINER = frozenset(
 DROPPED = frozenset("aside button dialog fieldset footer form head menu nav search select".split())
 MAIN = frozenset(["article", "main"])
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+DEEP = 256  # dropped elements around a line that are told apart; those deeper go with the ones around them
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 # Words in class, id or role that name something other than the main text.
 NAMES = frozenset(
@@ -63,37 +69,81 @@ NAMES = frozenset(
     "subscribe toc toolbar widget".split())
 
 
-def _is_dropped(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_main:
+# Words of place and kind that may stand beside a name in a compound.
+BESIDE = frozenset(
+    "area bar block bottom box container global inner left link links list main mobile outer page primary right secondary section "
+    "site sticky sub top widget wrap wrapper zone".split())
+SOFT_TAGS = frozenset(["form"])
+
+
+def _names(word: str) -> bool:
+    """Whether a class, id or role names something other than the main text."""
+    if word in NAMES:
         return True
+    parts = re.split("[-_]+", word)
+    return len(parts) > 1 and not NAMES.isdisjoint(parts) and all(x in NAMES or x in BESIDE for x in parts)
+
+
+def _dropped_as(tag: str, attributes: str, in_main: bool) -> str | None:
+    """None for an element that stays, "hard" for one that goes, "soft" for one that goes unless the main text is in it."""
+    if tag in SOFT_TAGS:
+        return "soft"
+    if tag in DROPPED or tag == "header" and not in_main:
+        return "hard"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return None
     if HIDDEN.search(attributes):
-        return True
+        return "hard"
     for m in ATTRIBUTE.finditer(attributes):
-        for word in re.split(r"[\s_]+", (m[2] or m[3] or m[4] or "").lower()):
-            if word in NAMES or not NAMES.isdisjoint(word.split("-")):
-                return not (in_main and word in ("header", "byline"))
-    return False
+        for word in (m[2] or m[3] or m[4] or "").lower().split():
+            if _names(word) and not (in_main and word in ("header", "byline")):
+                return "soft"
+    return None
+
+
+class _Element:
+    """An element that is dropped: how, whether the main text opens in it, and the characters in it."""
+
+    def __init__(self, tag: str, soft: bool) -> None:
+        self.tag, self.soft, self.holds_main, self.chars = tag, soft, False, 0
+
+
+def _tokens(html: str) -> Iterator[tuple[re.Match | None, str]]:
+    """(tag or None, text before it). No tag begins behind the last ``>``: a reader that looks for
+    its end from every open ``<`` would take quadratic time."""
+    end, at, last = html.rfind(">") + 1, 0, None
+    for m in TOKEN.finditer(html, 0, end):
+        yield m, html[at:m.start()]
+        at, last = m.end(), m
+    unclosed = last is not None and at == end and (last[1] or last[0].startswith("<!--")) and not CLOSED.search(last[0])
+    yield None, "" if unclosed else html[at:]
 
 
 def page_lines(html: str) -> tuple[list[str], list[int]]:
     """Lines of a page and what the markup says of each: 0 nothing, 1 main text, 2 not main text."""
-    lines, kinds, text = [], [], []
-    stack: list[tuple[str, int, int]] = []  # element, dropped and main elements open with it
-    dropped = main = at = 0
+    lines: list[str] = []
+    seen: list[tuple[tuple[_Element, ...], bool]] = []  # of each line: the dropped elements around it, whether in the main text
+    text: list[str] = []
+    stack: list[tuple[str, tuple[_Element, ...], int]] = []  # element, what was around it
+    places: dict[str, list[int]] = {}  # of each element's open tags in the stack
+    containers: list[int] = []
+    around: tuple[_Element, ...] = ()
+    main = 0
 
     def flush() -> None:
         line = " ".join(unescape("".join(text)).split())
         text.clear()
         if line:
             lines.append(line)
-            kinds.append(2 if dropped else 1 if main else 0)
-
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            text.append(html[at:m.start()])
-        at = m.end()
+            seen.append((around, main > 0))
+            for e in around:
+                e.chars += len(line)
+
+    for m, before in _tokens(html):
+        if before:
+            text.append(before)
+        if m is None:
+            break
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             if m[1] and m[1].lower() in ("textarea", "title", "iframe", "object", "video", "audio"):
@@ -103,23 +153,39 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             flush()
         attributes = (m[4] if m[3] else m[7]) or ""
         if m[2] or m[5]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    dropped, main = stack[i][1], stack[i][2]
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINER and tag not in CONTAINER:
-                    break
+            held = places.get(tag)
+            # a closing tag of a small element does not reach beyond the innermost container
+            if held and (tag in CONTAINER or not containers or held[-1] > containers[-1]):
+                flush()
+                i = held[-1]
+                around, main = stack[i][1], stack[i][2]
+                while len(stack) > i:
+                    name = stack.pop()[0]
+                    places[name].pop()
+                    if name in CONTAINER:
+                        containers.pop()
         elif tag not in VOID and not attributes.endswith("/"):
-            drop, inner = _is_dropped(tag, attributes, main > 0), tag in MAIN
-            if drop or inner or tag in CONTAINER or dropped:
+            drop, inner = _dropped_as(tag, attributes, main > 0), tag in MAIN
+            if drop or inner or tag in CONTAINER or around:
                 if drop or inner:
                     flush()
-                stack.append((tag, dropped, main))
-                dropped, main = dropped + drop, main + inner
-    text.append(html[at:])
+                places.setdefault(tag, []).append(len(stack))
+                if tag in CONTAINER:
+                    containers.append(len(stack))
+                stack.append((tag, around, main))
+                if drop and len(around) < DEEP:  # deeper ones are dropped with what is around them
+                    around = (*around, _Element(tag, drop == "soft"))
+                if inner and not main:
+                    for e in around:
+                        e.holds_main = True
+                main += inner
     flush()
+    outside = any(in_main and not drops for drops, in_main in seen)
+    rest = sum(len(line) for line, (drops, _) in zip(lines, seen, strict=True) if all(e.soft for e in drops))
+    kinds = []
+    for drops, in_main in seen:
+        gone = any(not (e.soft and (e.holds_main and not outside or e.tag in SOFT_TAGS and 2 * e.chars > rest)) for e in drops)
+        kinds.append(2 if gone else 1 if in_main else 0)
     return lines, kinds
 
 

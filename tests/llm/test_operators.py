@@ -354,6 +354,46 @@ def test_page_lines():
                                        ("end", 1), ("c1", 2), ("c2", 2), ("tail <p>", 0), ("z", 2)]
 
 
+STORY = "<p>Main story that goes on for a while.</p><p>And a second part.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><article>{STORY}</article></div>", f"<div id='page' class='ad-free'>{STORY}</div>",
+    f"<div class='search-results'><article>{STORY}</article></div>", f"<form id='aspnetForm'><nav>menu</nav><div>{STORY}</div></form>",
+    f"<div class='sidebar'><main>{STORY}</main></div>", f"<div class='toolbar'><article>{STORY}</article></div><div class=comments><p>c</p></div>"])
+def test_articles_stay(page):
+    lines, kinds = html.page_lines(f"<body><nav>menu</nav>{page}<footer>foot</footer>")
+    kept = [x for x, k in zip(lines, kinds) if k != 2]
+    assert kept == ["Main story that goes on for a while.", "And a second part."]
+
+
+def test_names_inside_an_article():
+    page = ("<article><p>One</p><div class='toc-entry'>two</div><div class='form-group'>three</div><div class='cookie-notice'>x</div>"
+            "<div class='site_footer'>y</div><form>z<input></form><div class=comments><article>reader</article></div></article>")
+    lines, kinds = html.page_lines(page)
+    assert [x for x, k in zip(lines, kinds) if k == 1] == ["One", "two", "three"]
+
+
+@pytest.mark.parametrize("piece", ["<div ", "<textarea", "<a \"", "<a '", "<!--", "<script>", "<b", "</p", "<div>", "</div>", "<form class=ad>"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+    began = time.process_time()
+    html.page_lines(piece * 60_000)
+    html.page_lines("<p>text</p>" + piece * 60_000 + ">")
+    assert time.process_time() - began < 10
+
+
+def test_deep_menu_ends_where_it_closes():
+    lines, kinds = html.page_lines("<nav>" + "<ul><li>x<p>" * 2_000 + "</nav><p>text</p>")
+    assert lines[-1] == "text" and kinds[-1] == 0 and set(kinds[:-1]) == {2}
+
+
+def test_unclosed_ends():
+    assert html.page_lines("<p>a</p><script>var x = '<b>'; more")[0] == ["a"]
+    assert html.page_lines("<p>a</p><!-- <b> never closed")[0] == ["a"]
+    assert html.page_lines("<p>a</p> 1 < 2 and <b")[0] == ["a", "1 < 2 and <b"]
+
+
 def test_shared_lines():
     rng = np.random.default_rng(5)
     for _ in range(60):
