@@ -6,7 +6,9 @@ of fewer words is one window. Windows of the training texts are looked up by
 hash; each hit is verified word by word, and all its words are marked.
 
 The benchmark is taken in blocks of bounded size: one block is broadcast and
-scanned at a time, and marks of earlier blocks are carried in a written table.
+scanned at a time, and marks of earlier blocks are carried in a written table. A
+block is a few flat arrays: the normalised text of its items once, and for each
+distinct window its hash and its place in that text; ``BLOCK_BYTES`` bounds what is sent.
 
 Defined results: a null text has no words and no hits; a null item has no
 windows; an item without id marks words but is not listed; rows that repeat
@@ -30,7 +32,8 @@ from . import arrays as A
 from .common import fresh, plain_text, written
 
 NGRAM = 10
-BLOCK_BYTES = 16 << 20  # benchmark text of a broadcast block
+BLOCK_BYTES = 64 << 20  # of a broadcast block, as sent
+WINDOW_BYTES = 28  # of a window: hash, place, item
 MARKS = T.StructType([T.StructField("words", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))])
 REPORT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -46,28 +49,65 @@ def _words(column: pa.Array):
     return raw, low, offsets, starts, stops, rows, sums
 
 
-def ngram_set(items: list[tuple[int | None, str | None]], n: int) -> dict[int, dict[int, list[tuple[bytes, tuple]]]]:
-    """Window length -> hash -> [(words, item ids)]."""
-    found: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    for item_id, text in items:
-        _, low, _, starts, stops, _, sums = _words(pa.array([text], pa.string()))
-        size = min(n, len(starts))
-        if size:
-            firsts = np.arange(len(starts) - size + 1)
-            for i, h in zip(firsts, A.span_hash(sums, "word", firsts, firsts + size), strict=True):
-                words = b" ".join(low[starts[j]:stops[j]].tobytes() for j in range(i, i + size))
-                found[size][int(h)][words].add(item_id)
-    return {s: {h: [(w, tuple(x for x in ids if x is not None)) for w, ids in by.items()] for h, by in hs.items()}
-            for s, hs in found.items()}
+def _joined(low: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words one after another, each followed by a space; where each begins and ends there."""
+    size = stops - starts
+    ends = np.cumsum(size + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, dtype=np.uint8)
+    begins = ends - size
+    at = np.repeat(starts - begins, size) + (np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size))
+    inside = np.ones(len(out), dtype=bool)
+    inside[ends] = False
+    out[inside] = low[at]
+    return out, begins, ends
+
+
+class Grams:
+    """Windows of one length: sorted hashes, places of their words in ``text``, and the ids of their items."""
+
+    def __init__(self, keys, first, last, cuts, items, text):
+        self.keys, self.first, self.last, self.cuts, self.items, self.text = keys, first, last, cuts, items, text
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.first, self.last, self.cuts, self.items))
+
+
+def ngram_set(items: list[tuple[int | None, str | None]], n: int) -> dict[int, Grams]:
+    """Window length -> its distinct windows."""
+    ids = np.array([-1 if i is None else i for i, _ in items], dtype=np.int64)
+    known = np.array([i is not None for i, _ in items], dtype=bool)
+    _, low, _, starts, stops, rows, sums = _words(pa.array([t for _, t in items], pa.large_string()))
+    text, begins, ends = _joined(low, starts, stops)
+    content = A.prefix_sums(text.astype(np.uint64) + np.uint64(1), "byte")
+    whole = text.tobytes()
+    n_words = np.bincount(rows, minlength=len(items))
+    out = {}
+    for size in sorted({int(min(n, k)) for k in np.unique(n_words) if k}):
+        i = np.arange(max(0, len(starts) - size + 1))
+        i = i[(rows[i] == rows[i + size - 1]) & (np.minimum(n, n_words[rows[i]]) == size)]
+        h = A.span_hash(sums, "word", i, i + size)
+        c = A.span_hash(content, "byte", begins[i], ends[i + size - 1])
+        order = np.lexsort((ids[rows[i]], c, h))
+        i, h, c = i[order], h[order], c[order]
+        new = A.run_starts(h, c)
+        head, nth = np.flatnonzero(new), np.cumsum(new) - 1
+        item, named = ids[rows[i]], known[rows[i]]
+        once = named & A.run_starts(nth, item, ~named)
+        cuts = np.searchsorted(nth[once], np.arange(len(head) + 1))
+        out[size] = Grams(h[head], begins[i[head]].astype(np.int32), ends[i[head] + size - 1].astype(np.int32),
+                          cuts.astype(np.int32), item[once], whole)
+    return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
-    """Items in blocks of bounded text; the driver holds one block at a time."""
-    rows = benchmark.select(benchmark[id_col].cast("long"), benchmark[text_col].cast("string"))
+    """Items in blocks of bounded size; the driver holds one block at a time."""
+    rows = benchmark.select(benchmark[id_col].cast("long"), benchmark[text_col].cast("string"),
+                            F.octet_length(F.coalesce(benchmark[text_col].cast("string"), F.lit(""))))
     block, size = [], 0
-    for item_id, text in rows.toLocalIterator():
+    for item_id, text, n_bytes in rows.toLocalIterator():
         block.append((item_id, text))
-        size += len(text or "")
+        size += WINDOW_BYTES * (n_bytes + 1) // 2  # a window for every second byte at most
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -105,24 +145,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text_col: str =
 
 def _scanner(grams, kept, text_name, marks_name, carried, column, last, clean):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = {s: (np.array(sorted(hs), dtype=np.uint64), hs) for s, hs in grams.value.items()}
+        sizes = grams.value
         for chunk in A.chunks(batches, text_name):
             raw, low, offsets, starts, stops, rows, sums = _words(chunk.column(text_name))
             m, n_docs = len(starts), chunk.num_rows
             first = np.searchsorted(rows, np.arange(n_docs + 1))
             edge, items = np.zeros(m + 1, dtype=np.int32), defaultdict(set)
-            for size, (keys, by_hash) in sizes.items():
+            joined = None
+            for size, known in sizes.items():
                 i = np.arange(max(0, m - size + 1))
                 i = i[rows[i] == rows[i + size - 1]]
                 h = A.span_hash(sums, "word", i, i + size)
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                for w, value in zip(i[keys[at] == h], h[keys[at] == h], strict=True):
-                    words = b" ".join(low[starts[j]:stops[j]].tobytes() for j in range(w, w + size))
-                    for known, ids in by_hash[int(value)]:
-                        if known == words:
+                at = np.searchsorted(known.keys, h)
+                same = known.keys[np.minimum(at, len(known.keys) - 1)] == h
+                if not same.any():
+                    continue
+                if joined is None:
+                    clean_text, begins, ends = _joined(low, starts, stops)
+                    joined = clean_text.tobytes()
+                i, at, h = i[same], at[same], h[same]
+                found = set()
+                for w, k, value in zip(i.tolist(), at.tolist(), h.tolist(), strict=True):
+                    words = joined[begins[w]:ends[w + size - 1]]
+                    while k < len(known.keys) and known.keys[k] == value:
+                        if known.text[known.first[k]:known.last[k]] == words:
                             edge[w] += 1
                             edge[w + size] -= 1
-                            items[int(rows[w])].update(ids)
+                            found.add((int(rows[w]), k))
+                        k += 1
+                for d, k in found:
+                    items[d].update(known.items[known.cuts[k]:known.cuts[k + 1]].tolist())
             hit = np.cumsum(edge[:-1]) > 0
             if carried:
                 for d, mark in enumerate(chunk.column(marks_name).to_pylist()):

@@ -220,6 +220,21 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert key(decontamination.report(docs, bench).collect()) == want
 
 
+def test_ngram_arrays_are_compact():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(3_000)]
+    items = [(i, " ".join(rng.choice(words, 400))) for i in range(400)] + [(None, "a b"), (7, None), (8, "a b"), (9, "A  b!")]
+    grams = decontamination.ngram_set(items, 10)
+    size = sum(len(t or "") for _, t in items)
+    assert sum(g.nbytes for g in grams.values()) + len(grams[10].text) <= 6 * size
+    assert sum(g.nbytes for g in grams.values()) <= sum(decontamination.WINDOW_BYTES * (len(t or "") + 1) // 2 for _, t in items)
+    assert len(grams[10].keys) == 400 * 391 and grams[2].items.tolist() == [8, 9]
+    k = 1234
+    start = items[0][1].split()[:10]
+    assert any(grams[10].text[a:b] == " ".join(start).encode() for a, b in zip(grams[10].first, grams[10].last))
+    assert (grams[10].keys[:-1] <= grams[10].keys[1:]).all() and len(grams[10].items) == grams[10].cuts[-1] >= k
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8]) for i in range(700)]
