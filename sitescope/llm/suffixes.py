@@ -64,6 +64,7 @@ PLACE = np.uint64((1 << 22) - 1)
 SHARD = 1 << 20  # bytes of pieces that one suffix array takes together
 
 ROW = ["did", "k1", "k2"]
+SLOTS = 1 << 25
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -211,6 +212,17 @@ def _with_text(base: DataFrame, places: DataFrame, fields: list[str]) -> DataFra
     return base.join(held, ROW).select(*ROW, "text", "ranges")
 
 
+def _only(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows that have ``places``, and a few others, without a shuffle of the texts: a bitmap
+    of ``SLOTS`` hashed rows, 4 MB whatever their number, is broadcast and looked up."""
+    slot = F.pmod("k2", F.lit(SLOTS)) + 1
+    number, position = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    bits = places.groupBy(number.alias("slots")).agg(F.bitmap_construct_agg(position).alias("bits"))
+    met = rows.withColumns({"slots": number, "at": position.cast("int")}).join(F.broadcast(bits), "slots")
+    octet = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(octet, F.col("at") % 8) == 1).select(*rows.columns)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted piece."""
     for chunk in A.chunks(batches, "text"):
@@ -352,19 +364,24 @@ def _factor_spans(window: int, keep: str):
     return run
 
 
-def repeated_spans(base: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "first") -> DataFrame:
-    """(did, k1, k2, start, stop): byte ranges that repeated windows cover; ranges may overlap."""
+def repeated_spans(rows: DataFrame, base: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "first") -> DataFrame:
+    """(did, k1, k2, start, stop): byte ranges that repeated windows cover; ranges may overlap.
+
+    ``base`` is ``rows`` (did, k1, k2, text), partitioned by the row; it serves the caller too.
+    """
     n = width(base.sparkSession)
     steps = [None, -(-(window - gram + 1) // CLASSES), 1]
-    rows, marks, shards = base, [], []
+    texts, marks, shards = rows, [], []
     for step in steps:
-        found = written(rows.mapInArrow(_emit(window, gram, step), PIECE), "pieces")
+        found = written(texts.mapInArrow(_emit(window, gram, step), PIECE), "pieces")
         marked, sharded, split = _settle(found, keep, step == 1)
         marks.append(marked.select(*ROW, "start", (F.col("start") + F.col("size")).alias("stop")))
         shards.append(sharded)
         if step == 1 or split.isEmpty():
             break
-        rows = _with_text(base, split, ["start", "size"])
+        # only the texts in question are exchanged
+        split = written(split, "split")
+        texts = _with_text(_only(rows, split).repartition(n, *ROW), split, ["start", "size"])
     sharded = shards[0]
     for other in shards[1:]:
         sharded = sharded.union(other)
@@ -386,8 +403,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ke
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     n = width(docs.sparkSession)
-    base = docs.select(*row_key(docs, id_col, text_col)).repartition(n, *ROW)
-    spans = repeated_spans(base, window, gram, keep).groupBy(*ROW).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = docs.select(*row_key(docs, id_col, text_col))
+    base = rows.repartition(n, *ROW)
+    spans = repeated_spans(rows, base, window, gram, keep).groupBy(*ROW).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = base.join(spans, ROW, "left").select("did", "k1", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
