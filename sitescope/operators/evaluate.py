@@ -158,3 +158,53 @@ def overfit_gap(scored: DataFrame, y: str = "y", pred: str = "pred", is_test: st
     gap = F.col("train_accuracy") - F.col("test_accuracy")
     return one.select("train_accuracy", "test_accuracy", np_round(gap, 9).alias("overfit_gap"),
                       gap_band(gap).alias("band"), (gap > F.lit(K.WARN_GAP)).alias("warning"))
+
+
+def _counts(y: str, pred: str) -> list:
+    yy, pp = F.col(y), F.col(pred)
+    return [F.count_if((yy == 1) & (pp == 1)).alias("tp"), F.count_if((yy == 0) & (pp == 1)).alias("fp"),
+            F.count_if((yy == 1) & (pp == 0)).alias("fn"), F.count(F.lit(1)).alias("n")]
+
+
+def _f1(tp, fp, fn):
+    return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0))
+
+
+def fold_scores(df: DataFrame, fold: str = "fold", y: str = "y", pred: str = "pred") -> DataFrame:
+    """(fold, n, f1) of a scored table with its folds marked, in one aggregate."""
+    g = df.groupBy(fold).agg(*_counts(y, pred))
+    return g.select(fold, "n", _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+
+
+def cv_summary(folds: DataFrame) -> DataFrame:
+    """Mean and population deviation of the folds' F1, and the warning for scores that vary too much."""
+    g = folds.agg(exact_mean("f1").alias("cv_mean"), F.sqrt(exact_mean(F.col("f1") * F.col("f1")) - exact_mean("f1") * exact_mean("f1")).alias("cv_std"))
+    return g.select(np_round("cv_mean", 6).alias("cv_mean"), np_round("cv_std", 6).alias("cv_std"),
+                    (F.col("cv_std") > K.WARN_CV_STD).alias("cv_warning"))
+
+
+def learning_scores(df: DataFrame, sizes: list[float], fold: str = "fold", u: str = "u", y: str = "y", pred: str = "pred") -> DataFrame:
+    """(step, fraction, train_size, train_f1, val_f1, gap, warning) of a scored table.
+
+    ``df`` has a fold and a uniform number ``u`` per row. For each size, the rows of the other folds with ``u`` below it are the
+    training part and the fold itself validates; scores are means over the folds. Rows are counted once, per fold and
+    smallest size that takes them in; nested samples and left-out folds are sums of these few counts.
+    """
+    last = len(sizes) - 1
+    step = F.lit(last)
+    for i in range(last - 1, -1, -1):
+        step = F.when(F.col(u) < F.lit(float(sizes[i])), F.lit(i)).otherwise(step)
+    cells = df.withColumn("step", step).groupBy(fold, "step").agg(*_counts(y, pred))
+    sums = ["tp", "fp", "fn", "n"]
+    held = cells.select(fold, *sums, F.explode(F.sequence(F.col("step"), F.lit(last))).alias("step"))
+    held = held.groupBy("step", fold).agg(*[F.sum(c).alias(c) for c in sums])
+    of_step, of_fold = Window.partitionBy("step"), Window.partitionBy(fold)
+    parts = held.select("step", fold, *[(F.sum(c).over(of_step) - F.col(c)).alias(f"t_{c}") for c in sums],
+                        *[F.max_by(c, "step").over(of_fold).alias(f"v_{c}") for c in sums])
+    scores = parts.select("step", F.col("t_n").alias("n"), _f1(F.col("t_tp"), F.col("t_fp"), F.col("t_fn")).alias("t"),
+                          _f1(F.col("v_tp"), F.col("v_fp"), F.col("v_fn")).alias("v"))
+    g = scores.groupBy("step").agg(F.floor(F.avg("n")).alias("train_size"), exact_mean("t").alias("t"), exact_mean("v").alias("v"))
+    fraction = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), F.col("step") + 1)
+    gap = F.col("t") - F.col("v")
+    return g.select("step", np_round(fraction, 6).alias("fraction"), "train_size", np_round("t", 6).alias("train_f1"),
+                    np_round("v", 6).alias("val_f1"), np_round(gap, 6).alias("gap"), (gap > K.WARN_GAP).alias("warning"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import unit_hash_int
+from ..functions.hashing import unit_hash_sql
 from ..operators import evaluate as EV
 from ..operators import profile as PR
 from ..operators import score as S
+from ..operators import split as SP
 from ..session import shared_path
 from ..sources import fixtures as fx
 from . import catalog as cat
@@ -28,6 +31,42 @@ def q_roc_points_reduced(spark, sf_dir):
     return EV.roc_points_reduced(scored(spark, sf_dir))
 
 
+# --------------------------------------------- folds and learning curve (M15, M16, F18)
+F1_SQL = "coalesce(2e0 * {0}tp / nullif(2e0 * {0}tp + {0}fp + {0}fn, 0), 0e0)"
+COUNTS_SQL = "count_if(y = 1 and pred = 1) as tp, count_if(y = 0 and pred = 1) as fp, count_if(y = 1 and pred = 0) as fn, count(*) as n"
+
+
+@query("cv_flags", cat.SCORED_CTE + f""",
+folded as (select *, cast(r * 5 // n_class as integer) as fold from {cat._placed_sql('scored', K.SPLIT_SEED + 1, 'y')}),
+c as (select fold, {COUNTS_SQL} from folded group by fold), s as (select fold, {F1_SQL.format('')} as f1 from c),
+m as (select {Q.exact_mean('f1')} as mean, {Q.exact_mean('f1 * f1')} as square from s)
+select {Q.npround('mean', 6)} as cv_mean, {Q.npround('sqrt(square - mean * mean)', 6)} as cv_std, sqrt(square - mean * mean) > 0.05 as cv_warning from m""")
+def q_cv_flags(spark, sf_dir):
+    """Mean and spread of the folds' F1 (rule scorer), with the warning."""
+    folds = SP.with_folds(scored(spark, sf_dir), key="site_id", label="y")
+    return EV.cv_summary(EV.fold_scores(folds))
+
+
+SIZES = [0.1, 0.25, 0.5, 1.0]
+
+
+@query("learning_gap", cat.SCORED_CTE + f""",
+folded as (select *, cast(r * 3 // n_class as integer) as fold, {unit_hash_sql('site_id', K.SPLIT_SEED + 3)} as u
+  from {cat._placed_sql('scored', K.SPLIT_SEED + 2, 'y')}),
+sizes as (select * from (values {', '.join(f'({i}, {x!r}::double)' for i, x in enumerate(SIZES))}) v(step, frac)),
+pairs as (select step, frac, f.fold from sizes, (select distinct fold from folded) f),
+t as (select step, frac, pairs.fold, {COUNTS_SQL} from pairs join folded on folded.fold <> pairs.fold and u < frac group by 1, 2, 3),
+v as (select fold, {COUNTS_SQL} from folded group by fold),
+m as (select step, frac, floor(avg(t.n)) as train_size, {Q.exact_mean(F1_SQL.format('t.'))} as tr, {Q.exact_mean(F1_SQL.format('v.'))} as va
+  from t join v using (fold) group by step, frac)
+select step, {Q.npround('frac', 6)} as fraction, cast(train_size as bigint) as train_size, {Q.npround('tr', 6)} as train_f1,
+ {Q.npround('va', 6)} as val_f1, {Q.npround('tr - va', 6)} as gap, tr - va > 0.05 as warning from m""")
+def q_learning_gap(spark, sf_dir):
+    """Training and validation F1 by training size (rule scorer), with the warning for a gap."""
+    folds = SP.with_folds(scored(spark, sf_dir), key="site_id", k=3, seed=K.SPLIT_SEED + 2, label="y")
+    return EV.learning_scores(folds.withColumn("u", unit_hash_int("site_id", K.SPLIT_SEED + 3)), SIZES)
+
+
 # ------------------------------------------------------------- histograms (A10)
 AUTO_COLS = ["Elevation", "Slope", "Rainfall"]
 

@@ -9,15 +9,17 @@ file listing that also works on object stores) with the run's save time.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .model import ForestConfig, ForestEnsemble, TrainResult, train_model
 
+LOG = logging.getLogger(__name__)
+
 RUN_SCHEMA = ("run_id string, trained_at string, saved_at timestamp, n_train long, n_test long, accuracy double, "
               "f1 double, roc_auc double, cv_mean double, cv_std double, overfit_gap double, train_time_s double, "
               "model_path string")
@@ -58,6 +60,8 @@ def latest_run(spark: SparkSession, base: str) -> DataFrame | None:
 
 
 def load_model(spark: SparkSession, base: str, run_id: str | None = None) -> ForestEnsemble | None:
+    """The saved model of a run (default: the newest), or None where there is none. A store that
+    cannot be read, or a model that is there but broken, is an error and no missing model."""
     r = runs(spark, base)
     if r is None:
         return None
@@ -65,10 +69,9 @@ def load_model(spark: SparkSession, base: str, run_id: str | None = None) -> For
         .select("model_path").limit(1).first()
     if row is None:
         return None
-    try:
-        return ForestEnsemble.load(spark, row["model_path"])
-    except (AnalysisException, Exception):  # noqa: BLE001 - unreadable model = no model
+    if not _exists(spark, row["model_path"]):
         return None
+    return ForestEnsemble.load(spark, row["model_path"])
 
 
 def metrics_table(spark: SparkSession, base: str, name: str, run_id: str) -> DataFrame:
@@ -113,6 +116,7 @@ def load_or_train(spark: SparkSession, df: DataFrame, key: str, dataset_path: st
     except Exception:
         model = load_model(spark, base)
         if model is not None:
+            LOG.exception("training failed; the last saved model is returned")
             empty = spark.createDataFrame([], RUN_SCHEMA)
             return model, empty, "error"
         raise
