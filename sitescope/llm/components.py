@@ -14,29 +14,49 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+HUB = 256  # edges of a node from which it may count as a hub
+MOST_HUBS = 4_096
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (a, b) with n = a and m, the smallest b of a.
+
+    Edges of hubs stay where they are: a hub has more than a ``MOST_HUBS``-th of all ``total``
+    edges, so that there are at most ``MOST_HUBS`` of them, whose minima are broadcast. All
+    other edges meet their minimum by a shuffle on keys of few edges each.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("deg")).select(F.col("a").alias("n"), "m", "deg")
+    hub = F.col("deg") > max(HUB, total // MOST_HUBS)
+    hubs, rest = F.broadcast(least.where(hub).drop("deg")), least.where(~hub).drop("deg")
+    heavy = edges.join(hubs, edges["a"] == hubs["n"])
+    light = edges.join(hubs, edges["a"] == hubs["n"], "left_anti")
+    return heavy.union(light.join(rest, light["a"] == rest["n"]))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    return both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("n", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node's smaller neighbours, and the node, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-    near = down.join(least, down["a"] == least["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return near.union(least.select("n", "m")).where("a <> b").distinct()
+    met = _with_least(down, total)
+    # the node itself is among the smallest one's neighbours once, by its edge to it
+    return met.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
+                      F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node of its component."""
     now = written(edges.where("a <> b").select("a", "b"), "edges")
-    mark = None
+    mark, total = None, now.count()
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        large = written(_large_star(now, total), "edges")
+        now = written(_small_star(large, large.count()), "edges")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
-        mark = new
+        mark, total = new, new[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -492,6 +492,22 @@ def test_simhash_links(spark):
     assert {v: roots.get(v, v) for v in values} == label
 
 
+@pytest.mark.parametrize("hub", [1, 3, 10_000])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from sitescope.llm import components as CC
+    monkeypatch.setattr(CC, "HUB", hub)
+    monkeypatch.setattr(CC, "MOST_HUBS", 1_000_000)
+    rng = np.random.default_rng(hub)
+    edges = [(1000, 2000 + i) for i in range(60)] + [(5, 3000 + i) for i in range(40)] + [(i, i + 1) for i in range(100, 140)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(4000, 4100, (60, 2))] + [(2003, 3001), (7, 7)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["root"] for r in CC.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert all(got.get(x, x) == label[x] for x in label)
+
+
 def test_licenses(spark, docs, empty):
     texts = [t for _, t in licenses.KNOWN[:2]]
     rows = [(1, "Copyright (c) 2024 Somebody\n\n" + texts[0].upper().replace("LICENSE", "LICENCE")), (2, texts[1] + " and more"),
