@@ -512,7 +512,11 @@ def test_licenses(spark, docs, empty):
     texts = [t for _, t in licenses.KNOWN[:2]]
     rows = [(1, "Copyright (c) 2024 Somebody\n\n" + texts[0].upper().replace("LICENSE", "LICENCE")), (2, texts[1] + " and more"),
             (3, "x y z\nReleased under the   MIT licence!\n(c) 1999 Else"), (4, None)]
+    bsd = dict(licenses.KNOWN[::-1])["BSD-3-Clause"]
+    rows += [(5, "Copyright (c) 2020, Somebody\n\n" + bsd.replace("1. ", " 1) ").replace("copyright holder", "Copyright Owner")),
+             (6, bsd.replace("endorse", "praise")), (7, dict(licenses.KNOWN)["Zlib"].replace("\n", "\n\n  "))]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license_id"] for i in (5, 6, 7)] == ["BSD-3-Clause", None, "Zlib"]
     assert got[1]["license_id"] == "MIT" and got[2]["license_id"] is None
     assert got[3]["license_id"] is None and got[3]["notices"] == "MIT"
     assert got[4]["digest"] == sha("") and got[4]["license_id"] is None
