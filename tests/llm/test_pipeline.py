@@ -126,8 +126,9 @@ def one_of_each_group(rows):
 
 def without_hits(text, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    spans = [(m.start(), m.end()) for m in pattern.finditer(lower(text or ""))]
-    words = [lower(text)[a:b] for a, b in spans]
+    low = lower(text or "")
+    spans = [(m.start(), m.end()) for m in pattern.finditer(low)]
+    words = [low[a:b] for a, b in spans]
     hit = [False] * len(words)
     for _, item in items:
         known = pattern.findall(lower(item or ""))
