@@ -5,10 +5,10 @@ kept; all but the last return the columns of ``documents``. Stages are written
 as Parquet in the shared folder and read again, so a lost executor costs a
 stage at most.
 
-SQL can express neither the fitted classifier nor the tokenizer. Most operators
-are tested on small tables on their own; of the whole run the test checks the
-stages' names, columns on empty input, that lengths add up and that ids come
-from the input, not which documents each stage keeps.
+SQL can express neither the fitted classifier nor the tokenizer. The tests hold
+what each stage keeps of its input, and the run's pieces, against plain-Python
+versions on a small table of copies, shared lines, benchmark passages, junk,
+rows without id or text, repeated ids and a very long text.
 """
 
 from __future__ import annotations
