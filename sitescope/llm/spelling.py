@@ -203,7 +203,7 @@ pairs as (select a.word, b.word as other, b.n as m from cuts a join cuts b on a.
 near as (select word, count(*) as n_near, arg_min(other, (-m, other)) as other, max(m) as m from pairs group by word),
 formed as (select words.word, n, coalesce(n_near, 0) as n_near, case when m >= 5 * n then other end as form,
     case when m >= 5 * n then m end as form_n from words left join near using (word)),
-walk(word, at, step) as (select word, form, 1 from formed where form is not null
-  union all select w.word, f.form, step + 1 from walk w join formed f on w.at = f.word where f.form is not null),
-roots as (select word, arg_max(at, step) as root from walk group by word)
+walk(word, reached, step) as (select word, form, 1 from formed where form is not null
+  union all select w.word, f.form, step + 1 from walk w join formed f on w.reached = f.word where f.form is not null),
+roots as (select word, arg_max(reached, step) as root from walk group by word)
 select formed.word, form, coalesce(root, formed.word) as root, n, n_near, form_n from formed left join roots using (word)"""
