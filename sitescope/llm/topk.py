@@ -6,6 +6,8 @@ matrix of its rows). For a query, a block's bound is the sum over terms of the
 better of the two products. Blocks are taken in order of falling bounds and
 scored in full until the next bound is below the query's k-th score; equal
 bounds are still scored, as a smaller id wins a tie. Scores are exact integers.
+The k-th score of a query starts at its k-th best among the other queries of its
+batch, which are candidates as well: a bound that holds in every group of blocks.
 
 Blocks are gathered in groups. Queries meet every group in batches: one task
 holds one batch and one group, both of fixed size, and returns k rows a query.
@@ -55,27 +57,60 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int
-           ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query number, ids, scores) of the k best rows per query, best first."""
+NONE = -((1 << 63) - 1)  # a score below all others
+
+
+def _merged(ids: np.ndarray, scores: np.ndarray, more_ids: np.ndarray, more: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line of two tables of candidates, ties to smaller ids."""
+    ids, scores = np.concatenate([ids, more_ids], axis=1), np.concatenate([scores, more], axis=1)
+    keep = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, keep, axis=1), np.take_along_axis(scores, keep, axis=1)
+
+
+def known_bounds(queries: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """A score that each query's k-th best reaches for sure: its k-th best among the other queries of
+    the batch, which are candidates too."""
+    q_ids, q = queries
+    if len(q_ids) <= k:
+        return np.full(len(q_ids), NONE, dtype=np.int64)
+    scores = np.where(q_ids[:, None] == q_ids[None, :], NONE, _products(q, q))
+    return np.partition(scores, len(q_ids) - k, axis=1)[:, len(q_ids) - k]
+
+
+def search(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int, floor: np.ndarray | None = None,
+           scored: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query number, ids, scores) of the k best rows per query, best first, those below its ``floor`` left out.
+
+    ``scored``: gets the number of (query, block) pairs that were scored, and of all.
+    """
     q_ids, q = queries
     order = np.argsort(rows[0], kind="stable")
     ids, matrix = rows[0][order], rows[1][order]
     firsts = np.arange(0, len(ids), BLOCK_ROWS)
     most, least = np.maximum.reduceat(matrix, firsts), np.minimum.reduceat(matrix, firsts)
     bounds = _products(np.maximum(q, 0), most) + _products(np.minimum(q, 0), least)
+    turn = np.argsort(-bounds, axis=1, kind="stable")
+    floor = np.full(len(q_ids), NONE, dtype=np.int64) if floor is None else floor
+    best_ids = np.full((len(q_ids), k), np.iinfo(np.int64).max)
+    best = np.full((len(q_ids), k), NONE)
+    active, n_scored = np.arange(len(q_ids)), 0
+    for r in range(len(firsts)):  # each query's r-th block; queries that take the same one are scored together
+        bound = bounds[active, turn[active, r]]
+        active = active[bound >= np.maximum(best[active, -1], floor[active])]
+        if not len(active):
+            break
+        n_scored += len(active)
+        blocks = turn[active, r]
+        for b in np.unique(blocks):
+            at, some = slice(int(firsts[b]), int(firsts[b]) + BLOCK_ROWS), active[blocks == b]
+            scores = _products(q[some], matrix[at])
+            scores[q_ids[some][:, None] == ids[at][None, :]] = NONE
+            best_ids[some], best[some] = _merged(best_ids[some], best[some], np.broadcast_to(ids[at], scores.shape), scores, k)
+    if scored is not None:
+        scored.append((n_scored, len(q_ids) * len(firsts)))
     for i in range(len(q_ids)):
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds[i], kind="stable"):
-            if len(best) == k and bounds[i, b] < best[-1]:
-                break
-            at = slice(int(firsts[b]), int(firsts[b]) + BLOCK_ROWS)
-            other = ids[at] != q_ids[i]
-            best_ids = np.concatenate([best_ids, ids[at][other]])
-            best = np.concatenate([best, _products(q[i:i + 1], matrix[at][other])[0]])
-            keep = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[keep], best[keep]
-        yield i, best_ids, best
+        found = (best[i] != NONE) & (best[i] >= floor[i])
+        yield i, best_ids[i][found], best[i][found]
 
 
 def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str = "vec_id",
@@ -111,7 +146,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str =
                 for name in ("queries", "rows"):
                     cells = batch.column(name).slice(row, 1).flatten()
                     sides.append((cells.field("id").to_numpy(zero_copy_only=False), _matrix(cells.field("v"))))
-                queries, found = sides[0], list(search(sides[0], sides[1], k))
+                queries, found = sides[0], list(search(sides[0], sides[1], k, known_bounds(sides[0], k)))
                 counts = [len(ids) for _, ids, _ in found]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat([int(queries[0][i]) for i, _, _ in found], counts), pa.int64()),

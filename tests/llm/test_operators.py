@@ -256,6 +256,22 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-300, 300, (20, 32)) * 10
+    matrix = np.repeat(centres, 300, axis=0) + rng.integers(-40, 40, (6000, 32))  # ids in runs of like vectors
+    ids = np.arange(6000)
+    asked = np.arange(0, 6000, 20)
+    queries, scored = (asked, matrix[asked]), []
+    floor = topk.known_bounds(queries, 10)
+    got = {i: (a.tolist(), b.tolist()) for i, a, b in topk.search(queries, (ids, matrix), 10, floor, scored)}
+    for i, q in enumerate(asked):
+        s = matrix @ matrix[q]
+        want = sorted((-int(x), int(j)) for j, x in enumerate(s) if j != q)[:10]
+        assert got[i] == ([j for _, j in want], [-x for x, _ in want]) and floor[i] <= -want[-1][0]
+    assert scored[0][0] < scored[0][1] / 2
+
+
 def test_quality(spark, docs, empty):
     texts = [(i, "good plain words in a sentence " * 3 + str(i), 1) if i % 2 else (i, "### $$$ !!! *** junk&&& " * 3, 0) for i in range(400)]
     frame = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
