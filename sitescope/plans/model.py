@@ -37,6 +37,9 @@ class ForestConfig:
     maxBins: int = 64
     balanced: bool = True
     maxMemoryInMB: int = 512
+    # keeps the node that each row has reached in each tree (4 bytes a row and tree, spilled to disk if need be)
+    # instead of walking every tree from its root for every level; the forest is the same
+    cacheNodeIds: bool = True
     # independently seeded sub-forests; part of the model's definition, so the
     # same at every input size and on every cluster
     subForests: int = 8
@@ -45,7 +48,7 @@ class ForestConfig:
         rf = RandomForestClassifier(
             featuresCol="features", labelCol=K.LABEL_COL, numTrees=self.numTrees, maxDepth=self.maxDepth,
             minInstancesPerNode=self.minInstancesPerNode, featureSubsetStrategy=self.featureSubsetStrategy,
-            seed=self.seed, maxBins=self.maxBins, maxMemoryInMB=self.maxMemoryInMB)
+            seed=self.seed, maxBins=self.maxBins, maxMemoryInMB=self.maxMemoryInMB, cacheNodeIds=self.cacheNodeIds)
         if weighted and self.balanced:
             rf = rf.setWeightCol("weight")
         return rf
