@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import np_round
 from ..session import materialize
+from .ranges import width
 
 FEATURES = ("elevation", "annual_rainfall")
 FANOUT_BITS = 4
 FANOUT = 1 << FANOUT_BITS
 LEAF = 64  # districts of a leaf, at most
 BROADCAST_NODES = 4_096  # levels of the tree with so many nodes at most are broadcast
+BROADCAST_POINTS = 100_000  # districts that remain, if so many at most, are broadcast
+PART_TARGETS = 10_000  # targets of a partition
 
 
 def minmax_scalar(districts: DataFrame, cols=FEATURES):
@@ -130,6 +133,11 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
     target can tell them apart. The top-N per target is a ``row_number`` with a
     limit, which Spark evaluates partially before the shuffle
     (``WindowGroupLimit``). A target without a coordinate gets no rows.
+
+    Targets are dealt out by their key once, before they meet any box. Broadcast
+    joins leave them there, so the windows per target need no further exchange:
+    only the narrow targets are shuffled, not their boxes and districts. Levels of
+    more nodes, and more districts, than may be broadcast are joined by shuffles.
     """
     mm = minmax_scalar(districts).alias("_mm")
     params = districts.sparkSession.range(1).select(mm).first()["_mm"]  # one row of 5 numbers
@@ -161,6 +169,8 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
     front = targets.select(target_key, scale(F.col("elevation").cast("double"), "elevation").alias("_tx"),
                            scale(F.col("rainfall").cast("double"), "annual_rainfall").alias("_ty"),
                            F.pmod(F.hash(target_key), F.lit(1)).cast("long").alias("_node"))
+    # a stated number: the targets are small here, but meet up to 16 boxes of each node
+    front = front.repartition(max(width(targets), -(-targets.count() // PART_TARGETS)), target_key)
     own = Window.partitionBy(target_key)
     nearest = own.orderBy("_far", "_node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -178,7 +188,7 @@ def similar_many(districts: DataFrame, targets: DataFrame, n: int = K.SIMILAR_TO
         seen = seen.withColumn("_bound", F.min("_bound").over(own))
         front = seen.where(F.col("_bound").isNull() | (F.col("_close") <= F.col("_bound"))).select(
             target_key, "_tx", "_ty", "_node")
-    if not levels:  # the root is a leaf: its few districts
+    if not levels or pts.count() <= BROADCAST_POINTS:  # no levels: the root is a leaf of few districts
         pts = F.broadcast(pts)
     found = front.join(pts, front["_node"] == pts["_path"]).withColumn(
         "_d", away(F.col("_dx") - F.col("_tx"), F.col("_dy") - F.col("_ty"))).where("_d is not null")

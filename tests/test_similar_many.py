@@ -83,3 +83,17 @@ def test_tied_axis_and_missing_target(spark):
     got = run(spark, districts, [*targets, (4, None, 10.0)], 10, leaf=20)
     assert got == brute(districts, targets, 10)
     assert run(spark, [], targets, 10) == {}
+
+
+def test_targets_are_exchanged_once(spark):
+    """Broadcast levels and districts leave the targets where their key dealt them: one exchange, of narrow rows."""
+    rnd = random.Random(3)
+    districts = [(i, "S", f"D{i:03d}", rnd.uniform(0, 3000), rnd.uniform(200, 5000)) for i in range(400)]
+    dd = spark.createDataFrame(districts, "district_id long, state string, district string, elevation double, annual_rainfall double")
+    tt = spark.createDataFrame([(t, rnd.uniform(0, 3000), rnd.uniform(200, 5000)) for t in range(50)],
+                               "target_id long, elevation double, rainfall double")
+    out = SIM.similar_many(dd, tt, n=5, leaf=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    by_target = [line for line in plan.splitlines() if " Exchange hashpartitioning(target_id" in line or "-Exchange hashpartitioning(target_id" in line]
+    assert len(by_target) == 1 and "REPARTITION_BY_NUM" in by_target[0], plan
+    assert "hashpartitioning(_node" not in plan
