@@ -72,3 +72,36 @@ def test_similar_scored(spark, result):
     rows = out.orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, 11))
     assert all(r.Predicted_Suitability in ("Suitable", "Not Suitable") for r in rows)
+
+
+def test_large_partitions_are_dealt_out_and_fits_bounded(spark, monkeypatch):
+    """One partition of many rows is cut; fits run one by one; forest and folds are as many, every row counted."""
+    df = catalog.sites(spark, SF_MID).coalesce(1)
+    rows = df.count()
+    asm = M.assembler().transform(df.select(F.col("site_id").alias("_key"), M.K.LABEL_COL, *M.K.FEATURE_COLS))
+    assert M.spread(df).rdd.getNumPartitions() == 1  # small: left as read
+    cfg = M.ForestConfig(numTrees=4, maxDepth=3, subForests=4)
+    wide = M.cross_val_f1(asm, cfg, 2)
+    monkeypatch.setattr(M, "ROWS_AT_ONCE", 1)
+    threads = []
+    run = M._parallel
+    monkeypatch.setattr(M, "_parallel", lambda fn, items, n: threads.append(n) or run(fn, items, n))
+    assert M.cross_val_f1(asm, cfg, 2) == wide and set(threads) == {1}
+    monkeypatch.setattr(M, "PARTITION_ROWS", 1000)
+    cut = M.spread(df.select("site_id", M.K.LABEL_COL))
+    sizes = [r["count"] for r in cut.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == rows and max(sizes) <= 1010
+    r = M.train_model(df, "site_id", cfg, cv_folds=0)
+    assert r.metrics["n_train"] + r.metrics["n_test"] == rows and r.model.num_trees == 4
+
+
+def test_weights_are_literals_and_classes_known(spark):
+    """The weights equal the joined ones; rows without a label go; the label names its classes."""
+    df = M.assembler().transform(spark.createDataFrame(
+        [(i, None if i == 9 else int(i < 3), *[float(i)] * 8) for i in range(10)],
+        "_key long, Suitability int, " + ", ".join(f"{c} double" for c in M.K.FEATURE_COLS)))
+    got, n = M._weighted(df)
+    want = M.SP.with_class_weight(df)
+    assert n == 9
+    assert sorted(r.weight for r in got.collect()) == sorted(r.weight for r in want.collect())
+    assert got.schema[M.K.LABEL_COL].metadata["ml_attr"]["num_vals"] == 2
