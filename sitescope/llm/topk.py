@@ -155,7 +155,8 @@ def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str =
                     pa.array(np.concatenate([s for _, _, s in found]), pa.int64()),
                 ], names=["query_id", "nth", "vec_id", "score"])
 
-    pairs = asked.join(grouped, ["dim", "lane"])
+    # merged: Spark knows the queries' size before they go to every lane only, and would broadcast what is that many times as large
+    pairs = asked.hint("merge").join(grouped, ["dim", "lane"])
     met = pairs.select("queries", "rows").mapInArrow(scored, "query_id long, nth long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

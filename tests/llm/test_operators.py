@@ -256,6 +256,17 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_queries_of_all_lanes_are_not_broadcast(spark, monkeypatch):
+    """However few the queries, their copies for all groups of blocks do not pass through the driver."""
+    monkeypatch.setattr(topk, "GROUP_ROWS", 20)
+    frame = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(1000)], "vec_id long, embedding array<float>")
+    found = topk.top_k(frame)
+    assert len(found.collect()) == 100
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "Join [" in line and "lane#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_blocks_are_skipped():
     rng = np.random.default_rng(9)
     centres = rng.integers(-300, 300, (20, 32)) * 10
