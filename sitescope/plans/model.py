@@ -86,12 +86,14 @@ class ForestEnsemble:
         x = df if assembled else self.assembler.transform(df)
         cols = []
         for i, f in enumerate(self.forests):
-            f = f.copy().setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
-            x = f.transform(x).drop(f"_raw{i}", f"_pred{i}")
+            # without a raw column, a forest's votes become its probability in one call
+            x = f.copy().setProbabilityCol(f"_prob{i}").setRawPredictionCol("").setPredictionCol("").transform(x)
             cols.append((vector_to_array(F.col(f"_prob{i}"))[1], f.getNumTrees))
         total = float(sum(n for _, n in cols))
-        p1 = sum(c * (n / total) for c, n in cols)
-        return x.withColumn(out, p1).drop("features", *[f"_prob{i}" for i in range(len(self.forests))])
+        x = x.drop(out).withColumn("_score", sum(c * (n / total) for c, n in cols))
+        # a filter on the score stops at the generator: pushed below, it would run all trees each time it names the score
+        held = F.inline(F.array(F.struct(F.col("_score").alias(out))))
+        return x.select("*", held).drop("features", "_score", *[f"_prob{i}" for i in range(len(self.forests))])
 
     def feature_importances(self) -> list[float]:
         total = float(self.num_trees)

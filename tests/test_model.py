@@ -105,3 +105,20 @@ def test_weights_are_literals_and_classes_known(spark):
     assert n == 9
     assert sorted(r.weight for r in got.collect()) == sorted(r.weight for r in want.collect())
     assert got.schema[M.K.LABEL_COL].metadata["ml_attr"]["num_vals"] == 2
+
+
+def test_filtered_scores_run_each_tree_once(spark, result):
+    """A filter on class and confidence stays above the forest's score, which equals the mean of the forests' own."""
+    scored = S.score_batch(catalog.fx.sites_wide(spark, SF_MID).limit(500), S.ForestScorer(result.model), soil="names")
+    kept = scored.where("Prediction in (0, 1) and Confidence between 0.5 and 1").select("site_id")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "UDF" in line]
+    assert plan.count("UDF(") <= 2 * len(result.model.forests) + 1 and kept.count() == 500
+    rows = result.model.assembler.transform(catalog.sites(spark, SF_MID).limit(50)).select("site_id", "features")
+    want, total = {}, result.model.num_trees
+    for f in result.model.forests:
+        for r in f.transform(rows).collect():
+            want[r.site_id] = want.get(r.site_id, 0.0) + r.probability[1] * (f.getNumTrees / total)
+    got = result.model.transform(rows, assembled=True)
+    assert got.columns == ["site_id", "probability_1"]
+    assert {r.site_id: pytest.approx(r.probability_1, abs=1e-12) for r in got.collect()} == want
