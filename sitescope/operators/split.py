@@ -60,15 +60,30 @@ def _below(df: DataFrame, key: str, label: str, seed: int, cuts: int, place) ->
     nth = F.row_number().over(Window.partitionBy("c", "b").orderBy("u", "k")) - 1 + F.col("before")
     near = at.join(F.broadcast(places), ["c", "b"]).withColumn("r", nth).where(F.array_contains("rs", F.col("r")))
     found = {(row["c"], row["r"]): row for row in near.select("c", "r", "u", "k").collect()}
-    lists: dict[str, list] = {}
+    cuts_of: dict[str, list] = {}
     for row in wanted:
         cut = found[row["c"], row["r"]]
-        lists.setdefault(row["c"], []).append(F.struct(F.lit(cut["u"]), F.lit(cut["k"]).cast(df.schema[key].dataType)))
+        cuts_of.setdefault(row["c"], []).append((cut["u"], cut["k"]))
+    # the number is a column of its own, computed once a row, and compared before the key: no struct is built for a row
+    x, kind = df.withColumn("_part_u", u), df.schema[key].dataType
     part = F.lit(0)
-    for c, ends in lists.items():
-        before = sum(((end <= F.struct(u, F.col(key))).cast("int") for end in ends), F.lit(0))
-        part = F.when(own == c, before).otherwise(part)
-    return df.withColumn("_part", part)
+    for c, ends in cuts_of.items():
+        before = sum((_reached(F.col("_part_u"), F.col(key), cut_u, cut_k, kind).cast("int") for cut_u, cut_k in ends), F.lit(0))
+        part = F.when(_is(label, c), before).otherwise(part)
+    return x.withColumn("_part", part).drop("_part_u")
+
+
+def _is(label: str, c: str) -> Column:
+    """Whether a row is of class ``c``: "" holds all, "?" those without a label, "=..." the others."""
+    if not c.startswith("="):
+        return F.col(label).isNull() if c else F.lit(True)
+    return F.coalesce(F.col(label).cast("string") == F.lit(c[1:]), F.lit(False))
+
+
+def _reached(u: Column, key: Column, cut_u: float, cut_k, kind) -> Column:
+    """Whether (u, key) is at or past a cut; null keys order first."""
+    past = F.lit(True) if cut_k is None else F.coalesce(key >= F.lit(cut_k).cast(kind), F.lit(False))
+    return (u > F.lit(cut_u)) | ((u == F.lit(cut_u)) & past)
 
 
 def with_split(df: DataFrame, key: str, test_fraction: float = K.TEST_FRACTION, seed: int = K.SPLIT_SEED,

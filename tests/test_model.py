@@ -122,3 +122,24 @@ def test_filtered_scores_run_each_tree_once(spark, result):
     got = result.model.transform(rows, assembled=True)
     assert got.columns == ["site_id", "probability_1"]
     assert {r.site_id: pytest.approx(r.probability_1, abs=1e-12) for r in got.collect()} == want
+
+
+def test_fits_read_kept_parts(spark, monkeypatch):
+    """The rows' parts are kept beside them: no pass of a fit places its rows by their keys again."""
+    plans = []
+    run = M._weighted
+    monkeypatch.setattr(M, "_weighted", lambda part: plans.append(part._jdf.queryExecution().optimizedPlan().toString()) or run(part))
+    df = catalog.sites(spark, SF_MID).limit(3000)
+    cfg = M.ForestConfig(numTrees=2, maxDepth=2, subForests=2)
+    r = M.train_model(df, "site_id", cfg, cv_folds=2)
+    asm = M.assembler().transform(df.select(F.col("site_id").alias("_key"), M.K.LABEL_COL, *M.K.FEATURE_COLS))
+    assert M.cross_val_f1(asm, cfg, 2) == r.metrics["cv_scores"]
+    above = [plan.split("InMemoryRelation")[0] for plan in plans]
+    assert len(above) == 5 and all("Filter" in plan and "%" not in plan for plan in above)
+
+
+def test_shallow_trees_keep_no_node_ids():
+    """Whether rows are walked or their nodes kept is decided by depth; a caller can always walk."""
+    def kept(**k):
+        return M.ForestConfig(**k).estimator().getCacheNodeIds()
+    assert kept(maxDepth=12) and not kept(maxDepth=5) and not kept(maxDepth=12, cacheNodeIds=False)
