@@ -117,7 +117,7 @@ def test_filtered_scores_run_each_tree_once(spark, result):
     rows = result.model.assembler.transform(catalog.sites(spark, SF_MID).limit(50)).select("site_id", "features")
     want, total = {}, result.model.num_trees
     for f in result.model.forests:
-        for r in f.transform(rows).collect():
+        for r in f.copy().transform(rows).collect():  # a copy has no training summary, which holds the session
             want[r.site_id] = want.get(r.site_id, 0.0) + r.probability[1] * (f.getNumTrees / total)
     got = result.model.transform(rows, assembled=True)
     assert got.columns == ["site_id", "probability_1"]
